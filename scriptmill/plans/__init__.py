@@ -4,6 +4,8 @@ import importlib
 
 MODULES = [
     "corpus_lint",
+    "corpus_structure",
+    "corpus_versions",
 ]
 
 
