@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scriptmill.functions.sqltext import ELEMENTS
 from scriptmill.operators.lint import java
 from scriptmill.operators.skew import copy_groups, with_group_stats
-from scriptmill.operators.textual import keyword_counts, numbers_in, strings_in
+from scriptmill.operators.textual import keyword_counts, keyword_words, numbers_in, strings_in
 from scriptmill.operators.tokens import normal_text
 
 
@@ -20,13 +20,13 @@ def _measures(scripts: DataFrame, name: str) -> DataFrame:
     sql = F.col("sql")
     remarks = F.regexp_extract_all(sql, F.lit(r"--[^\n]*"), F.lit(0))
     words = F.regexp_extract_all(F.lower(F.array_join(remarks, " ")), java(r"\b\w+\b"), F.lit(0))
-    return scripts.select(
+    return scripts.withColumn("kw", keyword_words(sql)).select(
         "path",
         F.struct(
             F.array(*[
                 F.struct(F.lit(e).alias("element"), F.regexp_count(sql, java(p)).alias("n")) for e, p in ELEMENTS.items()
             ]).alias("elements"),
-            keyword_counts(sql).alias("keywords"),
+            keyword_counts(F.col("kw")).alias("keywords"),
             strings_in(sql).alias("strings"),
             numbers_in(sql).alias("numbers"),
             F.size(remarks).alias("n_remarks"),

@@ -41,9 +41,8 @@ def keyword_words(sql: Column) -> Column:
     return F.transform(F.regexp_extract_all(sql, java(pattern), F.lit(1)), F.lower)
 
 
-def keyword_counts(sql: Column) -> Column:
-    """MAP<keyword, count> of one script."""
-    words = keyword_words(sql)
+def keyword_counts(words: Column) -> Column:
+    """MAP<keyword, count> of the words of one script; ``words`` should be a column, it is read once per keyword."""
     return F.map_from_entries(
         F.transform(
             F.array_distinct(words),
