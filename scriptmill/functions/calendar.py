@@ -36,4 +36,4 @@ def month_range(col: Column | str, year: int, month: int | None = None) -> Colum
         after = f"{year + 1:04d}-01-01"
     else:
         after = f"{year + month // 12:04d}-{month % 12 + 1:02d}-01"
-    return (c >= F.lit(first).cast("timestamp")) & (c < F.lit(after).cast("timestamp"))
+    return (c >= F.lit(first).cast("timestamp_ntz")) & (c < F.lit(after).cast("timestamp_ntz"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptmill.functions.rules import JAVA_FLAGS, RULES, STRICT_ID_NUMBER
 from scriptmill.functions.sqltext import STRING_BODY, STRING_OR_COMMENT
+from scriptmill.sources.tables import code_table
 
 
 def java(pattern: str) -> Column:
@@ -35,7 +36,8 @@ def line_of(sql: Column, pos: Column) -> Column:
 
 def rule_catalogue(spark: SparkSession) -> DataFrame:
     """rules(rule, severity, message, suggestion), a constant table of 24 rows."""
-    return spark.createDataFrame(
+    return code_table(
+        spark,
         [(n, s, m, g) for n, s, _, m, g in RULES],
         "rule string, severity string, message string, suggestion string",
     )

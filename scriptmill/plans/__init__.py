@@ -6,7 +6,13 @@ MODULES = [
     "corpus_lint",
     "corpus_structure",
     "corpus_versions",
+    "projections",
+    "joins",
+    "aggregates",
     "windows",
+    "setops",
+    "generators",
+    "scalars",
 ]
 
 

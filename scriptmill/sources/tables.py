@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,3 +29,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def code_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table written in code. It becomes a local relation whose size the planner knows, so a join with it is
+    broadcast by size and not by hint."""
+    types = T.StructType.fromDDL(schema)
+    columns = [list(c) for c in zip(*rows)]
+    local = spark.createDataFrame(pa.table(dict(zip(types.names, columns))))
+    return local.select(*[local[f.name].cast(f.dataType) for f in types])
