@@ -13,6 +13,9 @@ MODULES = [
     "setops",
     "generators",
     "scalars",
+    "tables_io",
+    "advice",
+    "reports",
 ]
 
 
