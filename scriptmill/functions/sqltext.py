@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-# One alternative per token kind. Strings take '' and \\x escapes; an unclosed quote is a token of its own.
+# Literals. The repetitions are possessive: Java matches them in a loop, where plain ones recurse per repetition and
+# overflow the stack on a literal with thousands of escapes.
+_SINGLE = r"'[^'\\]*+(?:(?:\\[\s\S]|'')[^'\\]*+)*+'"
+_DOUBLE = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+
+# One alternative per token kind. Strings take '' and \x escapes; an unclosed quote is a token of its own.
 TOKEN = (
     r"--[^\n]*"
     r"|/\*[\s\S]*?\*/"
-    r"|'[^'\\]*(?:(?:\\[\s\S]|'')[^'\\]*)*'"
-    r'|"[^"\\]*(?:\\[\s\S][^"\\]*)*"'
+    rf"|{_SINGLE}"
+    rf"|{_DOUBLE}"
     r"|`[^`]*`"
     r"|\$?\{\w+\}"
     r"|[A-Za-z_][A-Za-z0-9_$]*"
@@ -17,16 +22,16 @@ TOKEN = (
     r"|[^\s]"
 )
 
-# Strings are kept (group 1), comments are dropped; the newline after a line comment stays.
-STRING_OR_COMMENT = (
-    r"('[^'\\]*(?:(?:\\[\s\S]|'')[^'\\]*)*'"
-    r'|"[^"\\]*(?:\\[\s\S][^"\\]*)*"'
-    r"|`[^`]*`)"
-    r"|--[^\n]*"
-    r"|/\*[\s\S]*?\*/"
-)
+# Literals are kept (group 1), comments are dropped; the newline after a line comment stays.
+STRING_OR_COMMENT = rf"({_SINGLE}|{_DOUBLE}|`[^`]*`)" r"|--[^\n]*" r"|/\*[\s\S]*?\*/"
+
+STRING_BODY = rf"{_SINGLE}|{_DOUBLE}"
+
+
+def re2(pattern: str) -> str:
+    """The pattern without possessive repetition, for engines that never backtrack."""
+    return pattern.replace("*+", "*")
 
-STRING_BODY = r"'[^'\\]*(?:(?:\\[\s\S]|'')[^'\\]*)*'" r'|"[^"\\]*(?:\\[\s\S][^"\\]*)*"'
 
 # The keywords whose frequency is compared between two versions of a script.
 COUNTED_KEYWORDS = (

@@ -16,12 +16,12 @@ def asof_join(facts: DataFrame, history: DataFrame, key: str, at: str, start: st
               bucket: int) -> DataFrame:
     """Each fact with the values of the history row of its key that is valid at its own time, NULLs if there is none.
 
-    The histories of one key do not overlap. ``at`` and ``start`` are timestamps or dates; ``bucket`` is a span in days.
+    A NULL key has no history. The histories of one key do not overlap. ``at`` and ``start`` are timestamps or dates; ``bucket`` is a span in days.
     Both sides are sorted together inside (key, span), so no pairs are made, and a key with many rows is spread over its
     spans. The last history row before a span is carried into it from one aggregated row per (key, span).
     """
     payload = F.struct(F.col(end).alias("until"), *[F.col(v) for v in values])
-    side = history.select(F.col(key).alias("__k"), F.col(start).alias("__t"), F.lit(0).alias("__side"),
+    side = history.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(start).alias("__t"), F.lit(0).alias("__side"),
                           payload.alias("__valid"))
     fact = F.struct(*[F.col(c) for c in facts.columns]).alias("__fact")
     both = facts.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), fact).unionByName(

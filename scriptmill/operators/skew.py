@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least 1/HOT_SHARE of all rows is hot. Counts add up to the total, so there are at most HOT_SHARE of them.
-HOT_SHARE = 1000
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str], right_names: list[str] | None = None) -> Column:
-    pairs = zip(keys, right_names or keys)
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[r]) for k, r in pairs])
+# Groups that may be split; any other group holds less than 1/HOT_KEYS of all rows.
+HOT_KEYS = 1000
+# Rows of one group that one task may get in a join with the group's aggregates.
+CELL_ROWS = 1_000_000
 
 
-def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """Every row of ``df`` with its group's aggregates.
+def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Every row of ``df`` with its group's aggregates; NULL keys form a group.
 
-    The aggregates are combined map-side. Rows of hot groups meet them by a broadcast of at most HOT_SHARE rows and are
-    not shuffled; the others meet them in an ordinary join.
+    The aggregates are combined map-side. For the way back the HOT_KEYS largest groups are split by salts into cells of
+    about ``cell_rows`` rows; the rows learn their number of salts from a broadcast of at most HOT_KEYS rows. The
+    aggregates are repeated once per cell. The salt is a hash of the row, so a task that runs again puts the row into the
+    same place.
     """
-    renamed = [f"__k{i}" for i in range(len(keys))]
-    stats = df.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(F.count(F.lit(1)).alias("__n"), *aggs)
-    total = stats.agg(F.sum("__n").alias("__total"))
-    hot = (
-        stats.crossJoin(F.broadcast(total)).where(F.col("__n") * HOT_SHARE >= F.col("__total"))
-        .drop("__total").withColumn("__hot", F.lit(True))
-    )
-    marked = df.join(F.broadcast(hot), same_keys(df, hot, keys, renamed), "left").drop(*renamed)
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("__key")
+    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *aggs).withColumn(
+        "__salts", F.ceil(F.col("__n") / cell_rows).cast("int"))
     names = [c for c in stats.columns if not c.startswith("__")]
-    done = marked.where("__hot").drop("__hot", "__n")
-    rest = marked.where("__hot IS NULL").drop("__hot", "__n", *names)
-    cold = rest.join(stats, same_keys(rest, stats, keys, renamed)).drop(*renamed, "__n")
-    return done.unionByName(cold)
+    side = stats.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), *names)
+    hot = stats.orderBy(F.desc("__n")).limit(HOT_KEYS).select("__key", "__salts")
+    rows = (
+        df.withColumn("__row", F.xxhash64(*df.columns)).withColumn("__key", key)
+        .join(F.broadcast(hot), "__key", "left")
+        .withColumn("__salt", F.coalesce(F.pmod("__row", "__salts"), F.lit(0)).cast("int"))
+    )
+    return rows.join(side, ["__key", "__salt"]).select(*df.columns, *names)
 
 
 def key_profile(df: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ MODULES = [
     "corpus_lint",
     "corpus_structure",
     "corpus_versions",
+    "folders",
     "projections",
     "joins",
     "aggregates",

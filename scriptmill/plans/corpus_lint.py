@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptmill.functions.rules import RULES, STRICT_ID_NUMBER, re2_pattern
-from scriptmill.functions.sqltext import COUNTED_KEYWORDS, ELEMENTS, STRING_BODY, STRING_OR_COMMENT, SYNTAX_CLASSES
+from scriptmill.functions.sqltext import COUNTED_KEYWORDS, ELEMENTS, STRING_BODY, STRING_OR_COMMENT, SYNTAX_CLASSES, re2
 from scriptmill.operators import lint, textual
 from scriptmill.plans.registry import query, sql_text
 from scriptmill.sources.corpus import SCRIPTS_SQL, scripts_from_orders
@@ -34,8 +34,8 @@ def finding_sql(text: str = "sql") -> str:
 
 FINDINGS = f"{CORPUS},\nfindings AS (\n{finding_sql()}\n)"
 
-NO_COMMENT = f"regexp_replace(sql, {sql_text(STRING_OR_COMMENT)}, '\\1', 'g')"
-CODE_ONLY = f"regexp_replace({NO_COMMENT}, {sql_text(STRING_BODY)}, '''''', 'g')"
+NO_COMMENT = f"regexp_replace(sql, {sql_text(re2(STRING_OR_COMMENT))}, '\\1', 'g')"
+CODE_ONLY = f"regexp_replace({NO_COMMENT}, {sql_text(re2(STRING_BODY))}, '''''', 'g')"
 
 
 @query("s03_script_scan", f"{CORPUS} SELECT script_id, path, sql FROM scripts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptmill.functions.sqltext import NOT_FUNCTIONS, TOKEN, TYPE_NAMES
+from scriptmill.functions.sqltext import NOT_FUNCTIONS, TOKEN, TYPE_NAMES, re2
 from scriptmill.operators import structure, tokens
 from scriptmill.operators.structure import BY_WORDS, CLAUSE_WORDS, JOIN_WORDS, NAME_STOPS, QUERY_WORDS, SET_WORDS
 from scriptmill.plans.corpus_lint import CORPUS
@@ -17,7 +17,7 @@ def names(words: list[str]) -> str:
 
 
 TOKENS = f"""{CORPUS},
-lists AS (SELECT script_id, regexp_extract_all(sql, {sql_text(TOKEN)}) AS l FROM scripts),
+lists AS (SELECT script_id, regexp_extract_all(sql, {sql_text(re2(TOKEN))}) AS l FROM scripts),
 raw AS (SELECT script_id, unnest(l) AS tok, CAST(unnest(range(len(l))) AS INTEGER) AS pos FROM lists),
 kinds AS (SELECT *, CASE WHEN tok = chr(10) THEN 'newline' WHEN starts_with(tok, '--') THEN 'line_comment'
   WHEN starts_with(tok, '/*') AND length(tok) >= 4 THEN 'block_comment'

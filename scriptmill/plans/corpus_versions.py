@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptmill.functions.sqltext import ELEMENTS, TOKEN
+from scriptmill.functions.sqltext import ELEMENTS, TOKEN, re2
 from scriptmill.operators import integrity, structure
 from scriptmill.plans.corpus_lint import KEYWORD_RX, rx
 from scriptmill.plans.corpus_structure import TOKENS
@@ -92,7 +92,7 @@ def a17(spark, d):
 
 
 _CODE = (
-    f"list_filter(regexp_extract_all(sql, {sql_text(TOKEN)}), "
+    f"list_filter(regexp_extract_all(sql, {sql_text(re2(TOKEN))}), "
     "lambda t: NOT (regexp_matches(t, '^(--|/\\*[\\s\\S]*\\*/$)') OR t = chr(10)))"
 )
 NORMAL = (

@@ -119,29 +119,50 @@ def scripts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """scripts(script_id, path, sql) for all ``*.sql`` files below a folder."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql")
-        .text(folder, wholetext=True)
+def _one_per_script(files: DataFrame, separator: str | None) -> DataFrame:
+    """(path, value) with one row per script: a file may be a bundle of scripts, each closed by the separator."""
+    if separator is None:
+        return files
+    pieces = F.filter(F.split("value", f"\\Q{separator}\\E"), lambda s: s != "")
+    return files.select(F.posexplode(pieces).alias("no", "value"), "path").select(
+        F.concat_ws("#", "path", F.col("no").cast("string")).alias("path"), "value"
     )
-    return files.select(
-        F.col("_metadata.file_path").alias("script_id"),
-        F.col("_metadata.file_path").alias("path"),
-        F.col("value").alias("sql"),
+
+
+# Columns of a scan of whole files. Files of length 0 are left out by Spark; a blank file is a row.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def as_scripts(files: DataFrame, separator: str | None = None) -> DataFrame:
+    """scripts(script_id, path, sql) from a batch or streaming scan of files; the path identifies the script. Bytes that
+    are no UTF-8 become replacement characters."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    rows = _one_per_script(files.select("path", text.alias("value")), separator)
+    return rows.select(F.col("path").alias("script_id"), "path", F.col("value").alias("sql"))
+
+
+def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     )
 
 
-def scan_folder_checked(spark: SparkSession, folder: str) -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, glob: str = "*.sql", separator: str | None = None) -> DataFrame:
+    """scripts(script_id, path, sql) for all matching files below a folder."""
+    return as_scripts(_files(spark, folder, glob), separator)
+
+
+def scan_folder_checked(spark: SparkSession, folder: str, glob: str = "*.sql") -> DataFrame:
     """Like ``scan_folder``, but a file that is no UTF-8 text gives a row with ``error`` instead of ``sql``."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.sql").load(folder)
-    )
     valid = F.is_valid_utf8(F.col("content"))
-    return files.select(
+    return _files(spark, folder, glob).select(
         F.col("path").alias("script_id"),
         "path",
         F.when(valid, F.decode("content", "UTF-8")).alias("sql"),
         F.when(~valid, F.lit("not UTF-8 text")).alias("error"),
     )
+
+
+def write_bundles(scripts: DataFrame, folder: str, separator: str, per_file: int = 1000) -> None:
+    """Append scripts as text files of at most ``per_file`` scripts each."""
+    scripts.select("sql").write.mode("append").option("lineSep", separator).option("maxRecordsPerFile", per_file).text(folder)
