@@ -17,3 +17,12 @@ def project(df: DataFrame, contract: list[str]) -> DataFrame:
 def fill_layout(df: DataFrame, contract: dict[str, str | None]) -> DataFrame:
     """The contract's columns in order; a column the table lacks is filled with the given constant."""
     return df.select(*[F.col(c) if c in df.columns else F.lit(v).alias(c) for c, v in contract.items()])
+
+
+def report_frame(left: DataFrame, right: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``: the empty frame of a report over code lists. ``right`` travels as
+    one array, and more than ``limit`` rows are an error."""
+    packed = right.agg(F.collect_list(F.struct(*right.columns)).alias("__codes"))
+    checked = packed.select(F.when(F.size("__codes") <= limit, F.col("__codes")).otherwise(
+        F.raise_error(F.lit(f"more than {limit} codes")).cast(packed.schema["__codes"].dataType)).alias("__codes"))
+    return left.crossJoin(F.broadcast(checked)).select(*left.columns, F.inline("__codes"))

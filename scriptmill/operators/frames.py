@@ -150,12 +150,27 @@ def over_time(df: DataFrame, keys: list[str], ts: str, seconds: int,
     return spans.where("__home = __span").drop("__us", "__span", "__home")
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int, ties: bool = False) -> DataFrame:
-    """First k rows per group, or all rows of rank <= k. Spark cuts each task's rows of a group to the limit before the
-    shuffle (WindowGroupLimit), so a hot group arrives small."""
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
+    """First k rows per group. Spark cuts each task's rows of a group to the limit before the shuffle
+    (WindowGroupLimit), so a hot group arrives small."""
     window = Window.partitionBy(*keys).orderBy(*_order(order))
-    number = F.rank() if ties else F.row_number()
-    return df.withColumn("__n", number.over(window)).where(F.col("__n") <= k).withColumnRenamed("__n", "place")
+    return df.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+
+
+def top_ranks_per_group(df: DataFrame, keys: list[str], by: str, k: int) -> DataFrame:
+    """All rows of rank <= k, largest value of ``by`` first. Any number of rows may share a value, so the values are
+    counted and ranked instead of the rows: at most k values of a group can have rank <= k, and the rows meet them in a
+    join on (keys, value)."""
+    value = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col(by).alias("v")).alias("__value")
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).select(
+        "__value", "__n", *[F.col("__value")[f"k{i}"].alias(f"__k{i}") for i in range(len(keys))],
+        F.col("__value")["v"].alias("__v"))
+    groups = [f"__k{i}" for i in range(len(keys))]
+    few = top_per_group(counts, groups, [F.col("__v").desc_nulls_last()], k)
+    before = Window.partitionBy(*groups).orderBy(F.col("__v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = few.select("__value", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + 1).alias("place")).where(
+        F.col("place") <= k)
+    return df.withColumn("__value", value).join(ranked, "__value").drop("__value")
 
 
 def surrogate_code(prefix: Column, number: Column, width: int = 7) -> Column:

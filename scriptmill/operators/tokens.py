@@ -22,14 +22,17 @@ def by_statement() -> WindowSpec:
 
 
 def _kind(tok: Column) -> Column:
+    """Told by the first character and the length, the pattern has done the rest."""
+    first, long = F.ascii(tok), F.length(tok) > 1
+    letter = first.between(65, 90) | first.between(97, 122) | (first == 95)
     return (
         F.when(tok == "\n", "newline")
+        .when(letter | ((first == ord("`")) & long), "ident")
+        .when(first.between(48, 57), "number")
+        .when((first.isin(ord("'"), ord('"'))) & long, "string")
+        .when(first.isin(ord("{"), ord("$")) & long, "parameter")
         .when(tok.startswith("--"), "line_comment")
-        .when(tok.startswith("/*") & (F.length(tok) >= 4), "block_comment")
-        .when((tok.startswith("'") | tok.startswith('"')) & (F.length(tok) >= 2), "string")
-        .when(F.rlike(tok, F.lit(r"^\$?\{\w")), "parameter")
-        .when(F.rlike(tok, F.lit(r"^[A-Za-z_]|^`.")), "ident")
-        .when(F.rlike(tok, F.lit(r"^[0-9]")), "number")
+        .when(tok.startswith("/*"), "block_comment")
         .otherwise("op")
     )
 
@@ -51,7 +54,8 @@ def tokens(scripts: DataFrame) -> DataFrame:
     """
     before = by_script().rowsBetween(Window.unboundedPreceding, -1)
     tok = F.col("tok")
-    newlines = F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit("")))
+    inner = F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit("")))
+    newlines = F.when(F.col("kind") == "newline", 1).when(F.col("kind").isin("string", "block_comment"), inner).otherwise(0)
     step = F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
     return (
         raw_tokens(scripts)
@@ -61,7 +65,7 @@ def tokens(scripts: DataFrame) -> DataFrame:
         .withColumn("__ends", F.when((tok == ";") & (F.col("level") == 0), 1).otherwise(0))
         .withColumn("stmt_no", (F.lit(1) + F.coalesce(F.sum("__ends").over(before), F.lit(0))).cast("int"))
         .select("script_id", "pos", "tok", "kind",
-                F.when(F.col("kind") == "string", tok).otherwise(F.upper(tok)).alias("u"), "line", "level", "stmt_no")
+                F.when(F.col("kind") == "ident", F.upper(tok)).otherwise(tok).alias("u"), "line", "level", "stmt_no")
     )
 
 
@@ -117,7 +121,8 @@ def comments(scripts: DataFrame) -> DataFrame:
         F.substring(tok, F.lit(3), F.length(tok) - 4)
     )
     return (
-        tokens(scripts).where(F.col("kind").isin("line_comment", "block_comment"))
+        tokens(scripts.where(F.col("sql").contains("--") | F.col("sql").contains("/*")))
+        .where(F.col("kind").isin("line_comment", "block_comment"))
         .select("script_id", F.row_number().over(by_script()).alias("seq"),
                 F.when(F.col("kind") == "line_comment", "line").otherwise("block").alias("kind"),
                 F.regexp_replace(body, r"^\s+|\s+$", "").alias("content"), "line")

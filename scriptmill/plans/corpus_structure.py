@@ -30,7 +30,7 @@ kinds AS (SELECT *, CASE WHEN tok = chr(10) THEN 'newline' WHEN starts_with(tok,
 lev AS (SELECT *, CAST(1 + coalesce(sum(nl) OVER b, 0) AS INTEGER) AS line, coalesce(sum(step) OVER b, 0) AS opened
   FROM kinds WINDOW b AS (PARTITION BY script_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lev2 AS (SELECT *, CAST(least(opened, opened + step) AS INTEGER) AS level FROM lev),
-tokens AS (SELECT script_id, pos, tok, kind, CASE WHEN kind = 'string' THEN tok ELSE upper(tok) END AS u, line, level,
+tokens AS (SELECT script_id, pos, tok, kind, CASE WHEN kind = 'ident' THEN upper(tok) ELSE tok END AS u, line, level,
   step, CAST(1 + coalesce(sum(CASE WHEN tok = ';' AND level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY script_id
     ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS stmt_no FROM lev2),
 code AS (SELECT *, lag(u, 1) OVER s AS prev1, lag(u, 2) OVER s AS prev2, lead(u, 1) OVER s AS next1,

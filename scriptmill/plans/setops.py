@@ -19,7 +19,8 @@ def supp_nations(spark, d):
 
 
 def custs_with(spark, d, status):
-    return table(spark, d, "orders").where(F.col("o_orderstatus") == status).select("o_custkey")
+    """Customers of one status, each once: a set operation needs no repetitions, and a hot customer shrinks map-side."""
+    return table(spark, d, "orders").where(F.col("o_orderstatus") == status).select("o_custkey").distinct()
 
 
 @query("u01_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")

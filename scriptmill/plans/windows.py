@@ -248,7 +248,7 @@ QUALIFY rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) <= 2""",
 )
 def w17(spark, d):
     base = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
-    return frames.top_per_group(base, ["l_suppkey"], [F.desc("l_quantity")], 2, ties=True).drop("place")
+    return frames.top_ranks_per_group(base, ["l_suppkey"], "l_quantity", 2).drop("place")
 
 
 @query(

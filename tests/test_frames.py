@@ -97,6 +97,13 @@ def test_top_per_group_is_cut_before_the_shuffle(rows):
     assert top.count() == 10
 
 
+@pytest.mark.parametrize("k", [1, 3, 500])
+def test_top_ranks(rows, k):
+    w = Window.partitionBy("k").orderBy(F.desc("score"))
+    same(frames.top_ranks_per_group(rows, ["k"], "score", k).select("id", F.col("place").cast("int")),
+         rows.withColumn("place", F.rank().over(w)).where(f"place <= {k}").select("id", "place"))
+
+
 @pytest.mark.parametrize("cell", [7, 100, 10**6])
 def test_group_stats(rows, cell):
     w = Window.partitionBy("k")
