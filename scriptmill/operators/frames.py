@@ -1,9 +1,9 @@
 """Window functions for groups of any size.
 
-A plain window puts a whole group into one task. Here a group is cut into buckets along its order: the bucket is a
-function of the leading sort column that never decreases with it (a day, a price band). Rows are windowed inside
-(keys, bucket); what lies before a bucket is known from one aggregated row per bucket, and those rows are few. NULL keys
-form a group, as in a window.
+A plain window puts a whole group into one task. Here the largest groups are cut into buckets along their order: the
+bucket is a function of the leading sort column that never decreases with it (a day, a price band). Rows are windowed
+inside (keys, bucket); what lies before a bucket is known from one aggregated row per bucket, and those rows are few. All
+other groups are windowed as usual, in the same shuffle. NULL keys form a group, as in a window.
 
 Frames of a fixed number of rows are evaluated inside blocks of consecutive rows, with the rows a frame reaches over a
 block's edge copied to the neighbour block.
@@ -16,6 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from scriptmill.operators.skew import group_key, hot_groups
+
+# A group of more rows is cut, if it is among the largest.
 BLOCK_ROWS = 4096
 
 
@@ -24,18 +27,23 @@ def _order(columns: list[Column | str]) -> list[Column]:
 
 
 def _bucketed(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
-    """One struct column as key: equal structs may hold NULLs, and the window's partitioning serves the join."""
-    return df.withColumn("__key", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("b")))
-
-
-def _group(keys: list[str]) -> list[Column]:
-    return [F.col("__key")[f"k{i}"] for i in range(len(keys))]
-
-
-def _offsets(rows: DataFrame, keys: list[str], aggs: list[Column], descending: bool) -> DataFrame:
-    """(__key, before_<x>, all_<x>) per bucket for each aggregate x: the sum over earlier buckets, and over all."""
-    sums = rows.groupBy("__key").agg(*aggs)
-    whole = Window.partitionBy(*(_group(keys) or [F.lit(0)]))
+    """Adds __key, the struct (group, bucket) that rows are windowed by. The bucket is NULL outside the hot groups, which
+    are found by counting; without keys the whole table is one hot group. Inside a hot group it is a struct, so that a
+    NULL sort value has a bucket of its own that sorts as the value does."""
+    bucket = F.struct(bucket.alias("v"))
+    rows = df.withColumn("__group", group_key(keys) if keys else F.struct(F.lit(0).alias("k0")))
+    if keys:
+        hot = hot_groups(df, keys, BLOCK_ROWS).select("__group", F.lit(True).alias("__hot"))
+        rows = rows.join(F.broadcast(hot), "__group", "left")
+        bucket = F.when(F.col("__hot"), bucket)
+    return rows.withColumn("__key", F.struct(F.col("__group").alias("g"), bucket.alias("b"))).drop("__group", "__hot")
+
+
+def _offsets(rows: DataFrame, aggs: list[Column], descending: bool) -> DataFrame:
+    """(__key, before_<x>, all_<x>) per bucket of the hot groups for each aggregate x: the sum over earlier buckets, and
+    over all of the group."""
+    sums = rows.where(F.col("__key")["b"].isNotNull()).groupBy("__key").agg(*aggs)
+    whole = Window.partitionBy(F.col("__key")["g"])
     b = F.col("__key")["b"]
     before = whole.orderBy(b.desc() if descending else b.asc()).rowsBetween(Window.unboundedPreceding, -1)
     names = [c for c in sums.columns if c != "__key"]
@@ -46,22 +54,29 @@ def _offsets(rows: DataFrame, keys: list[str], aggs: list[Column], descending: b
     )
 
 
+def _plus(name: str, before: str) -> Column:
+    return F.col(name) + F.coalesce(before, F.lit(0))
+
+
 def with_ranks(df: DataFrame, keys: list[str], by: str, bucket: Column, tie_break: list[str],
                descending: bool = False) -> DataFrame:
-    """Adds row_number, rank, dense_rank and group_rows; ``by`` is ranked, ``tie_break`` only orders row_number."""
+    """Adds row_number, rank, dense_rank and group_rows; ``by`` is ranked, ``tie_break`` only orders row_number.
+
+    Rows that share one value stay in one bucket.
+    """
     rows = _bucketed(df, keys, bucket)
     lead = F.col(by).desc() if descending else F.col(by).asc()
-    offsets = _offsets(rows, keys, [F.count(F.lit(1)).alias("n"), F.count_distinct(by).alias("d")], descending)
+    offsets = _offsets(rows, [F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(by)).alias("d")], descending)
     ranked = Window.partitionBy("__key").orderBy(lead)
     numbered = Window.partitionBy("__key").orderBy(lead, *_order(tie_break))
     return (
         rows.withColumn("row_number", F.row_number().over(numbered))
         .withColumn("rank", F.rank().over(ranked)).withColumn("dense_rank", F.dense_rank().over(ranked))
-        .join(offsets, "__key")
-        .withColumn("row_number", F.col("row_number") + F.col("before_n"))
-        .withColumn("rank", F.col("rank") + F.col("before_n"))
-        .withColumn("dense_rank", F.col("dense_rank") + F.col("before_d"))
-        .withColumn("group_rows", F.col("all_n"))
+        .withColumn("group_rows", F.count(F.lit(1)).over(Window.partitionBy("__key")))
+        .join(offsets, "__key", "left")
+        .withColumn("row_number", _plus("row_number", "before_n")).withColumn("rank", _plus("rank", "before_n"))
+        .withColumn("dense_rank", _plus("dense_rank", "before_d"))
+        .withColumn("group_rows", F.coalesce("all_n", "group_rows"))
         .drop("__key", "before_n", "before_d", "all_n", "all_d")
     )
 
@@ -85,11 +100,11 @@ def with_row_number(df: DataFrame, keys: list[str], order: list[Column | str], b
                     descending: bool = False) -> DataFrame:
     """Consecutive numbers 1.. inside each group; no keys numbers the whole table."""
     rows = _bucketed(df, keys, bucket)
-    offsets = _offsets(rows, keys, [F.count(F.lit(1)).alias("n")], descending)
+    offsets = _offsets(rows, [F.count(F.lit(1)).alias("n")], descending)
     local = F.row_number().over(Window.partitionBy("__key").orderBy(*_order(order)))
     return (
-        rows.withColumn(name, local).join(offsets, "__key")
-        .withColumn(name, F.col(name) + F.col("before_n")).drop("__key", "before_n", "all_n")
+        rows.withColumn(name, local).join(offsets, "__key", "left")
+        .withColumn(name, _plus(name, "before_n")).drop("__key", "before_n", "all_n")
     )
 
 
@@ -97,13 +112,13 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[Column | str],
                      values: dict[str, Column]) -> DataFrame:
     """Adds, per name, the sum of the value from the group's first row to the current one."""
     rows = _bucketed(df, keys, bucket)
-    offsets = _offsets(rows, keys, [F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in values.items()], False)
+    offsets = _offsets(rows, [F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in values.items()], False)
     so_far = Window.partitionBy("__key").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
     for name, value in values.items():
         rows = rows.withColumn(name, F.coalesce(F.sum(value).over(so_far), F.lit(0)))
-    joined = rows.join(offsets, "__key")
+    joined = rows.join(offsets, "__key", "left")
     for name in values:
-        joined = joined.withColumn(name, F.col(name) + F.col(f"before_{name}")).drop(f"before_{name}", f"all_{name}")
+        joined = joined.withColumn(name, _plus(name, f"before_{name}")).drop(f"before_{name}", f"all_{name}")
     return joined.drop("__key")
 
 

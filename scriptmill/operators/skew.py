@@ -11,26 +11,36 @@ HOT_KEYS = 1000
 CELL_ROWS = 1_000_000
 
 
+def group_key(keys: list[str]) -> Column:
+    """The keys as one struct. Structs are equal also where they hold NULLs, as groups are."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def hot_groups(df: DataFrame, keys: list[str], more_than: int) -> DataFrame:
+    """(__group, __n): the HOT_KEYS largest groups, of those with more than so many rows. Counted map-side; never more
+    than HOT_KEYS rows, so the table can be broadcast. The order is total: every evaluation gives the same groups."""
+    counts = df.groupBy(group_key(keys).alias("__group")).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.where(F.col("__n") > more_than).orderBy(F.desc("__n"), "__group").limit(HOT_KEYS)
+
+
 def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column], cell_rows: int = CELL_ROWS) -> DataFrame:
     """Every row of ``df`` with its group's aggregates; NULL keys form a group.
 
-    The aggregates are combined map-side. For the way back the HOT_KEYS largest groups are split by salts into cells of
-    about ``cell_rows`` rows; the rows learn their number of salts from a broadcast of at most HOT_KEYS rows. The
-    aggregates are repeated once per cell. The salt is a hash of the row, so a task that runs again puts the row into the
-    same place.
+    The aggregates are combined map-side. For the way back hot groups are split by salts into cells of about
+    ``cell_rows`` rows, and the aggregates are repeated once per cell. The salt is a hash of the row, so a task that runs
+    again puts the row into the same place.
     """
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("__key")
-    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *aggs).withColumn(
-        "__salts", F.ceil(F.col("__n") / cell_rows).cast("int"))
+    salts = F.ceil(F.col("__n") / cell_rows).cast("int")
+    stats = df.groupBy(group_key(keys).alias("__group")).agg(F.count(F.lit(1)).alias("__n"), *aggs)
     names = [c for c in stats.columns if not c.startswith("__")]
-    side = stats.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), *names)
-    hot = stats.orderBy(F.desc("__n")).limit(HOT_KEYS).select("__key", "__salts")
+    side = stats.select("__group", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"), *names)
+    hot = hot_groups(df, keys, cell_rows).select("__group", salts.alias("__salts"))
     rows = (
-        df.withColumn("__row", F.xxhash64(*df.columns)).withColumn("__key", key)
-        .join(F.broadcast(hot), "__key", "left")
+        df.withColumn("__row", F.xxhash64(*df.columns)).withColumn("__group", group_key(keys))
+        .join(F.broadcast(hot), "__group", "left")
         .withColumn("__salt", F.coalesce(F.pmod("__row", "__salts"), F.lit(0)).cast("int"))
     )
-    return rows.join(side, ["__key", "__salt"]).select(*df.columns, *names)
+    return rows.join(side, ["__group", "__salt"]).select(*df.columns, *names)
 
 
 def key_profile(df: DataFrame, key: str) -> DataFrame:

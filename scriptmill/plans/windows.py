@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptmill.functions.money import cents
@@ -54,10 +53,9 @@ dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS dr FROM lin
 def w03(spark, d):
     lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag",
                   "l_quantity")
-    # Few distinct quantities per flag: the rank is found on the distinct values and met by every row.
-    values = lines.select("l_returnflag", "l_quantity").distinct().withColumn(
-        "dr", F.dense_rank().over(Window.partitionBy("l_returnflag").orderBy("l_quantity"))
-    )
+    # The distinct values are ranked and meet the rows by value, so rows that share a value need no common task.
+    values = frames.with_ranks(lines.select("l_returnflag", "l_quantity").distinct(), ["l_returnflag"], "l_quantity",
+                               F.floor("l_quantity"), []).select("l_returnflag", "l_quantity", F.col("dense_rank").alias("dr"))
     return lines.join(values, ["l_returnflag", "l_quantity"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "dr"
     )

@@ -32,6 +32,13 @@ def day():
     return F.to_date("at")
 
 
+@pytest.fixture(params=[20, 4096], autouse=True)
+def hot_rows(request, monkeypatch):
+    """Groups are cut from 20 rows on, or not at all."""
+    monkeypatch.setattr(frames, "BLOCK_ROWS", request.param)
+    return request.param
+
+
 def test_row_number(rows):
     w = Window.partitionBy("k").orderBy("at", "id")
     same(frames.with_row_number(rows, ["k"], ["at", "id"], day()).select("id", F.col("row_number").cast("long")),
@@ -44,11 +51,13 @@ def test_global_number(rows):
          rows.select("id", F.row_number().over(w).cast("long")))
 
 
+@pytest.mark.parametrize("column", ["score", "v"])
 @pytest.mark.parametrize("descending", [False, True])
-def test_ranks(rows, descending):
-    lead = F.col("score").desc() if descending else F.col("score").asc()
+def test_ranks(rows, descending, column):
+    """``v`` has NULLs."""
+    lead = F.col(column).desc() if descending else F.col(column).asc()
     by, full = Window.partitionBy("k").orderBy(lead), Window.partitionBy("k").orderBy(lead, "id")
-    got = frames.with_ranks(rows, ["k"], "score", F.floor(F.col("score") / 7), ["id"], descending)
+    got = frames.with_ranks(rows, ["k"], column, F.floor(F.col(column) / 7), ["id"], descending)
     same(
         got.select("id", *[F.col(c).cast("long") for c in ("row_number", "rank", "dense_rank")],
                    frames.ntile(7).cast("long"), frames.ntile(1001).cast("long"), F.round(frames.percent_rank(), 9)),
@@ -117,7 +126,7 @@ def test_distinct_forms(rows):
     same(skew.two_phase_distinct(rows, "k", "v"), exact)
 
 
-def test_asof_join(spark, rows):
+def test_asof_join(spark, rows, hot_rows):
     rnd = random.Random(9)
     start = dt.datetime(2023, 12, 20)
     hist = []
@@ -128,7 +137,7 @@ def test_asof_join(spark, rows):
             hist.append((key, at, until if n < 29 else None, f"{key}{n}"))
             at = until + dt.timedelta(hours=rnd.choice([0, 0, 7]))
     h = spark.createDataFrame(hist, "k string, s timestamp, e timestamp, name string")
-    got = history.asof_join(rows, h, "k", "at", "s", "e", ["name"], 3).select("id", "name")
+    got = history.asof_join(rows, h, "k", "at", "s", "e", ["name"], 3, hot_rows).select("id", "name")
     facts = {r.id: r for r in rows.collect()}
     want = {}
     for i, r in facts.items():
