@@ -8,6 +8,7 @@ from scriptmill.functions.rules import RULES, STRICT_ID_NUMBER, re2_pattern
 from scriptmill.functions.sqltext import COUNTED_KEYWORDS, ELEMENTS, STRING_BODY, STRING_OR_COMMENT, SYNTAX_CLASSES, re2
 from scriptmill.operators import lint, textual
 from scriptmill.plans.registry import query, sql_text
+from scriptmill.session import scratch_dir
 from scriptmill.sources.corpus import SCRIPTS_SQL, scripts_from_orders
 from scriptmill.sources.tables import table
 
@@ -214,6 +215,24 @@ def findings_report(spark, d):
     )
 
 
+@query(
+    "s20_report_file",
+    f"""{FINDINGS}, per AS (SELECT s.script_id, count(f.rule) AS issue_count,
+  count(CASE WHEN f.severity = 'HIGH' THEN 1 END) AS high_priority FROM scripts s LEFT JOIN findings f
+  ON s.script_id = f.script_id GROUP BY s.script_id)
+SELECT issue_count, high_priority, count(*) AS n_scripts FROM per GROUP BY issue_count, high_priority""",
+)
+def report_file(spark, d):
+    """The nested report as JSON lines, read back with its schema."""
+    path = scratch_dir(spark)
+    nested = lint.report(scripts_from_orders(spark, d))
+    nested.write.json(path)
+    return spark.read.schema(nested.schema).json(path).groupBy(
+        F.size("issues").alias("issue_count"),
+        F.size(F.filter("issues", lambda i: i["severity"] == "HIGH")).alias("high_priority"),
+    ).agg(F.count(F.lit(1)).alias("n_scripts"))
+
+
 @query(
     "a34_advice",
     f"""{CORPUS}, got AS (SELECT script_id, sql,

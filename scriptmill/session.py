@@ -19,6 +19,18 @@ DEFAULTS = {
 }
 
 
+# Those that a running session can take over; queries rely on them for time zones and for skewed joins.
+RUNTIME = ["spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+           "spark.sql.adaptive.forceOptimizeSkewedJoin"]
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set what the queries rely on in a session that somebody else has built."""
+    for key in RUNTIME:
+        spark.conf.set(key, DEFAULTS[key])
+    return spark
+
+
 def build_session(app: str = "scriptmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults above; ``conf`` uses ``__`` for the dots of a setting."""
     builder = SparkSession.builder.appName(app)
