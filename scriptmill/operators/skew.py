@@ -28,7 +28,7 @@ def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column], cell_ro
 
     The aggregates are combined map-side. For the way back hot groups are split by salts into cells of about
     ``cell_rows`` rows, and the aggregates are repeated once per cell. The salt is a hash of the row, so a task that runs
-    again puts the row into the same place.
+    again puts the row into the same place; let the rows keep a column that tells them apart (maps cannot be hashed).
     """
     salts = F.ceil(F.col("__n") / cell_rows).cast("int")
     stats = df.groupBy(group_key(keys).alias("__group")).agg(F.count(F.lit(1)).alias("__n"), *aggs)

@@ -182,7 +182,8 @@ def p20(spark, d):
 
 @query("p21_sample")
 def p21(spark, d):
-    return table(spark, d, "orders").sample(0.1, seed=123)
+    # By name: given by position, the fraction makes PySpark drop the seed.
+    return table(spark, d, "orders").sample(fraction=0.1, seed=123)
 
 
 @query("p22_hash_sample", """SELECT o_orderkey, o_totalprice FROM orders

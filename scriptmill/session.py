@@ -31,12 +31,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app: str = "scriptmill", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the defaults above; ``conf`` uses ``__`` for the dots of a setting."""
+def sized_for(input_bytes: int, partition_bytes: int = 64 * 1024 * 1024) -> dict[str, str]:
+    """Settings for an input of that size: enough shuffle partitions that one holds about ``partition_bytes`` (the tokens
+    of 64 MB of text sort in a few GB), and scan splits of the same size. AQE merges partitions that turn out small."""
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // partition_bytes))),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
+def build_session(app: str = "scriptmill", master: str | None = None, input_bytes: int | None = None,
+                  **conf: str) -> SparkSession:
+    """A session with the defaults above, sized for the input if its bytes are given; ``conf`` uses ``__`` for the dots of
+    a setting."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}
+    settings = DEFAULTS | (sized_for(input_bytes) if input_bytes else {}) | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

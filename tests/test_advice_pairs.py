@@ -74,3 +74,21 @@ def test_tokens_are_not_shuffled(spark, sf_dir):
     """The scripts are partitioned once; windows and groupings over their tokens add no exchange."""
     for name in ("a03_statements", "a20_clauses", "a28_window_specs", "a30_case_blocks"):
         assert plan(Q[name](spark, sf_dir)).count("Exchange") == 1, name
+
+
+def test_sorted_inside_partitions(spark, sf_dir):
+    parts = Q["o06_sort_by"](spark, sf_dir).rdd.glom().collect()
+    assert all([r.o_totalprice for r in p] == sorted((r.o_totalprice for r in p), reverse=True) for p in parts)
+
+
+def test_clustered(spark, sf_dir):
+    parts = [[r.o_custkey for r in p] for p in Q["o07_cluster_by"](spark, sf_dir).rdd.glom().collect()]
+    assert all(p == sorted(p) for p in parts)
+    assert sum(len(set(p)) for p in parts) == len({k for p in parts for k in p})
+
+
+def test_settings_for_a_large_input():
+    from scriptmill.session import sized_for
+
+    assert int(sized_for(100 * 10**12)["spark.sql.shuffle.partitions"]) > 1_000_000
+    assert sized_for(1)["spark.sql.shuffle.partitions"] == "200"
