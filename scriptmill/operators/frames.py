@@ -6,7 +6,7 @@ inside (keys, bucket); what lies before a bucket is known from one aggregated ro
 other groups are windowed as usual, in the same shuffle. NULL keys form a group, as in a window.
 
 Frames of a fixed number of rows are evaluated inside blocks of consecutive rows, with the rows a frame reaches over a
-block's edge copied to the neighbour block.
+block's edge copied to the neighbour block; time frames in spans.
 """
 
 from __future__ import annotations
@@ -147,22 +147,43 @@ def over_rows(df: DataFrame, keys: list[str], order: list[Column | str], bucket:
     return copies.where("__home = __block").drop("__rn", "__block", "__at", "__home")
 
 
-def over_time(df: DataFrame, keys: list[str], ts: str, seconds: int,
-              exprs: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
-    """Adds columns over the frame [ts - seconds, ts] of the same group.
+def sums_over_time(df: DataFrame, keys: list[str], ts: str, seconds: int, values: dict[str, Column],
+                   pieces: int = 96) -> DataFrame:
+    """Adds, per name, the sum of the value over the frame [ts - seconds, ts] of the same group (RANGE ... PRECEDING).
 
-    Rows are cut into spans of ``seconds``; a frame reaches into the span before at most, so each row is copied to the
-    span after its own.
+    Hot groups are cut into spans of seconds / pieces. A frame is made of the own span up to the row, of whole spans
+    before it, and of a part of the span ``pieces`` before. The whole spans are added from one row per span; the other two
+    meet in the row's span, into which the rows of the earlier span are copied.
     """
-    width = seconds * 1_000_000
-    spans = (
-        df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__span", F.floor(F.col("__us") / width))
-        .withColumn("__home", F.explode(F.array(F.col("__span"), F.col("__span") + 1)))
-    )
-    frame = Window.partitionBy(*keys, "__home").orderBy("__us").rangeBetween(-width, 0)
-    for name, build in exprs.items():
-        spans = spans.withColumn(name, build(frame))
-    return spans.where("__home = __span").drop("__us", "__span", "__home")
+    if seconds * 1_000_000 % pieces:
+        raise ValueError("the frame must be a whole number of pieces")
+    width = seconds * 1_000_000 // pieces
+    rows = df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = _bucketed(rows, keys, F.floor(F.col("__us") / width))
+    span, group = F.col("__key")["b"]["v"], F.col("__key")["g"]
+
+    parts = {f"__{what}_{n}": agg for n, v in values.items() for what, agg in (("s", F.sum(v)), ("c", F.count(v)))}
+    whole = rows.where(span.isNotNull()).groupBy("__key").agg(*[agg.alias(n) for n, agg in parts.items()])
+    between = Window.partitionBy(group).orderBy(span).rangeBetween(-(pieces - 1), -1)
+    # A span may have no rows of its own between two that have: only spans with rows are asked for.
+    middle = whole.select("__key", *[F.sum(n).over(between).alias(f"{n}_m") for n in parts])
+
+    home = F.struct(group.alias("g"), F.struct((span + pieces).alias("v")).alias("b"))
+    own = F.struct(F.col("__key").alias("key"), F.lit(True).alias("own"))
+    later = F.struct(home.alias("key"), F.lit(False).alias("own"))
+    copies = rows.withColumn("__at", F.explode(F.when(span.isNotNull(), F.array(own, later)).otherwise(F.array(own)))).select(
+        *df.columns, "__us", F.col("__at.key").alias("__key"), F.col("__at.own").alias("__own"))
+    frame = Window.partitionBy("__key").orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
+    for n, v in values.items():
+        copies = copies.withColumn(f"__s_{n}", F.sum(v).over(frame)).withColumn(f"__c_{n}", F.count(v).over(frame))
+    joined = copies.where("__own").join(middle, "__key", "left")
+    zero = F.lit(0)
+    sums = {
+        n: F.when(F.col(f"__c_{n}") + F.coalesce(f"__c_{n}_m", zero) > 0,
+                  F.coalesce(f"__s_{n}", zero) + F.coalesce(f"__s_{n}_m", zero))
+        for n in values
+    }
+    return joined.select(*df.columns, *[c.alias(n) for n, c in sums.items()])
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:

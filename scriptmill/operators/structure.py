@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptmill.functions.sqltext import NOT_FUNCTIONS, TYPE_NAMES
-from scriptmill.operators.tokens import by_script, by_statement, code_tokens, text_of, tokens
+from scriptmill.operators.tokens import by_script, by_statement, code_tokens, mentioning, text_of, tokens
 
 STMT = ["script_id", "stmt_no"]
 SO_FAR = (Window.unboundedPreceding, Window.currentRow)
@@ -20,11 +20,6 @@ NAME_STOPS = ["ON", "USING", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "WHEN
               *SET_WORDS]
 
 
-def _mentioning(scripts: DataFrame, word: str) -> DataFrame:
-    """Scripts whose text holds the word at all; the others are dropped before their tokens are made."""
-    return scripts.where(F.contains(F.upper("sql"), F.lit(word)))
-
-
 def _flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
@@ -129,7 +124,7 @@ def select_fields(scripts: DataFrame) -> DataFrame:
     clause = Window.partitionBy(*STMT, "clause_no").orderBy("pos")
     field = Window.partitionBy(*STMT, "clause_no", "ordinal").orderBy("pos")
     body = (
-        _clause_tokens(_with_notes(_mentioning(scripts, "SELECT"))).where("clause = 'SELECT'")
+        _clause_tokens(_with_notes(mentioning(scripts, "SELECT"))).where("clause = 'SELECT'")
         .withColumn("ordinal", F.lit(1) + F.coalesce(
             F.sum(_flag(comma)).over(clause.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where(~((F.col("u") == "SELECT") & (F.col("level") == 0))
@@ -158,7 +153,7 @@ def select_fields(scripts: DataFrame) -> DataFrame:
 
 def joins(scripts: DataFrame) -> DataFrame:
     """(script_id, stmt_no, level, join_no, join_type, table_name, alias, has_condition), at every level."""
-    code = code_tokens(_mentioning(scripts, "JOIN")).withColumn("next4", F.lead("u", 4).over(by_statement())).withColumn(
+    code = code_tokens(mentioning(scripts, "JOIN")).withColumn("next4", F.lead("u", 4).over(by_statement())).withColumn(
         "next5", F.lead("u", 5).over(by_statement())
     )
     for n in (1, 3):
@@ -209,7 +204,7 @@ def set_segments(scripts: DataFrame) -> DataFrame:
 
 def ctes(scripts: DataFrame) -> DataFrame:
     """(script_id, stmt_no, cte_no, name, first_line, last_line, n_tokens, has_main)."""
-    code = _first_word(code_tokens(_mentioning(scripts, "WITH"))).where("u1 = 'WITH'").withColumn(
+    code = _first_word(code_tokens(mentioning(scripts, "WITH"))).where("u1 = 'WITH'").withColumn(
         "has_main", F.max(_flag((F.col("level") == 0) & F.col("u").isin(QUERY_WORDS))).over(Window.partitionBy(*STMT))
     )
     start = (
@@ -235,7 +230,7 @@ def _create_table_tokens(scripts: DataFrame) -> DataFrame:
     full = F.when(F.col("next1") == ".", F.concat_ws(".", F.col("u"), F.col("next2"))).otherwise(F.col("u"))
     opens = (F.col("tok") == "(") & (F.col("level") == 0)
     code = (
-        _first_word(code_tokens(_mentioning(scripts, "CREATE")))
+        _first_word(code_tokens(mentioning(scripts, "CREATE")))
         .withColumn("u2", F.max(_flag((F.col("prev1") == "CREATE") & (F.col("u") == "TABLE"))).over(stmt))
         .withColumn("table_name", F.lower(F.min_by(full, F.when(names_table, F.col("pos"))).over(stmt)))
         .withColumn("as_seen", F.sum(_flag((F.col("u") == "AS") & (F.col("level") == 0)
@@ -308,7 +303,7 @@ def case_blocks(scripts: DataFrame) -> DataFrame:
     """(script_id, stmt_no, case_depth, block_no, line, n_branches, has_else)."""
     nested = Window.partitionBy(*STMT, "case_depth").orderBy("pos")
     return (
-        _case_depth(code_tokens(_mentioning(scripts, "CASE"))).where("case_depth > 0")
+        _case_depth(code_tokens(mentioning(scripts, "CASE"))).where("case_depth > 0")
         .withColumn("block_no", F.sum(_flag(F.col("u") == "CASE")).over(nested.rowsBetween(*SO_FAR)))
         .groupBy(*STMT, "case_depth", "block_no")
         .agg(F.min("line").alias("line"), F.sum(_flag(F.col("u") == "WHEN")).alias("n_branches"),
@@ -319,7 +314,7 @@ def case_blocks(scripts: DataFrame) -> DataFrame:
 def merge_parts(scripts: DataFrame) -> DataFrame:
     """(script_id, stmt_no, branch_no, part, text) of MERGE statements; parts target, source, on, then per branch
     when (with its condition) and action. WHEN inside strings or CASE does not start a branch."""
-    code = _case_depth(_first_word(code_tokens(_mentioning(scripts, "MERGE"))).where("u1 = 'MERGE'"))
+    code = _case_depth(_first_word(code_tokens(mentioning(scripts, "MERGE"))).where("u1 = 'MERGE'"))
     free = (F.col("level") == 0) & (F.col("case_depth") == 0)
     mark = (
         F.when((F.col("u") == "INTO") & (F.col("prev1") == "MERGE"), "target")
@@ -343,7 +338,7 @@ def window_specs(scripts: DataFrame) -> DataFrame:
     clause have no function, uses of a named window have no body."""
     same_level = Window.partitionBy(*STMT, "level").orderBy("pos")
     code = (
-        code_tokens(scripts.where(F.rlike("sql", F.lit("(?i)OVER|WINDOW"))))
+        code_tokens(mentioning(scripts, "OVER", "WINDOW"))
         .withColumn("at_window", F.sum(_flag((F.col("u") == "WINDOW") & (F.col("level") == 0) & (F.col("kind") == "ident")))
                     .over(by_statement().rowsBetween(*SO_FAR)))
         .withColumn("called", F.lag("u", 3).over(same_level))
@@ -380,7 +375,7 @@ def window_specs(scripts: DataFrame) -> DataFrame:
 def lateral_views(scripts: DataFrame) -> DataFrame:
     """(script_id, stmt_no, view_no, is_outer, generator, args, table_alias, columns); clauses that follow the view
     are not part of it."""
-    seg = _segments(code_tokens(_mentioning(scripts, "LATERAL")), (F.col("u") == "LATERAL") & (F.col("next1") == "VIEW"))
+    seg = _segments(code_tokens(mentioning(scripts, "LATERAL")), (F.col("u") == "LATERAL") & (F.col("next1") == "VIEW"))
     order = Window.partitionBy(*STMT, "seg_no").orderBy("pos")
     stops = ["WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "DISTRIBUTE", "CLUSTER", "SORT", "WINDOW", "JOIN", *JOIN_WORDS,
              *SET_WORDS]
@@ -407,7 +402,7 @@ def lateral_views(scripts: DataFrame) -> DataFrame:
 def subquery_depth(scripts: DataFrame) -> DataFrame:
     """(script_id, stmt_no, n_selects, max_depth): how deep a SELECT stands in parentheses."""
     return (
-        code_tokens(_mentioning(scripts, "SELECT")).where("u = 'SELECT' AND kind = 'ident'").groupBy(*STMT)
+        code_tokens(mentioning(scripts, "SELECT")).where("u = 'SELECT' AND kind = 'ident'").groupBy(*STMT)
         .agg(F.count(F.lit(1)).alias("n_selects"), F.max("level").alias("max_depth"))
     )
 

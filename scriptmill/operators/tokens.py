@@ -3,10 +3,15 @@
 The scripts, not their tokens, are shuffled: one hash partitioning on script_id before the tokens are exploded serves
 every window and grouping here and in ``structure``, because all of them have script_id among their keys. A window
 never holds more than the tokens of one script, which came from one row.
+
+All functions take scripts(script_id, path, sql), or a stored token table in their place: ``store_tokens`` writes the
+tokens once, bucketed by script, and what is derived from that table needs no shuffle at all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -37,28 +42,44 @@ def _kind(tok: Column) -> Column:
     )
 
 
-def raw_tokens(scripts: DataFrame) -> DataFrame:
+def is_token_table(df: DataFrame) -> bool:
+    return "tok" in df.columns
+
+
+def mentioning(scripts: DataFrame, *words: str) -> DataFrame:
+    """Scripts whose text holds one of the words at all; the others are dropped before their tokens are made. A stored
+    token table is returned as it is."""
+    if is_token_table(scripts):
+        return scripts
+    text = F.upper("sql")
+    return scripts.where(reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words]))
+
+
+def raw_tokens(scripts: DataFrame, partitions: int | None = None) -> DataFrame:
     """(script_id, pos, tok, kind)."""
+    columns = [F.col("script_id")] if partitions is None else [partitions, F.col("script_id")]
     return (
-        scripts.select("script_id", "sql").repartition("script_id")
+        scripts.select("script_id", "sql").repartition(*columns)
         .select("script_id", F.posexplode(F.regexp_extract_all("sql", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
         .withColumn("kind", _kind(F.col("tok")))
     )
 
 
-def tokens(scripts: DataFrame) -> DataFrame:
+def tokens(scripts: DataFrame, partitions: int | None = None) -> DataFrame:
     """(script_id, pos, tok, kind, u, line, level, stmt_no).
 
     ``u`` is the token in upper case, strings as they are. ``level`` is the parenthesis depth a token stands at, a
     parenthesis itself belongs to the outer level. A statement ends at a ``;`` of level 0.
     """
+    if is_token_table(scripts):
+        return scripts
     before = by_script().rowsBetween(Window.unboundedPreceding, -1)
     tok = F.col("tok")
     inner = F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit("")))
     newlines = F.when(F.col("kind") == "newline", 1).when(F.col("kind").isin("string", "block_comment"), inner).otherwise(0)
     step = F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
     return (
-        raw_tokens(scripts)
+        raw_tokens(scripts, partitions)
         .withColumn("line", (F.lit(1) + F.coalesce(F.sum(newlines).over(before), F.lit(0))).cast("int"))
         .withColumn("__open", F.coalesce(F.sum(step).over(before), F.lit(0)))
         .withColumn("level", F.least(F.col("__open"), F.col("__open") + step).cast("int"))
@@ -69,6 +90,12 @@ def tokens(scripts: DataFrame) -> DataFrame:
     )
 
 
+def store_tokens(scripts: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Write the tokens as a table bucketed and sorted by script, one file per bucket, and return the table."""
+    tokens(scripts, buckets).write.mode("overwrite").bucketBy(buckets, "script_id").sortBy("script_id", "pos").saveAsTable(table)
+    return scripts.sparkSession.table(table)
+
+
 def code_tokens(scripts: DataFrame) -> DataFrame:
     """Tokens of the statements, without comments, newlines and separators, with the neighbours prev1, prev2,
     next1 .. next3 (upper case) inside the statement."""
@@ -121,7 +148,7 @@ def comments(scripts: DataFrame) -> DataFrame:
         F.substring(tok, F.lit(3), F.length(tok) - 4)
     )
     return (
-        tokens(scripts.where(F.col("sql").contains("--") | F.col("sql").contains("/*")))
+        tokens(mentioning(scripts, "--", "/*"))
         .where(F.col("kind").isin("line_comment", "block_comment"))
         .select("script_id", F.row_number().over(by_script()).alias("seq"),
                 F.when(F.col("kind") == "line_comment", "line").otherwise("block").alias("kind"),

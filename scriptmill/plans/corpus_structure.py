@@ -6,8 +6,9 @@ from scriptmill.functions.sqltext import NOT_FUNCTIONS, TOKEN, TYPE_NAMES, re2
 from scriptmill.operators import structure, tokens
 from scriptmill.operators.structure import BY_WORDS, CLAUSE_WORDS, JOIN_WORDS, NAME_STOPS, QUERY_WORDS, SET_WORDS
 from scriptmill.plans.corpus_lint import CORPUS
-from scriptmill.plans.registry import query, sql_text
+from scriptmill.plans.registry import TWINS, query, sql_text
 from scriptmill.sources.corpus import scripts_from_orders
+from scriptmill.sources.sinks import work_database
 
 
 def names(words: list[str]) -> str:
@@ -81,6 +82,13 @@ def a03(spark, d):
     return tokens.statements(scripts_from_orders(spark, d))
 
 
+@query("a03_statements_stored", TWINS["a03_statements"])
+def a03_stored(spark, d):
+    """The same from a token table that is written once and bucketed by script."""
+    name = f"{work_database(spark)}.tokens"
+    return tokens.statements(tokens.store_tokens(scripts_from_orders(spark, d), name, 16))
+
+
 @query(
     "a04_comments",
     f"""{TOKENS} SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY pos) AS seq,

@@ -176,10 +176,20 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL
 )
 def w12(spark, d):
     base = table(spark, d, "events", "event_id", "user_id", "ts", "value")
-    return frames.over_time(base, ["user_id"], "ts", 86400, {
-        "n_day": lambda w: F.count(F.lit(1)).over(w),
-        "sum_day": lambda w: F.sum(cents("value")).over(w).cast("double"),
-    }).select("event_id", "n_day", "sum_day")
+    return frames.sums_over_time(base, ["user_id"], "ts", 86400, {"n_day": F.lit(1), "sum_day": cents("value")}).select(
+        "event_id", "n_day", F.col("sum_day").cast("double").alias("sum_day"))
+
+
+@query(
+    "w12_range_interval_by_type",
+    """SELECT event_id, count(*) OVER w AS n_hours, CAST(sum(CAST(value AS DECIMAL(22,2))) OVER w AS DOUBLE) AS sum_hours
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""",
+)
+def w12_types(spark, d):
+    """Few groups, each with a large part of the rows."""
+    base = table(spark, d, "events", "event_id", "event_type", "ts", "value")
+    return frames.sums_over_time(base, ["event_type"], "ts", 6 * 3600, {"n_hours": F.lit(1), "sum_hours": cents("value")}).select(
+        "event_id", "n_hours", F.col("sum_hours").cast("double").alias("sum_hours"))
 
 
 @query(

@@ -76,6 +76,22 @@ def test_tokens_are_not_shuffled(spark, sf_dir):
         assert plan(Q[name](spark, sf_dir)).count("Exchange") == 1, name
 
 
+def test_stored_tokens_need_no_shuffle(spark, sf_dir):
+    from scriptmill.operators import structure, tokens
+    from scriptmill.sources.corpus import scripts_from_orders
+    from scriptmill.sources.sinks import work_database
+
+    scripts = scripts_from_orders(spark, sf_dir)
+    stored = tokens.store_tokens(scripts, f"{work_database(spark)}.t", 4)
+    for build in (tokens.statements, tokens.comments, structure.clauses, structure.window_specs, structure.select_fields,
+                  structure.ddl_columns, structure.joins):
+        again = build(stored)
+        assert "Exchange" not in plan(again), build
+    for build in (tokens.statements, structure.select_fields):
+        again, direct = build(stored), build(scripts)
+        assert again.exceptAll(direct).count() == 0 and direct.exceptAll(again).count() == 0
+
+
 def test_sorted_inside_partitions(spark, sf_dir):
     parts = Q["o06_sort_by"](spark, sf_dir).rdd.glom().collect()
     assert all([r.o_totalprice for r in p] == sorted((r.o_totalprice for r in p), reverse=True) for p in parts)
