@@ -21,7 +21,8 @@ def asof_join(facts: DataFrame, history: DataFrame, key: str, at: str, start: st
 
     A NULL key has no history. The histories of one key do not overlap. ``at`` and ``start`` are timestamps or dates; ``bucket`` is a span in days.
     Both sides are sorted together inside a key, so no pairs are made. The largest keys are cut into spans, and the last
-    history row before a span is carried into it from one aggregated row per (key, span).
+    history row before a span is carried into it from one aggregated row per (key, span). The sides are read three times,
+    twice only for keys and times: store what is dear to derive.
     """
     payload = F.struct(F.col(end).alias("until"), *[F.col(v) for v in values])
     side = history.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(start).alias("__t"), F.lit(0).alias("__side"),

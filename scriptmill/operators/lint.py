@@ -121,8 +121,10 @@ def severity_counters(scripts: DataFrame) -> DataFrame:
 def report(scripts: DataFrame) -> DataFrame:
     """One nested row per script: (script_id, path, issues ARRAY<STRUCT>, issue_count, high, medium, low).
 
-    The issues stay an array inside the row; at most one entry per rule.
+    The issues stay an array inside the row; at most one entry per rule. An unreadable script of a checked scan keeps its
+    ``error`` and has no issues.
     """
+    errors = ["error"] if "error" in scripts.columns else []
     advice = {n: (m, g) for n, _, _, m, g in RULES}
     entries = F.array(
         *[
@@ -143,7 +145,8 @@ def report(scripts: DataFrame) -> DataFrame:
     def of(severity: str) -> Column:
         return F.size(F.filter("issues", lambda e: e["severity"] == severity))
 
-    return scripts.select("script_id", "path", issues.alias("issues")).select(
+    found = F.coalesce(issues, F.array().cast("array<struct<rule:string,severity:string,line:int,message:string,suggestion:string>>"))
+    return scripts.select("script_id", "path", *errors, found.alias("issues")).select(
         "*", F.size("issues").alias("issue_count"), of("HIGH").alias("high_priority"),
         of("MEDIUM").alias("medium_priority"), of("LOW").alias("low_priority"),
     )

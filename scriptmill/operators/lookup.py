@@ -31,22 +31,32 @@ def _packed(rules: DataFrame) -> DataFrame:
         F.raise_error(F.lit(f"more than {MAX_RULES} rules")).cast("array<struct<prio:int,word:string,code:string>>")))
 
 
-def keyword_matches(df: DataFrame, text: Column, rules: DataFrame) -> DataFrame:
+Rules = DataFrame | list[tuple[int, str, str]]
+
+
+def _with_rules(df: DataFrame, text: Column, rules: Rules) -> DataFrame:
+    """Adds __text and __rules. Rules written in code become a constant of the plan, a rule table one broadcast row."""
+    rows = df.withColumn("__text", text)
+    if isinstance(rules, list):
+        entries = [F.struct(F.lit(p).alias("prio"), F.lit(w).alias("word"), F.lit(c).alias("code")) for p, w, c in sorted(rules)]
+        return rows.withColumn("__rules", F.array(*entries))
+    return rows.crossJoin(F.broadcast(_packed(rules)))
+
+
+def keyword_matches(df: DataFrame, text: Column, rules: Rules) -> DataFrame:
     """One row per row and matching rule, with prio and code. Nothing is shuffled."""
     return (
-        df.crossJoin(F.broadcast(_packed(rules))).withColumn("__text", text)
+        _with_rules(df, text, rules)
         .withColumn("__hit", F.explode(F.filter("__rules", lambda r: F.contains(F.col("__text"), r["word"]))))
         .select("*", "__hit.prio", "__hit.code").drop("__rules", "__text", "__hit")
     )
 
 
-def keyword_code(df: DataFrame, text: Column, rules: DataFrame, default: str, name: str = "code") -> DataFrame:
+def keyword_code(df: DataFrame, text: Column, rules: Rules, default: str, name: str = "code") -> DataFrame:
     """Adds the code of the first rule, by priority, whose word occurs in the text."""
     hit = F.filter("__rules", lambda r: F.contains(F.col("__text"), r["word"]))
-    return (
-        df.crossJoin(F.broadcast(_packed(rules))).withColumn("__text", text)
-        .withColumn(name, F.coalesce(F.get(hit, F.lit(0))["code"], F.lit(default))).drop("__rules", "__text")
-    )
+    return _with_rules(df, text, rules).withColumn(
+        name, F.coalesce(F.get(hit, F.lit(0))["code"], F.lit(default))).drop("__rules", "__text")
 
 
 @udtf(returnType="prio int, code string")

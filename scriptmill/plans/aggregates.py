@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scriptmill.functions.money import money_avg, money_sum
 from scriptmill.operators.skew import two_phase_distinct
 from scriptmill.plans.registry import query
-from scriptmill.sources.tables import register_views, table
+from scriptmill.sources.tables import register_views, spread, table
 
 
 def money(col: str) -> str:
@@ -112,7 +112,7 @@ JOIN supplier ON l_suppkey = s_suppkey)"""
 def g11(spark, d):
     t = lambda n: table(spark, d, n)
     joined = (
-        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        spread(t("lineitem"), "l_orderkey").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))

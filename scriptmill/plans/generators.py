@@ -100,10 +100,10 @@ def t10(spark, d):
                              F.col("s_name")).alias("field", "value"))
 
 
-@query("t11_script_transform", "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation")
+@query("t11_script_transform", "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS name FROM customer")
 def t11(spark, d):
-    register_views(spark, d, "nation")
-    return spark.sql("SELECT TRANSFORM(n_nationkey, n_name) USING 'cat' AS (k STRING, name STRING) FROM nation")
+    register_views(spark, d, "customer")
+    return spark.sql("SELECT TRANSFORM(c_custkey, c_name) USING 'cat' AS (k STRING, name STRING) FROM customer")
 
 
 @query("t11_map_in_pandas", """SELECT event_id, upper(event_type) AS kind, value * 2 AS doubled FROM events""")

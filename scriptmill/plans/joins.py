@@ -14,7 +14,8 @@ from scriptmill.operators import history, lookup
 from scriptmill.operators.contract import report_frame
 from scriptmill.operators.frames import over_rows
 from scriptmill.plans.registry import query
-from scriptmill.sources.tables import code_table, register_views, table
+from scriptmill.session import materialize
+from scriptmill.sources.tables import code_table, register_views, spread, table
 
 
 def t(spark, d, name, *cols):
@@ -246,11 +247,12 @@ SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_extendedprice, h.o_orderke
 LEFT JOIN (SELECT * FROM history WHERE end_ts IS NULL OR end_ts > start_ts) h
 ON h.o_custkey = f.k AND h.start_ts <= f.l_shipdate AND (h.end_ts IS NULL OR h.end_ts > f.l_shipdate)""")
 def j21(spark, d):
-    lines = t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    lines = spread(t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"), "l_orderkey")
     facts = lines.join(t(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop(
         "o_orderkey")
-    valid = customer_history(spark, d).where("end_ts IS NULL OR end_ts > start_ts").withColumnRenamed(
-        "o_orderkey", "valid_order")
+    # The join reads its sides three times; the history is derived here, so it is stored first.
+    valid = materialize(customer_history(spark, d).where("end_ts IS NULL OR end_ts > start_ts").withColumnRenamed(
+        "o_orderkey", "valid_order"))
     return history.asof_join(facts, valid, "o_custkey", "l_shipdate", "start_ts", "end_ts", ["valid_order"], 31).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "valid_order")
 

@@ -14,7 +14,7 @@ from scriptmill.plans.joins import HISTORY_SQL, PREFIX_SQL, PREFIXES, customer_h
 from scriptmill.plans.registry import query, sql_text
 from scriptmill.session import materialize
 from scriptmill.sources import sinks
-from scriptmill.sources.tables import code_table, table
+from scriptmill.sources.tables import code_table, spread, table
 
 # Ordered keyword rules for the class of an item; I = income, E = expense.
 CLASS_RULES = [(1, "ring", "I01"), (2, "gear", "I02"), (3, "bolt", "E01"), (4, "red", "E02"), (5, "small", "I03")]
@@ -54,8 +54,10 @@ def swap_sign(amount: Column, direction: Column, cls: Column) -> dict[str, Colum
 
 def income_expense(spark, d) -> DataFrame:
     t = lambda n: table(spark, d, n)
+    lines = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus",
+                                        "l_shipdate"), "l_orderkey")
     rows = (
-        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -63,8 +65,7 @@ def income_expense(spark, d) -> DataFrame:
     )
     rows = lookup.code_map(rows, "o_orderpriority", code_table(spark, PRIORITY_CLASS, "p string, pc string"), "p", "pc", "", "known")
     rows = lookup.code_map(rows, "r_name", code_table(spark, REGION_CODE, "rn string, rc string"), "rn", "rc", "XX", "region")
-    rules = code_table(spark, CLASS_RULES, "prio int, word string, code string")
-    rows = lookup.keyword_code(rows, F.col("p_name"), rules, "E03", "by_word")
+    rows = lookup.keyword_code(rows, F.col("p_name"), CLASS_RULES, "E03", "by_word")
     amount = cents("l_extendedprice")
     rows = rows.select(
         F.date_format("l_shipdate", "yyyyMM").alias("month"), "region", F.col("c_mktsegment").alias("segment"), "c_acctbal",
@@ -103,7 +104,7 @@ def signed_moves(spark, d, day: str = "19980630") -> DataFrame:
     snap = history.as_of(rows, day).select("k").join(
         table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("k") == F.col("c_custkey")).select("k", "c_mktsegment")
     amount = cents("l_extendedprice")
-    moves = table(spark, d, "lineitem").join(
+    moves = spread(table(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice"), "l_orderkey").join(
         table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(F.col("o_custkey").alias("k"), F.col("l_returnflag").alias("kind"), "l_quantity",
              F.when(F.col("l_returnflag") == "R", -amount).otherwise(amount).alias("amt"))
@@ -263,8 +264,10 @@ def d08(spark, d):
         F.col("o_custkey").alias("acc"), ymd("start_ts").alias("start_dt"), F.coalesce(ymd("end_ts"), F.lit("99991231")).alias("end_dt"))
     snap = history.as_of(rows, "19991231").select("acc")
     back = F.col("l_returnflag") == "R"
+    lines = spread(table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag",
+                         "l_shipdate"), "l_orderkey")
     extract = (
-        table(spark, d, "lineitem").join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(found, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("o_custkey", "acc").join(snap, "acc")
         .select("acc", ymd("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", "l_partkey", "val",
                 F.when(back, "D").otherwise("C").alias("dr_cr"),

@@ -71,6 +71,9 @@ def test_keyword_code_by_priority(spark):
     df = spark.createDataFrame([("xabx",), ("b",), ("q",), (None,)], "t string")
     got = {r.t: r.code for r in lookup.keyword_code(df, F.col("t"), rules, "none").collect()}
     assert got == {"xabx": "AB", "b": "B", "q": "none", None: "none"}
+    listed = lookup.keyword_code(df, F.col("t"), [(2, "b", "B"), (1, "ab", "AB")], "none")
+    assert {r.t: r.code for r in listed.collect()} == got
+    assert "Join" not in listed._jdf.queryExecution().executedPlan().toString()
 
 
 def test_too_many_rules_are_refused(spark, monkeypatch):
@@ -176,6 +179,9 @@ def test_folder_scan(spark, tmp_path):
     assert {r.issue_count for r in lint.severity_counters(scan).where("path like '%blank.sql'").collect()} == {0}
     checked = {r.path.rsplit("/", 1)[1]: r for r in corpus.scan_folder_checked(spark, str(tmp_path)).collect()}
     assert checked["y.sql"].sql is None and checked["y.sql"].error
+    report = {r.path.rsplit("/", 1)[1]: r for r in lint.report(corpus.scan_folder_checked(spark, str(tmp_path))).collect()}
+    assert report["y.sql"].error and report["y.sql"].issue_count == 0 and report["y.sql"].issues == []
+    assert report["x.sql"].error is None and report["x.sql"].issue_count > 0
     assert checked["x.sql"].error is None and checked["x.sql"].sql.endswith("注释")
 
 
