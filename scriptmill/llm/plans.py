@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptmill.llm import sharding
+from scriptmill.llm import minhash, sharding
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
@@ -38,3 +38,8 @@ FROM placed
 """)
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(spark, table(spark, sf_dir, "documents"), N_SHARDS)
+
+
+@query("op3_minhash")
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
