@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptmill.llm import minhash, sharding
+from scriptmill.llm import minhash, sharding, warc
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
@@ -43,3 +43,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash")
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc", """
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < original THEN original END AS refers_to
+FROM sized
+""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
