@@ -99,18 +99,17 @@ def running_totals(rows: DataFrame, part: str, order: list[str], value: str, bef
         number, F.col("__n0") + F.col("__i")).drop("__p", "__v0", "__n0", "__i", "__s")
 
 
-def rolling(hashes: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` entries of an array of longs, by doubling: run of 2, of 4, ... and two overlapping
-    runs for the rest. An array with fewer entries gives an empty one."""
-    size = F.size(hashes)
-    have, width = hashes, 1
+def with_rolling(df: DataFrame, hashes: str, n: int, out: str) -> DataFrame:
+    """Add hashes of all runs of ``n`` entries of an array of longs, by doubling: runs of 2, of 4, ... and two overlapping
+    runs for the rest. A shorter array gives an empty one. Each step is a column, so nothing is computed twice."""
+    df, width = df.withColumn(out, F.col(hashes)), 1
     while width < n:
         step = min(width, n - width)
-        keep = F.greatest(size - (width + step) + 1, F.lit(0))
-        have = F.zip_with(F.slice(have, F.lit(1), keep), F.slice(have, F.lit(step + 1), keep),
-                          lambda a, b: F.xxhash64(a, b))
+        keep = F.greatest(F.size(out) - step, F.lit(0))
+        shifted = F.slice(out, F.lit(step + 1), keep)
+        df = df.withColumn(out, F.zip_with(F.slice(out, F.lit(1), keep), shifted, lambda a, b: F.xxhash64(a, b)))
         width += step
-    return have
+    return df
 
 
 def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
