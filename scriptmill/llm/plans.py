@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptmill.llm import decontam, minhash, sharding, warc
+from scriptmill.llm import decontam, linededup, minhash, sharding, warc
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
@@ -62,3 +63,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.without_repeated_chunks(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
+                       F.col("__removed").alias("removed"), F.col("text").alias("kept_text"))
