@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decontam, linededup, minhash, sharding, warc
+from scriptmill.llm import decontam, linededup, minhash, sharding, tokenfiles, warc
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
 N_SHARDS = 24
+END_ID = 2
 
 # CRC-32 of the UTF-8 bytes, by the table of the reversed polynomial that a rule builds.
 CRC32 = """
@@ -70,3 +72,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.without_repeated_chunks(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
                        F.col("__removed").alias("removed"), F.col("text").alias("kept_text"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokenfiles.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID).select(
+        "doc_id", "start", "n_tokens", "ids_crc32")
