@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decontam, linededup, minhash, sharding, tokenfiles, warc
+from scriptmill.llm import decontam, embeddings, linededup, minhash, sharding, tokenfiles, warc
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
@@ -79,3 +79,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokenfiles.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID).select(
         "doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op4_embeddings")
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark, table(spark, sf_dir, "embeddings"))
