@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decontam, embeddings, linededup, minhash, sharding, tokenfiles, warc
+from scriptmill.llm import decontam, embeddings, linededup, minhash, quality, sharding, tokenfiles, warc
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
@@ -84,3 +84,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_embeddings")
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_scores(spark, docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
+                         F.col("__predicted").alias("predicted"))
