@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decontam, embeddings, linededup, minhash, quality, sharding, tokenfiles, warc
+from scriptmill.llm import decontam, embeddings, linededup, minhash, packing, passages, quality, sharding, tokenfiles, warc
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
@@ -92,3 +92,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.with_scores(spark, docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
                          F.col("__predicted").alias("predicted"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op10_passages")
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(spark, table(spark, sf_dir, "documents"))
