@@ -183,3 +183,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     linked = every.filter(known).join(of_class, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = every.filter(~known).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_of_each(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, all their columns, that are the first of their component (``near_duplicates``). Of rows that
+    share the id and the text one stays; rows without an id or without words all stay."""
+    store = Stored(spark)
+    found = store.keep(near_duplicates(spark, docs, doc_id, text, **settings))
+    gone = store.keep(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct())
+    again = store.keep(found.filter("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("__id")).agg(
+        F.count(F.lit(1)).alias("m")).filter("m > 1").select("__id"))
+
+    def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return rows.join(side, rows[doc_id] == F.col("__id"), how)
+
+    left = among(docs, gone, "left_anti")
+    if again.limit(1).count():
+        left = among(left, again, "left_anti").unionByName(among(left, again, "left_semi").dropDuplicates([doc_id, text]))
+    return left
