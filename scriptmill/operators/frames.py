@@ -1,24 +1,29 @@
 """Window functions for groups of any size.
 
-A plain window puts a whole group into one task. Here the largest groups are cut into buckets along their order: the
-bucket is a function of the leading sort column that never decreases with it (a day, a price band). Rows are windowed
-inside (keys, bucket); what lies before a bucket is known from one aggregated row per bucket, and those rows are few. All
-other groups are windowed as usual, in the same shuffle. NULL keys form a group, as in a window.
+A plain window puts a whole group into one task. Here the groups that hold more rows than a shuffle partition would hold on
+average (there can be no more of them than partitions, so their list can be broadcast) are range-partitioned by their full
+order, tie break included, and stored with the number of the partition and the place of the row in it. A partition is cut
+where the data say so: inside a group, a day or a run of equal values. One row per (partition, group) then tells what lies
+before a partition, and partitions see each other through these rows only. All other groups are windowed as usual. NULL
+keys form a group, as in a window.
 
 Frames of a fixed number of rows are evaluated inside blocks of consecutive rows, with the rows a frame reaches over a
-block's edge copied to the neighbour block; time frames in spans.
+block's edge copied to the neighbour block; time frames are differences of running sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptmill.operators.skew import group_key, hot_groups
+from scriptmill.session import shuffle_partitions, store
 
-# A group of more rows is cut, if it is among the largest.
+# Rows of a block of a large group; a block is longer where a frame is.
 BLOCK_ROWS = 4096
 
 
@@ -26,59 +31,110 @@ def _order(columns: list[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
-def _bucketed(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
-    """Adds __key, the struct (group, bucket) that rows are windowed by. The bucket is NULL outside the hot groups, which
-    are found by counting; without keys the whole table is one hot group. Inside a hot group it is a struct, so that a
-    NULL sort value has a bucket of its own that sorts as the value does."""
-    bucket = F.struct(bucket.alias("v"))
+@dataclass
+class Split:
+    """``plain``: rows of groups that fit a task. ``cut``: the other rows, stored in order, with __part, __at (place in the
+    part) and __group; None if there are none."""
+
+    plain: DataFrame | None
+    cut: DataFrame | None
+
+
+def split(df: DataFrame, keys: list[str], order: list[Column | str]) -> Split:
+    """Without keys the whole table is one group."""
+    spark = df.sparkSession
     rows = df.withColumn("__group", group_key(keys) if keys else F.struct(F.lit(0).alias("k0")))
+    plain, large = None, rows
     if keys:
-        hot = hot_groups(df, keys, BLOCK_ROWS).select("__group", F.lit(True).alias("__hot"))
-        rows = rows.join(F.broadcast(hot), "__group", "left")
-        bucket = F.when(F.col("__hot"), bucket)
-    return rows.withColumn("__key", F.struct(F.col("__group").alias("g"), bucket.alias("b"))).drop("__group", "__hot")
-
-
-def _offsets(rows: DataFrame, aggs: list[Column], descending: bool) -> DataFrame:
-    """(__key, before_<x>, all_<x>) per bucket of the hot groups for each aggregate x: the sum over earlier buckets, and
-    over all of the group."""
-    sums = rows.where(F.col("__key")["b"].isNotNull()).groupBy("__key").agg(*aggs)
-    whole = Window.partitionBy(F.col("__key")["g"])
-    b = F.col("__key")["b"]
-    before = whole.orderBy(b.desc() if descending else b.asc()).rowsBetween(Window.unboundedPreceding, -1)
-    names = [c for c in sums.columns if c != "__key"]
-    return sums.select(
-        "__key",
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in names],
-        *[F.sum(n).over(whole).alias(f"all_{n}") for n in names],
-    )
+        hot = hot_groups(df, keys).select(F.col("__group").alias("__hot"))
+        if not hot.limit(1).count():
+            return Split(rows, None)
+        same = F.col("__group") == F.col("__hot")
+        plain, large = rows.join(F.broadcast(hot), same, "left_anti"), rows.join(F.broadcast(hot), same, "left_semi")
+    # the row's hash parts rows that the order leaves equal (maps cannot be hashed)
+    hashed = [F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)])]
+    by = [F.col("__group"), *_order(order), *hashed]
+    placed = large.repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id()  # partition number in the upper bits, place in the lower 33
+    return Split(plain, store(placed.withColumn("__part", F.shiftright(place, 33).cast("int")).withColumn(
+        "__at", place.bitwiseAND((1 << 33) - 1))))
+
+
+def _spans(cut: DataFrame, aggs: list[Column]) -> DataFrame:
+    """(__p, __g, aggregates) per partition and group: a row per group and one more per further partition, so no more
+    than two per partition."""
+    return cut.groupBy(F.col("__part").alias("__p"), F.col("__group").alias("__g")).agg(*aggs)
+
+
+def _earlier() -> WindowSpec:
+    return Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _whole() -> WindowSpec:
+    return Window.partitionBy("__g")
+
 
+def _meet(cut: DataFrame, spans: DataFrame) -> DataFrame:
+    return cut.join(F.broadcast(spans), (F.col("__part") == F.col("__p")) & (F.col("__group") == F.col("__g"))).drop("__p", "__g")
 
-def _plus(name: str, before: str) -> Column:
-    return F.col(name) + F.coalesce(before, F.lit(0))
 
+def _joined(parts: list[DataFrame | None], columns: list[str]) -> DataFrame:
+    found = [p.select(*columns) for p in parts if p is not None]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
-def with_ranks(df: DataFrame, keys: list[str], by: str, bucket: Column, tie_break: list[str],
-               descending: bool = False) -> DataFrame:
+
+def with_row_number(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_number") -> DataFrame:
+    """Consecutive numbers 1.. inside each group; no keys numbers the whole table."""
+    two = split(df, keys, order)
+    plain = cut = None
+    if two.plain is not None:
+        plain = two.plain.withColumn(name, F.row_number().over(Window.partitionBy("__group").orderBy(*_order(order))).cast("long"))
+    if two.cut is not None:
+        spans = _spans(two.cut, [F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")]).withColumn(
+            "__before", F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)))
+        cut = _meet(two.cut, spans).withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1)
+    return _joined([plain, cut], [c for c in df.columns if c != name] + [name])
+
+
+def with_ranks(df: DataFrame, keys: list[str], by: str, tie_break: list[str], descending: bool = False) -> DataFrame:
     """Adds row_number, rank, dense_rank and group_rows; ``by`` is ranked, ``tie_break`` only orders row_number.
 
-    Rows that share one value stay in one bucket.
+    Rows that share one value may lie in several partitions: rank and dense rank of a partition's first value go on where
+    it is the last one of the partition before.
     """
-    rows = _bucketed(df, keys, bucket)
     lead = F.col(by).desc() if descending else F.col(by).asc()
-    offsets = _offsets(rows, [F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(by)).alias("d")], descending)
-    ranked = Window.partitionBy("__key").orderBy(lead)
-    numbered = Window.partitionBy("__key").orderBy(lead, *_order(tie_break))
-    return (
-        rows.withColumn("row_number", F.row_number().over(numbered))
-        .withColumn("rank", F.rank().over(ranked)).withColumn("dense_rank", F.dense_rank().over(ranked))
-        .withColumn("group_rows", F.count(F.lit(1)).over(Window.partitionBy("__key")))
-        .join(offsets, "__key", "left")
-        .withColumn("row_number", _plus("row_number", "before_n")).withColumn("rank", _plus("rank", "before_n"))
-        .withColumn("dense_rank", _plus("dense_rank", "before_d"))
-        .withColumn("group_rows", F.coalesce("all_n", "group_rows"))
-        .drop("__key", "before_n", "before_d", "all_n", "all_d")
-    )
+    two = split(df, keys, [lead, *tie_break])
+    plain = cut = None
+    if two.plain is not None:
+        ranked = Window.partitionBy("__group").orderBy(lead)
+        numbered = Window.partitionBy("__group").orderBy(lead, *_order(tie_break))
+        plain = two.plain.withColumns({
+            "row_number": F.row_number().over(numbered).cast("long"), "rank": F.rank().over(ranked).cast("long"),
+            "dense_rank": F.dense_rank().over(ranked).cast("long"),
+            "group_rows": F.count(F.lit(1)).over(Window.partitionBy("__group"))})
+    if two.cut is not None:
+        local = Window.partitionBy("__part", "__group").orderBy(lead)
+        rows = two.cut.withColumns({"__r": F.rank().over(local).cast("long"), "__d": F.dense_rank().over(local).cast("long")})
+        value = F.struct(F.col(by).alias("v"))
+        spans = _spans(rows, [
+            F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"), F.max("__d").alias("__values"),
+            F.max("__r").alias("__last_rank"), F.min_by(value, "__at").alias("__head"), F.max_by(value, "__at").alias("__tail")])
+        ordered = Window.partitionBy("__g").orderBy("__p")
+        before = lambda c: F.coalesce(F.sum(c).over(_earlier()), F.lit(0))
+        goes_on = F.coalesce(F.col("__head") == F.lag("__tail").over(ordered), F.lit(False))
+        spans = spans.withColumn("__on", goes_on).withColumn("__before", before("__n"))
+        spans = spans.withColumn("__d0", before(F.col("__values") - F.col("__on").cast("long")) - F.col("__on").cast("long"))
+        # rank of the last value of a partition; unknown where the partition only goes on with the value before it
+        tail = F.when(~(F.col("__on") & (F.col("__values") == 1)), F.col("__before") + F.col("__last_rank"))
+        spans = spans.withColumn("__tail_rank", tail).withColumn("__run", F.last("__tail_rank", ignorenulls=True).over(_earlier()))
+        spans = spans.withColumn("__all", F.sum("__n").over(_whole())).drop("__values", "__last_rank", "__head", "__tail",
+                                                                              "__tail_rank", "__n")
+        met = _meet(rows, spans)
+        cut = met.withColumns({
+            "row_number": F.col("__at") - F.col("__first") + F.col("__before") + 1,
+            "rank": F.when(F.col("__on") & (F.col("__r") == 1), F.col("__run")).otherwise(F.col("__before") + F.col("__r")),
+            "dense_rank": F.col("__d") + F.col("__d0"), "group_rows": F.col("__all")})
+    return _joined([plain, cut], [*df.columns, "row_number", "rank", "dense_rank", "group_rows"])
 
 
 def ntile(n: int, row_number: str = "row_number", group_rows: str = "group_rows") -> Column:
@@ -96,94 +152,99 @@ def percent_rank(rank: str = "rank", group_rows: str = "group_rows") -> Column:
     return F.when(F.col(group_rows) <= 1, F.lit(0.0)).otherwise((F.col(rank) - 1) / (F.col(group_rows) - 1))
 
 
-def with_row_number(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column, name: str = "row_number",
-                    descending: bool = False) -> DataFrame:
-    """Consecutive numbers 1.. inside each group; no keys numbers the whole table."""
-    rows = _bucketed(df, keys, bucket)
-    offsets = _offsets(rows, [F.count(F.lit(1)).alias("n")], descending)
-    local = F.row_number().over(Window.partitionBy("__key").orderBy(*_order(order)))
-    return (
-        rows.withColumn(name, local).join(offsets, "__key", "left")
-        .withColumn(name, _plus(name, "before_n")).drop("__key", "before_n", "all_n")
-    )
-
-
-def with_running_sum(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
-                     values: dict[str, Column]) -> DataFrame:
+def with_running_sum(df: DataFrame, keys: list[str], order: list[Column | str], values: dict[str, Column]) -> DataFrame:
     """Adds, per name, the sum of the value from the group's first row to the current one."""
-    rows = _bucketed(df, keys, bucket)
-    offsets = _offsets(rows, [F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in values.items()], False)
-    so_far = Window.partitionBy("__key").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
-    for name, value in values.items():
-        rows = rows.withColumn(name, F.coalesce(F.sum(value).over(so_far), F.lit(0)))
-    joined = rows.join(offsets, "__key", "left")
-    for name in values:
-        joined = joined.withColumn(name, _plus(name, f"before_{name}")).drop(f"before_{name}", f"all_{name}")
-    return joined.drop("__key")
-
-
-def over_rows(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column, preceding: int, following: int,
+    two = split(df, keys, order)
+    rows_before = [Window.unboundedPreceding, Window.currentRow]
+    plain = cut = None
+    if two.plain is not None:
+        so_far = Window.partitionBy("__group").orderBy(*_order(order)).rowsBetween(*rows_before)
+        plain = two.plain.withColumns({n: F.coalesce(F.sum(v).over(so_far), F.lit(0)) for n, v in values.items()})
+    if two.cut is not None:
+        so_far = Window.partitionBy("__part", "__group").orderBy("__at").rowsBetween(*rows_before)
+        spans = _spans(two.cut, [F.coalesce(F.sum(v), F.lit(0)).alias(f"__sum_{n}") for n, v in values.items()])
+        spans = spans.select("__p", "__g", *[
+            F.coalesce(F.sum(f"__sum_{n}").over(_earlier()), F.lit(0)).alias(f"__before_{n}") for n in values])
+        local = two.cut.withColumns({f"__so_far_{n}": F.coalesce(F.sum(v).over(so_far), F.lit(0)) for n, v in values.items()})
+        cut = _meet(local, spans).withColumns({n: F.col(f"__so_far_{n}") + F.col(f"__before_{n}") for n in values})
+    kept = [c for c in df.columns if c not in values]
+    return _joined([plain, cut], [*kept, *values])
+
+
+def with_latest(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Adds the last value, from the group's first row to the current one, that is not NULL."""
+    two = split(df, keys, order)
+    rows_before = [Window.unboundedPreceding, Window.currentRow]
+    plain = cut = None
+    if two.plain is not None:
+        so_far = Window.partitionBy("__group").orderBy(*_order(order)).rowsBetween(*rows_before)
+        plain = two.plain.withColumn(name, F.last(value, ignorenulls=True).over(so_far))
+    if two.cut is not None:
+        so_far = Window.partitionBy("__part", "__group").orderBy("__at").rowsBetween(*rows_before)
+        newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__at"))).alias("__newest")
+        spans = _spans(two.cut, [newest]).select("__p", "__g", F.last("__newest", ignorenulls=True).over(_earlier()).alias("__carried"))
+        met = _meet(two.cut.withColumn("__seen", F.last(value, ignorenulls=True).over(so_far)), spans)
+        cut = met.withColumn(name, F.coalesce("__seen", "__carried"))
+    return _joined([plain, cut], [*df.columns, name])
+
+
+def over_rows(df: DataFrame, keys: list[str], order: list[Column | str], preceding: int, following: int,
               exprs: dict[str, Callable[[WindowSpec], Column]], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds columns computed over a window that looks at most ``preceding`` rows back and ``following`` ahead.
 
     Each expression gets the window without a frame, and sets its own within these limits.
     """
-    if max(preceding, following) > block_rows:
-        raise ValueError("a frame may reach into the neighbour block only; raise block_rows")
-    numbered = with_row_number(df, keys, order, bucket, "__rn").withColumn(
-        "__block", F.floor((F.col("__rn") - 1) / block_rows)
-    ).withColumn("__at", (F.col("__rn") - 1) % block_rows)
-    homes = F.array_compact(
-        F.array(
+    two = split(df, keys, order)
+    plain = cut = None
+    if two.plain is not None:
+        window = Window.partitionBy("__group").orderBy(*_order(order))
+        plain = two.plain
+        for name, build in exprs.items():
+            plain = plain.withColumn(name, build(window))
+    if two.cut is not None:
+        block = max(block_rows, preceding, following)
+        spans = _spans(two.cut, [F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")]).withColumn(
+            "__before", F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)))
+        rows = _meet(two.cut, spans).withColumn("__no", F.col("__at") - F.col("__first") + F.col("__before"))
+        rows = rows.withColumn("__block", F.floor(F.col("__no") / block)).withColumn("__in", F.col("__no") % block)
+        homes = F.array_compact(F.array(
             F.col("__block"),
-            F.when(F.col("__at") >= block_rows - preceding, F.col("__block") + 1),
-            F.when((F.col("__at") < following) & (F.col("__block") > 0), F.col("__block") - 1),
-        )
-    )
-    copies = numbered.withColumn("__home", F.explode(homes))
-    window = Window.partitionBy(*keys, "__home").orderBy("__rn")
-    for name, build in exprs.items():
-        copies = copies.withColumn(name, build(window))
-    return copies.where("__home = __block").drop("__rn", "__block", "__at", "__home")
-
-
-def sums_over_time(df: DataFrame, keys: list[str], ts: str, seconds: int, values: dict[str, Column],
-                   pieces: int = 96) -> DataFrame:
-    """Adds, per name, the sum of the value over the frame [ts - seconds, ts] of the same group (RANGE ... PRECEDING).
-
-    Hot groups are cut into spans of seconds / pieces. A frame is made of the own span up to the row, of whole spans
-    before it, and of a part of the span ``pieces`` before. The whole spans are added from one row per span; the other two
-    meet in the row's span, into which the rows of the earlier span are copied.
+            F.when(F.col("__in") >= block - preceding, F.col("__block") + 1),
+            F.when((F.col("__in") < following) & (F.col("__block") > 0), F.col("__block") - 1)))
+        cut = rows.withColumn("__home", F.explode(homes))
+        window = Window.partitionBy("__group", "__home").orderBy("__no")
+        for name, build in exprs.items():
+            cut = cut.withColumn(name, build(window))
+        cut = cut.where("__home = __block")
+    return _joined([plain, cut], [*[c for c in df.columns if c not in exprs], *exprs])
+
+
+def sums_over_time(df: DataFrame, keys: list[str], ts: str, seconds: int, values: dict[str, Column]) -> DataFrame:
+    """Adds, per name, the sum of the value over the frame [ts - seconds, ts] of the same group (RANGE ... PRECEDING); NULL
+    if the frame has no value. Values must be whole numbers or decimals, whose running sums are exact.
+
+    Values are first summed per time, the sums added up along the time (``with_running_sum``), and the sum before the frame
+    is carried to its end (``with_latest``); rows then meet the sums of their time. Rows without a time form their own frame.
     """
-    if seconds * 1_000_000 % pieces:
-        raise ValueError("the frame must be a whole number of pieces")
-    width = seconds * 1_000_000 // pieces
-    rows = df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = _bucketed(rows, keys, F.floor(F.col("__us") / width))
-    span, group = F.col("__key")["b"]["v"], F.col("__key")["g"]
-
-    parts = {f"__{what}_{n}": agg for n, v in values.items() for what, agg in (("s", F.sum(v)), ("c", F.count(v)))}
-    whole = rows.where(span.isNotNull()).groupBy("__key").agg(*[agg.alias(n) for n, agg in parts.items()])
-    between = Window.partitionBy(group).orderBy(span).rangeBetween(-(pieces - 1), -1)
-    # A span may have no rows of its own between two that have: only spans with rows are asked for.
-    middle = whole.select("__key", *[F.sum(n).over(between).alias(f"{n}_m") for n in parts])
-
-    home = F.struct(group.alias("g"), F.struct((span + pieces).alias("v")).alias("b"))
-    own = F.struct(F.col("__key").alias("key"), F.lit(True).alias("own"))
-    later = F.struct(home.alias("key"), F.lit(False).alias("own"))
-    copies = rows.withColumn("__at", F.explode(F.when(span.isNotNull(), F.array(own, later)).otherwise(F.array(own)))).select(
-        *df.columns, "__us", F.col("__at.key").alias("__key"), F.col("__at.own").alias("__own"))
-    frame = Window.partitionBy("__key").orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
-    for n, v in values.items():
-        copies = copies.withColumn(f"__s_{n}", F.sum(v).over(frame)).withColumn(f"__c_{n}", F.count(v).over(frame))
-    joined = copies.where("__own").join(middle, "__key", "left")
-    zero = F.lit(0)
-    sums = {
-        n: F.when(F.col(f"__c_{n}") + F.coalesce(f"__c_{n}_m", zero) > 0,
-                  F.coalesce(f"__s_{n}", zero) + F.coalesce(f"__s_{n}_m", zero))
-        for n in values
-    }
-    return joined.select(*df.columns, *[c.alias(n) for n, c in sums.items()])
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumn("__spot", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], at.alias("us")))
+    parts = {f"{what}{i}": agg for i, v in enumerate(values.values()) for what, agg in (("s", F.sum(v)), ("c", F.count(v)))}
+    times = rows.groupBy("__spot").agg(*[agg.alias(n) for n, agg in parts.items()]).select("__spot.*", *parts)
+    groups = [f"k{i}" for i in range(len(keys))]
+    running = store(with_running_sum(times.where("us IS NOT NULL"), groups, ["us"], {f"r{n}": F.col(n) for n in parts}))
+    sums = F.struct(*[f"r{n}" for n in parts])
+    marks = running.select(*groups, "us", F.lit(0).alias("side"), sums.alias("sum"), F.lit(None).cast("struct<%s>" % ",".join(
+        f"r{n}:{dict(running.dtypes)[f'r{n}']}" for n in parts)).alias("own"))
+    asks = running.select(*groups, (F.col("us") - seconds * 1_000_000 - 1).alias("us"), F.lit(1).alias("side"),
+                          F.lit(None).cast(marks.schema["sum"].dataType).alias("sum"), sums.alias("own"))
+    found = with_latest(marks.unionByName(asks), groups, ["us", "side"], "sum", "before").where("side = 1")
+    in_frame = {n: F.col("own")[f"r{n}"] - F.coalesce(F.col("before")[f"r{n}"], F.lit(0)) for n in parts}
+    framed = found.select(F.struct(*groups, (F.col("us") + seconds * 1_000_000 + 1).alias("us")).alias("__at"),
+                          *[c.alias(n) for n, c in in_frame.items()])
+    timeless = times.where("us IS NULL").select(F.struct(*groups, "us").alias("__at"), *parts)
+    framed = store(framed.unionByName(timeless))
+    met = rows.join(framed, F.col("__spot") == F.col("__at"))
+    return met.select(*df.columns, *[F.when(F.col(f"c{i}") > 0, F.col(f"s{i}")).alias(n) for i, n in enumerate(values)])
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.operators.frames import BLOCK_ROWS
-from scriptmill.operators.skew import hot_groups
+from scriptmill.operators.frames import with_latest
 
 
 def as_of(history: DataFrame, day: Column | str, start: str = "start_dt", end: str = "end_dt") -> DataFrame:
@@ -15,14 +14,13 @@ def as_of(history: DataFrame, day: Column | str, start: str = "start_dt", end: s
     return history.where((F.col(start) <= d) & (F.col(end) > d))
 
 
-def asof_join(facts: DataFrame, history: DataFrame, key: str, at: str, start: str, end: str, values: list[str],
-              bucket: int, hot_rows: int = BLOCK_ROWS) -> DataFrame:
+def asof_join(facts: DataFrame, history: DataFrame, key: str, at: str, start: str, end: str, values: list[str]) -> DataFrame:
     """Each fact with the values of the history row of its key that is valid at its own time, NULLs if there is none.
 
-    A NULL key has no history. The histories of one key do not overlap. ``at`` and ``start`` are timestamps or dates; ``bucket`` is a span in days.
-    Both sides are sorted together inside a key, so no pairs are made. The largest keys are cut into spans, and the last
-    history row before a span is carried into it from one aggregated row per (key, span). The sides are read three times,
-    twice only for keys and times: store what is dear to derive.
+    A NULL key has no history. The histories of one key do not overlap. ``at`` and ``start`` are timestamps or dates. Both
+    sides are sorted together inside a key and the last history row is carried forward, so no pairs are made; keys with
+    many rows are cut along the time (``frames.with_latest``). The sides are read up to four times: store what is dear to
+    derive.
     """
     payload = F.struct(F.col(end).alias("until"), *[F.col(v) for v in values])
     side = history.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(start).alias("__t"), F.lit(0).alias("__side"),
@@ -31,20 +29,6 @@ def asof_join(facts: DataFrame, history: DataFrame, key: str, at: str, start: st
     both = facts.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), fact).unionByName(
         side, allowMissingColumns=True
     )
-    hot = hot_groups(both, ["__k"], hot_rows).select(F.col("__group")["k0"].alias("__hot"))
-    span = F.floor(F.unix_date(F.to_date("__t")) / bucket)
-    both = both.join(F.broadcast(hot), F.col("__k").eqNullSafe(F.col("__hot")), "left").withColumn(
-        "__key", F.struct(F.col("__k").alias("k"), F.when(F.col("__hot").isNotNull(), span).alias("span"))
-    ).drop("__hot")
-
-    spans = both.where(F.col("__key")["span"].isNotNull()).groupBy("__key").agg(
-        F.max_by("__valid", F.when(F.col("__side") == 0, F.col("__t"))).alias("__newest"))
-    earlier = Window.partitionBy(F.col("__key")["k"]).orderBy(F.col("__key")["span"]).rowsBetween(
-        Window.unboundedPreceding, -1)
-    carried = spans.select("__key", F.last("__newest", ignorenulls=True).over(earlier).alias("__carried"))
-
-    inside = Window.partitionBy("__key").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("__seen", F.last("__valid", ignorenulls=True).over(inside)).where("__side = 1")
-    met = seen.join(carried, "__key", "left").withColumn("__v", F.coalesce("__seen", "__carried"))
+    met = with_latest(both, ["__k"], ["__t", "__side"], "__valid", "__v").where("__side = 1")
     valid = F.col("__v")["until"].isNull() | (F.col("__v")["until"] > F.col("__t"))
     return met.select("__fact.*", *[F.when(valid, F.col("__v")[v]).alias(v) for v in values])

@@ -16,47 +16,73 @@ KEYWORD_RULES: list[tuple[int, str, str]] = [
     (6, "red", "C01"), (7, "blue", "C02"), (8, "hot", "T01"), (9, "cold", "T02"), (10, "small", "S01"),
 ]
 
-# Rules travel inside one row, so their number is limited; a larger table is joined instead.
-MAX_RULES = 10_000
-
-
 def rules_table(spark: SparkSession) -> DataFrame:
     return code_table(spark, KEYWORD_RULES, "prio int, word string, code string")
 
 
-def _packed(rules: DataFrame) -> DataFrame:
-    """All rules as one row with an array by priority; an error, not a cut, beyond MAX_RULES."""
-    packed = rules.agg(F.array_sort(F.collect_list(F.struct("prio", "word", "code"))).alias("__rules"))
-    return packed.withColumn("__rules", F.when(F.size("__rules") <= MAX_RULES, F.col("__rules")).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_RULES} rules")).cast("array<struct<prio:int,word:string,code:string>>")))
-
-
 Rules = DataFrame | list[tuple[int, str, str]]
+# Rules of a table that may travel inside one row (counted before they are collected); a larger table is joined.
+PACKED_RULES = 10_000
 
 
-def _with_rules(df: DataFrame, text: Column, rules: Rules) -> DataFrame:
-    """Adds __text and __rules. Rules written in code become a constant of the plan, a rule table one broadcast row."""
-    rows = df.withColumn("__text", text)
-    if isinstance(rules, list):
-        entries = [F.struct(F.lit(p).alias("prio"), F.lit(w).alias("word"), F.lit(c).alias("code")) for p, w, c in sorted(rules)]
-        return rows.withColumn("__rules", F.array(*entries))
-    return rows.crossJoin(F.broadcast(_packed(rules)))
+def _packed(rules: Rules) -> Column | None:
+    """The rules as a constant array by priority, or None if there are too many."""
+    if not isinstance(rules, list):
+        found = rules.select("prio", "word", "code").limit(PACKED_RULES + 1).collect()
+        if len(found) > PACKED_RULES:
+            return None
+        rules = [tuple(r) for r in found]
+    kind = "array<struct<prio:int,word:string,code:string>>"
+    entries = [F.struct(F.lit(p).alias("prio"), F.lit(w).alias("word"), F.lit(c).alias("code")) for p, w, c in sorted(rules)]
+    return F.array(*entries).cast(kind)
 
 
 def keyword_matches(df: DataFrame, text: Column, rules: Rules) -> DataFrame:
-    """One row per row and matching rule, with prio and code. Nothing is shuffled."""
-    return (
-        _with_rules(df, text, rules)
-        .withColumn("__hit", F.explode(F.filter("__rules", lambda r: F.contains(F.col("__text"), r["word"]))))
-        .select("*", "__hit.prio", "__hit.code").drop("__rules", "__text", "__hit")
-    )
+    """One row per row and matching rule, with prio and code.
+
+    Few rules become a constant of the plan, and nothing is shuffled. Many are grouped by their first three characters
+    and joined with the texts on the three-character pieces of a text, so a text meets only rules that may occur in it;
+    shorter words are always few (there are not many of them) and stay in the plan.
+    """
+    packed = _packed(rules)
+    rows = df.withColumn("__text", text)
+    if packed is not None:
+        hits = F.filter(packed, lambda r: F.contains(F.col("__text"), r["word"]))
+        return rows.withColumn("__hit", F.explode(hits)).select("*", "__hit.prio", "__hit.code").drop("__text", "__hit")
+    long = rules.where(F.length("word") >= 3).select(
+        F.substring("word", 1, 3).alias("__gram"), F.col("prio").alias("__p"), F.col("word").alias("__w"), F.col("code").alias("__c"))
+    texts = df.select(text.alias("__text")).where("__text IS NOT NULL").distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__text") - 2, F.lit(1))),
+                                         lambda i: F.substring(F.col("__text"), i, 3)))
+    met = texts.withColumn("__gram", F.explode(grams)).join(long, "__gram").where(F.contains("__text", "__w"))
+    met = met.select("__text", "__p", "__c")
+    short = rules.where(F.length("word") < 3)
+    for row in short.limit(PACKED_RULES + 1).toLocalIterator():
+        met = met.unionByName(texts.where(F.contains("__text", F.lit(row["word"]))).select(
+            "__text", F.lit(row["prio"]).alias("__p"), F.lit(row["code"]).alias("__c")))
+    return rows.join(met, "__text").select(*df.columns, F.col("__p").alias("prio"), F.col("__c").alias("code"))
 
 
 def keyword_code(df: DataFrame, text: Column, rules: Rules, default: str, name: str = "code") -> DataFrame:
     """Adds the code of the first rule, by priority, whose word occurs in the text."""
-    hit = F.filter("__rules", lambda r: F.contains(F.col("__text"), r["word"]))
-    return _with_rules(df, text, rules).withColumn(
-        name, F.coalesce(F.get(hit, F.lit(0))["code"], F.lit(default))).drop("__rules", "__text")
+    packed = _packed(rules)
+    rows = df.withColumn("__text", text)
+    if packed is not None:
+        hit = F.filter(packed, lambda r: F.contains(F.col("__text"), r["word"]))
+        return rows.withColumn(name, F.coalesce(F.get(hit, F.lit(0))["code"], F.lit(default))).drop("__text")
+    texts = df.select(text.alias("__key")).distinct()
+    first = keyword_matches(texts, F.col("__key"), rules).groupBy("__key").agg(F.min_by("code", "prio").alias("__code"))
+    return rows.join(first, F.col("__text") == F.col("__key"), "left").select(
+        *[c for c in df.columns if c != name], F.coalesce("__code", F.lit(default)).alias(name))
+
+
+def not_in(left: DataFrame, key: str, right: DataFrame, value: str) -> DataFrame:
+    """Rows of ``left`` for which ``key NOT IN (SELECT value FROM right)`` holds: none if the right side has a NULL; all if
+    it is empty; otherwise those with a known key that does not occur. An anti join that shuffles, and one row of counts."""
+    side = right.select(F.col(value).alias("__value"))
+    facts = side.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__value").isNull()).alias("__nulls"))
+    kept = left.join(side, F.col(key) == F.col("__value"), "left_anti").crossJoin(F.broadcast(facts))
+    return kept.where(f"__n = 0 OR (__nulls = 0 AND `{key}` IS NOT NULL)").select(*left.columns)
 
 
 @udtf(returnType="prio int, code string")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptmill.session import store
+
 
 @dataclass(frozen=True)
 class When:
@@ -34,36 +36,18 @@ def _first(branches: list[When]) -> Column:
 
 
 def merge_frames(target: DataFrame, source: DataFrame, on: list[str], branches: list[When]) -> DataFrame:
-    """The target after the merge. The first branch that applies to a row is the only one carried out; a target row
-    that matches several source rows is an error.
+    """The target after the merge. The first branch that applies to a pair of a target and a source row is the only one
+    carried out; several source rows of which a branch applies to one target row are an error, those to which none applies
+    do nothing. The order of rows plays no part.
 
-    Two joins instead of one full outer join: both keep the large side on the side that AQE can split when a key is hot.
-    Source rows are grouped by key (combined map-side) for the matches, so a match never multiplies target rows.
+    Keys with one source row, nearly all, are decided in one left join. Only keys with several are paired, counted per
+    target row and checked. Both joins keep the large side on the side that AQE can split when a key is hot.
     """
     matched = [b for b in branches if b.action != "insert"]
     inserts = [b for b in branches if b.action == "insert"]
     columns = target.columns
-
-    keyed = source.groupBy(*on).agg(F.first(F.struct(*source.columns)).alias("__row"), F.count(F.lit(1)).alias("__n"))
-    s = keyed.select("__row.*", "__n").alias("s")
-    t = target.alias("t")
     same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]
-    joined = t.join(s, same, "left")
-    branch = F.when(F.col("s.__n").isNull(), F.lit(-1)).otherwise(_first(matched)) if matched else F.lit(-1)
-    checked = F.when((F.col("s.__n") > 1) & (branch >= 0),
-                     F.raise_error(F.lit("merge: several source rows match one target row")).cast("int")).otherwise(branch)
-    deletes = [i for i, b in enumerate(matched) if b.action == "delete"]
-    rows = joined.withColumn("__branch", checked)
-
-    def new_value(c: str) -> Column:
-        value = F.col(f"t.{c}")
-        for i, b in enumerate(matched):
-            if c in b.values:
-                value = F.when(F.col("__branch") == i, b.values[c]).otherwise(value)
-        return value.cast(target.schema[c].dataType).alias(c)
-
-    kept = rows.where(~F.col("__branch").isin(deletes) if deletes else F.lit(True))
-    result = kept.select(*[new_value(c) for c in columns])
+    result = _matched(target, source, on, matched) if matched else target
     if not inserts:
         return result
 
@@ -78,3 +62,48 @@ def merge_frames(target: DataFrame, source: DataFrame, on: list[str], branches:
         return value.cast(target.schema[c].dataType).alias(c)
 
     return result.unionByName(fresh.where("__branch >= 0").select(*[inserted(c) for c in columns]))
+
+
+def _matched(target: DataFrame, source: DataFrame, on: list[str], matched: list[When]) -> DataFrame:
+    """The target rows after updates and deletes."""
+    columns = target.columns
+    deletes = [i for i, b in enumerate(matched) if b.action == "delete"]
+
+    def changed(rows: DataFrame) -> DataFrame:
+        """Rows with the columns of t, s and __branch."""
+        def new_value(c: str) -> Column:
+            value = F.col(f"t.{c}")
+            for i, b in enumerate(matched):
+                if c in b.values:
+                    value = F.when(F.col("__branch") == i, b.values[c]).otherwise(value)
+            return value.cast(target.schema[c].dataType).alias(c)
+
+        kept = rows.where(~F.col("__branch").isin(deletes) if deletes else F.lit(True))
+        return kept.select(*[new_value(c) for c in columns])
+
+    keyed = source.groupBy(*on).agg(F.first(F.struct(*source.columns)).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    keyed = store(keyed)
+    same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]
+    # keys with one source row: the usual case, decided where the target row meets it
+    one = keyed.where("__n = 1").select("__row.*", F.lit(True).alias("__hit")).alias("s")
+    several = keyed.where("__n > 1").select(*on)
+    plain = target.alias("t").join(several.alias("s"), same, "left_anti") if several.limit(1).count() else target
+    rows = plain.alias("t").join(one, same, "left")
+    result = changed(rows.withColumn("__branch", F.when(F.col("s.__hit"), _first(matched)).otherwise(-1)))
+    if not several.limit(1).count():
+        return result
+
+    # keys with several: every pair is decided, and of a target row's pairs one may apply
+    names = [F.col(f"t.{c}").alias(c) for c in columns]
+    number = target.join(several, on, "left_semi").withColumn("__id", F.monotonically_increasing_id())
+    number = store(number)
+    pairs = number.alias("t").join(source.join(several, on, "left_semi").alias("s"), same).withColumn("__branch", _first(matched))
+    applied = pairs.where("__branch >= 0")
+    counts = applied.groupBy(F.col("t.__id").alias("__id")).agg(F.count(F.lit(1)).alias("__m"))
+    idle = number.join(counts, "__id", "left_anti").select(*columns)
+    checked = applied.select(F.struct(*names, F.col("t.__id").alias("__id")).alias("t"),
+                             F.struct(*[F.col(f"s.{c}").alias(c) for c in source.columns]).alias("s"), "__branch")
+    checked = checked.join(counts, F.col("t")["__id"] == F.col("__id")).withColumn("__branch", F.when(
+        F.col("__m") > 1, F.raise_error(F.lit("merge: several source rows match one target row")).cast("int")).otherwise(
+        F.col("__branch")))
+    return result.unionByName(changed(checked)).unionByName(idle)

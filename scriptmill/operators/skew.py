@@ -5,52 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Groups that may be split; any other group holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 1000
-# Rows of one group that one task may get in a join with the group's aggregates.
-CELL_ROWS = 1_000_000
-
+from scriptmill.session import shuffle_partitions, store
 
 def group_key(keys: list[str]) -> Column:
     """The keys as one struct. Structs are equal also where they hold NULLs, as groups are."""
     return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
-def hot_groups(df: DataFrame, keys: list[str], more_than: int) -> DataFrame:
-    """(__group, __n): the HOT_KEYS largest groups, of those with more than so many rows. Counted map-side; never more
-    than HOT_KEYS rows, so the table can be broadcast. The order is total: every evaluation gives the same groups."""
+def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(__group, __n): the groups with more rows than a shuffle partition holds on average. There are fewer of them than
+    partitions, so the table can be broadcast. Counted map-side."""
     counts = df.groupBy(group_key(keys).alias("__group")).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.where(F.col("__n") > more_than).orderBy(F.desc("__n"), "__group").limit(HOT_KEYS)
+    return counts.where(F.col("__n") * shuffle_partitions(df.sparkSession) > F.lit(df.count()))
 
 
-def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column], cell_rows: int = CELL_ROWS) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Every row of ``df`` with its group's aggregates; NULL keys form a group.
 
-    The aggregates are combined map-side. For the way back hot groups are split by salts into cells of about
-    ``cell_rows`` rows, and the aggregates are repeated once per cell. The salt is a hash of the row, so a task that runs
-    again puts the row into the same place; let the rows keep a column that tells them apart (maps cannot be hashed).
+    The aggregates are combined map-side and stored, and the rows meet them in a join of which each side comes straight
+    from a table, so that a hot group's rows are split by size while the query runs.
     """
-    salts = F.ceil(F.col("__n") / cell_rows).cast("int")
-    stats = df.groupBy(group_key(keys).alias("__group")).agg(F.count(F.lit(1)).alias("__n"), *aggs)
-    names = [c for c in stats.columns if not c.startswith("__")]
-    side = stats.select("__group", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"), *names)
-    hot = hot_groups(df, keys, cell_rows).select("__group", salts.alias("__salts"))
-    rows = (
-        df.withColumn("__row", F.xxhash64(*df.columns)).withColumn("__group", group_key(keys))
-        .join(F.broadcast(hot), "__group", "left")
-        .withColumn("__salt", F.coalesce(F.pmod("__row", "__salts"), F.lit(0)).cast("int"))
-    )
-    return rows.join(side, ["__group", "__salt"]).select(*df.columns, *names)
+    stats = store(df.groupBy(group_key(keys).alias("__group")).agg(*aggs))
+    names = [c for c in stats.columns if c != "__group"]
+    return df.withColumn("__key", group_key(keys)).join(stats, F.col("__key") == F.col("__group")).select(*df.columns, *names)
 
 
 def key_profile(df: DataFrame, key: str) -> DataFrame:
-    """One row: number of keys, rows, the largest key's rows, the average and their ratio."""
+    """One row: number of keys, rows, the largest key's rows, the average and their ratio, and the rows per key that half,
+    95 % and 99 % of the keys do not exceed. Keys are counted by their rows first, so the percentiles look at one line per
+    different count."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(
-        F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"), F.max("n").alias("max_rows"),
-        (F.sum("n") / F.count(F.lit(1))).alias("avg_rows"),
-        (F.max("n") * F.count(F.lit(1)) / F.sum("n")).alias("max_to_avg"),
-    )
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    return sizes.agg(
+        F.sum("m").alias("n_keys"), F.sum(F.col("n") * F.col("m")).alias("n_rows"), F.max("n").alias("max_rows"),
+        (F.sum(F.col("n") * F.col("m")) / F.sum("m")).alias("avg_rows"),
+        (F.max("n") * F.sum("m") / F.sum(F.col("n") * F.col("m"))).alias("max_to_avg"),
+        F.array_sort(F.collect_list(F.struct("n", "m"))).alias("sizes"),
+    ).select("n_keys", "n_rows", "max_rows", "avg_rows", "max_to_avg", *[
+        _reached("sizes", F.col("n_keys"), p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
+
+
+def _reached(sizes: str, n_keys: Column, share: float) -> Column:
+    """The smallest size up to which that share of the keys lies; ``sizes`` holds a line per different size, whose number
+    grows with the square root of the rows at most."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("n"))
+    step = F.aggregate(sizes, start, lambda a, x: F.struct(
+        (a["seen"] + x["m"]).alias("seen"),
+        F.coalesce(a["n"], F.when(a["seen"] + x["m"] >= F.ceil(n_keys * F.lit(share)), x["n"])).alias("n")))
+    return step["n"]
 
 
 def top_keys(df: DataFrame, key: str, k: int) -> DataFrame:

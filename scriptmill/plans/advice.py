@@ -11,8 +11,9 @@ from scriptmill.functions.calendar import month_range
 from scriptmill.functions.money import money_sum
 from scriptmill.operators import masking, skew
 from scriptmill.operators.contract import project
+from scriptmill.operators.lookup import not_in
 from scriptmill.plans.registry import query, sql_text
-from scriptmill.session import materialize, scratch_dir
+from scriptmill.session import materialize, scratch_dir, shuffle_partitions
 from scriptmill.sources import sinks
 from scriptmill.sources.tables import code_table, register_views, table
 
@@ -83,15 +84,15 @@ SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT k FROM r)) AS
 (SELECT count(*) FROM documents WHERE NOT EXISTS (SELECT 1 FROM r WHERE k = doc_id)) AS n_anti,
 (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT k FROM r WHERE k IS NOT NULL)) AS n_not_in_without_nulls""")
 def c04(spark, d):
-    """NOT IN and the anti join differ as soon as the right side holds a NULL."""
+    """NOT IN and the anti join differ as soon as the right side holds a NULL. All three arms run: NOT IN is an anti join
+    whose rows pass only if the right side has no NULL (or is empty) and the left value is known."""
     docs = table(spark, d, "documents", "doc_id")
     keys = table(spark, d, "labels").select(F.when(F.col("toxic") == 1, None).otherwise(F.col("doc_id")).alias("k"))
-    anti = docs.join(keys, F.col("doc_id") == F.col("k"), "left_anti").agg(F.count(F.lit(1)).alias("n_anti"))
-    nulls = keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k").isNull()).alias("n_null"))
-    both = anti.crossJoin(F.broadcast(nulls))
-    # doc_id is never NULL, so NOT IN keeps the anti join's rows, or none if there is a NULL key.
-    return both.select(F.when(F.col("n_null") > 0, F.lit(0)).otherwise(F.col("n_anti")).alias("n_not_in"), "n_anti",
-                       F.col("n_anti").alias("n_not_in_without_nulls"))
+    count = F.count(F.lit(1))
+    anti = docs.join(keys, F.col("doc_id") == F.col("k"), "left_anti").agg(count.alias("n_anti"))
+    full = not_in(docs, "doc_id", keys, "k").agg(count.alias("n_not_in"))
+    known = not_in(docs, "doc_id", keys.where("k IS NOT NULL"), "k").agg(count.alias("n_not_in_without_nulls"))
+    return full.crossJoin(F.broadcast(anti)).crossJoin(F.broadcast(known))  # one row each
 
 
 LIST = list(range(1, 1500, 11))
@@ -129,7 +130,7 @@ def by_month(spark, d):
     """The orders, partitioned by month in the scratch folder."""
     path = scratch_dir(spark)
     rows = table(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyyMM"))
-    sinks.write_partitioned(rows, path, ["month"], F.col("o_orderkey"), files=1)
+    sinks.write_partitioned(rows, path, ["month"])
     return spark.read.schema("o_orderkey bigint, o_totalprice double, o_orderdate timestamp_ntz, month string").parquet(path)
 
 
@@ -201,7 +202,7 @@ def c10_two_phase(spark, d):
 
 @query("c10_salted_advised", C10)
 def c10_salted(spark, d):
-    return skew.salted_distinct(table(spark, d, "lineitem"), "l_returnflag", "l_orderkey", 32)
+    return skew.salted_distinct(table(spark, d, "lineitem"), "l_returnflag", "l_orderkey", shuffle_partitions(spark))
 
 
 @query("c10_approximate_advised", "SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag")
@@ -213,7 +214,8 @@ def c10_approx(spark, d):
 
 
 @query("c11_key_profile", """SELECT count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS max_rows, CAST(sum(n) AS DOUBLE) / count(*) AS avg_rows,
-CAST(max(n) * count(*) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS max_to_avg FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""")
+CAST(max(n) * count(*) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS max_to_avg,
+quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99 FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""")
 def c11_profile(spark, d):
     return skew.key_profile(table(spark, d, "orders"), "o_custkey")
 
@@ -286,7 +288,7 @@ def c17(spark, d):
     """Copies t_19950101, t_19960101, ... read as one table with the date as a column."""
     folder = scratch_dir(spark)
     copies = table(spark, d, "orders").withColumn("copy", F.concat(F.lit("t_"), F.date_format("o_orderdate", "yyyy"), F.lit("0101")))
-    sinks.write_partitioned(copies, folder, ["copy"], F.col("o_orderkey"), files=2)
+    sinks.write_partitioned(copies, folder, ["copy"])
     return sinks.read_dated_copies(spark, folder, r"t_([12]\d{7})").groupBy("dt").agg(
         F.count(F.lit(1)).alias("n"), money_sum("o_totalprice").alias("total"))
 

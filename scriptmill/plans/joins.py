@@ -14,8 +14,8 @@ from scriptmill.operators import history, lookup
 from scriptmill.operators.contract import report_frame
 from scriptmill.operators.frames import over_rows
 from scriptmill.plans.registry import query
-from scriptmill.session import materialize
-from scriptmill.sources.tables import code_table, register_views, spread, table
+from scriptmill.session import store
+from scriptmill.sources.tables import code_table, register_views, table
 
 
 def t(spark, d, name, *cols):
@@ -142,13 +142,13 @@ NULL_KEYS = """WITH bad AS (SELECT d.doc_id, l.quality AS q FROM documents d LEF
 WHERE c_custkey NOT IN (SELECT q FROM bad) UNION ALL SELECT 'no null', c_custkey FROM customer
 WHERE c_custkey NOT IN (SELECT q FROM bad WHERE q IS NOT NULL)""")
 def j13(spark, d):
-    register_views(spark, d, "customer")
+    customers = t(spark, d, "customer", "c_custkey")
     labelled = t(spark, d, "documents", "doc_id").join(t(spark, d, "labels"), "doc_id", "left")
     # The value set is what the predicate needs, not its repetitions.
-    labelled.select(F.col("quality").alias("q")).distinct().createOrReplaceTempView("label_values")
-    return spark.sql("""SELECT 'null on the right' AS kind, c_custkey FROM customer
-WHERE c_custkey NOT IN (SELECT q FROM label_values) UNION ALL SELECT 'no null', c_custkey FROM customer
-WHERE c_custkey NOT IN (SELECT q FROM label_values WHERE q IS NOT NULL)""")
+    values = labelled.select(F.col("quality").alias("q")).distinct()
+    full = lookup.not_in(customers, "c_custkey", values, "q").select(F.lit("null on the right").alias("kind"), "c_custkey")
+    known = lookup.not_in(customers, "c_custkey", values.where("q IS NOT NULL"), "q")
+    return full.unionByName(known.select(F.lit("no null").alias("kind"), "c_custkey"))
 
 
 @query("j13_not_in_explicit", f"""{NULL_KEYS}, probe AS (SELECT doc_id, CASE WHEN q = 0 THEN NULL ELSE doc_id END AS k FROM bad)
@@ -159,9 +159,7 @@ def j13_explicit(spark, d):
     labelled = t(spark, d, "documents", "doc_id").join(t(spark, d, "labels", "doc_id", "quality"), "doc_id", "left")
     probe = labelled.select("doc_id", F.when(F.col("quality") == 0, None).otherwise(F.col("doc_id")).alias("k"))
     right = t(spark, d, "labels").where("toxic = 0").select(F.col("doc_id").alias("r"))
-    facts = right.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r").isNull()).alias("n_null"))
-    kept = probe.join(right, F.col("k") == F.col("r"), "left_anti").crossJoin(F.broadcast(facts))
-    return kept.where("n = 0 OR (n_null = 0 AND k IS NOT NULL)").select("doc_id")
+    return lookup.not_in(probe, "k", right, "r").select("doc_id")
 
 
 @query("j14_exists_flag", """SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND
@@ -225,7 +223,7 @@ lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 def customer_history(spark, d):
     """History rows made from the orders: valid from the order's day to the customer's next order."""
     base = t(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate")
-    return over_rows(base, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.to_date("o_orderdate"), 0, 1, {
+    return over_rows(base, ["o_custkey"], ["o_orderdate", "o_orderkey"], 0, 1, {
         "end_ts": lambda w: F.lead("o_orderdate").over(w)}).withColumnRenamed("o_orderdate", "start_ts")
 
 
@@ -247,13 +245,14 @@ SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_extendedprice, h.o_orderke
 LEFT JOIN (SELECT * FROM history WHERE end_ts IS NULL OR end_ts > start_ts) h
 ON h.o_custkey = f.k AND h.start_ts <= f.l_shipdate AND (h.end_ts IS NULL OR h.end_ts > f.l_shipdate)""")
 def j21(spark, d):
-    lines = spread(t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"), "l_orderkey")
+    lines = t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
     facts = lines.join(t(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop(
         "o_orderkey")
-    # The join reads its sides three times; the history is derived here, so it is stored first.
-    valid = materialize(customer_history(spark, d).where("end_ts IS NULL OR end_ts > start_ts").withColumnRenamed(
+    # The join reads its sides more than once, and both are derived here: each is stored first.
+    valid = store(customer_history(spark, d).where("end_ts IS NULL OR end_ts > start_ts").withColumnRenamed(
         "o_orderkey", "valid_order"))
-    return history.asof_join(facts, valid, "o_custkey", "l_shipdate", "start_ts", "end_ts", ["valid_order"], 31).select(
+    facts = store(facts)
+    return history.asof_join(facts, valid, "o_custkey", "l_shipdate", "start_ts", "end_ts", ["valid_order"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "valid_order")
 
 

@@ -180,10 +180,22 @@ def p20(spark, d):
     )
 
 
-@query("p21_sample")
+@query("p21_sample", """SELECT true AS subset, true AS share_in_bounds, true AS repeatable, count(*) AS n_rows FROM orders""")
 def p21(spark, d):
+    """What is certain of a seeded sample of a tenth: it holds rows of the table, each once, about a tenth of them (within
+    six standard deviations), and a second draw with the seed gives the same rows."""
+    whole = table(spark, d, "orders", "o_orderkey")
     # By name: given by position, the fraction makes PySpark drop the seed.
-    return table(spark, d, "orders").sample(fraction=0.1, seed=123)
+    draw = lambda: whole.sample(fraction=0.1, seed=123)
+    both = draw().select("o_orderkey", F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("w")).unionByName(
+        draw().select("o_orderkey", F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("w"))).unionByName(
+        whole.select("o_orderkey", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("w")))
+    keys = both.groupBy("o_orderkey").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w"))
+    n = F.sum("w")
+    return keys.agg(
+        (F.max(F.col("a") - F.col("w")) <= 0).alias("subset"),
+        (F.abs(F.sum("a") - 0.1 * n) <= 6 * F.sqrt(0.09 * n)).alias("share_in_bounds"),
+        (F.sum(F.abs(F.col("a") - F.col("b"))) == 0).alias("repeatable"), n.alias("n_rows"))
 
 
 @query("p22_hash_sample", """SELECT o_orderkey, o_totalprice FROM orders

@@ -12,9 +12,9 @@ from scriptmill.operators import frames, history, lookup
 from scriptmill.operators.validate import unknown_codes, validate
 from scriptmill.plans.joins import HISTORY_SQL, PREFIX_SQL, PREFIXES, customer_history
 from scriptmill.plans.registry import query, sql_text
-from scriptmill.session import materialize
+from scriptmill.session import store
 from scriptmill.sources import sinks
-from scriptmill.sources.tables import code_table, spread, table
+from scriptmill.sources.tables import code_table, table
 
 # Ordered keyword rules for the class of an item; I = income, E = expense.
 CLASS_RULES = [(1, "ring", "I01"), (2, "gear", "I02"), (3, "bolt", "E01"), (4, "red", "E02"), (5, "small", "I03")]
@@ -54,8 +54,7 @@ def swap_sign(amount: Column, direction: Column, cls: Column) -> dict[str, Colum
 
 def income_expense(spark, d) -> DataFrame:
     t = lambda n: table(spark, d, n)
-    lines = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus",
-                                        "l_shipdate"), "l_orderkey")
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     rows = (
         lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -104,7 +103,7 @@ def signed_moves(spark, d, day: str = "19980630") -> DataFrame:
     snap = history.as_of(rows, day).select("k").join(
         table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("k") == F.col("c_custkey")).select("k", "c_mktsegment")
     amount = cents("l_extendedprice")
-    moves = spread(table(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice"), "l_orderkey").join(
+    moves = table(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice").join(
         table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(F.col("o_custkey").alias("k"), F.col("l_returnflag").alias("kind"), "l_quantity",
              F.when(F.col("l_returnflag") == "R", -amount).otherwise(amount).alias("amt"))
@@ -171,10 +170,10 @@ def d05(spark, d):
         F.lit("A").alias("src"), F.concat_ws("/", "month", "region", "dir", "cls", "segment").alias("item"), "total", "n")
     two = signed_moves(spark, d).select(F.lit("B").alias("src"), F.concat_ws("/", "segment", "event", "dir").alias("item"), "total", "n")
     # Numbering reads its input twice; the stacked sums are kept so that the jobs behind them run once.
-    stacked = materialize(one.unionByName(two).where("total <> 0"))
-    bucket = F.concat("src", F.substring("item", 1, 6))
-    numbered = frames.with_row_number(stacked, [], ["src", "item"], bucket, "no").select(
+    stacked = store(one.unionByName(two).where("total <> 0"))
+    numbered = frames.with_row_number(stacked, [], ["src", "item"], "no").select(
         frames.surrogate_code(F.lit("G202401"), F.col("no")).alias("code"), "src", "item", "total", "n")
+    numbered = store(numbered)
     db = sinks.work_database(spark)
     sinks.create_typed_table(spark, f"{db}.report", [
         ("code", "STRING", ""), ("src", "STRING", ""), ("item", "STRING", ""), ("total", "DOUBLE", ""), ("n", "BIGINT", ""),
@@ -264,8 +263,8 @@ def d08(spark, d):
         F.col("o_custkey").alias("acc"), ymd("start_ts").alias("start_dt"), F.coalesce(ymd("end_ts"), F.lit("99991231")).alias("end_dt"))
     snap = history.as_of(rows, "19991231").select("acc")
     back = F.col("l_returnflag") == "R"
-    lines = spread(table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag",
-                         "l_shipdate"), "l_orderkey")
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag",
+                  "l_shipdate")
     extract = (
         lines.join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(found, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("o_custkey", "acc").join(snap, "acc")
@@ -273,13 +272,13 @@ def d08(spark, d):
                 F.when(back, "D").otherwise("C").alias("dr_cr"),
                 F.when(back, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("amt"))
     )
-    numbered = frames.with_row_number(extract, ["acc", "day"], ["l_orderkey", "l_linenumber", "l_partkey", "amt"],
-                                      F.floor(F.col("l_orderkey") / 4096), "no")
+    # numbering reads its input more than once
+    numbered = frames.with_row_number(store(extract), ["acc", "day"], ["l_orderkey", "l_linenumber", "l_partkey", "amt"], "no")
     result = numbered.select("acc", "day", frames.surrogate_code(F.concat(F.lit("T"), "day"), F.col("no"), 4).alias("seq"),
                              "val", "dr_cr", "amt", F.substring("day", 1, 6).alias("data_dt"))
     db = sinks.work_database(spark)
     sinks.create_typed_table(spark, f"{db}.deposits", [
         ("acc", "BIGINT", "account"), ("day", "STRING", ""), ("seq", "STRING", ""), ("val", "STRING", ""), ("dr_cr", "STRING", ""),
         ("amt", "DOUBLE", ""), ("data_dt", "STRING", "month")], partitioned_by=["data_dt"])
-    sinks.spread_by(result, ["data_dt"], 2, F.concat("acc", "seq")).write.insertInto(f"{db}.deposits")
+    sinks.spread_by(result, ["data_dt"]).write.insertInto(f"{db}.deposits")
     return spark.table(f"{db}.deposits")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptmill.functions.calendar import month_range
-from scriptmill.functions.money import money_sum
+from scriptmill.functions.money import cents, money_sum
 from scriptmill.plans.registry import query
+from scriptmill.session import scratch_dir
+from scriptmill.sources import sinks
 from scriptmill.sources.tables import register_views, table
 
+O08_FILES = 16
+
 
 def cust_nations(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
@@ -138,7 +142,14 @@ def o07(spark, d):
     return spark.sql("SELECT o_custkey, o_orderkey FROM orders CLUSTER BY o_custkey")
 
 
-@query("o08_spread_output")
+@query("o08_spread_output", f"""SELECT {O08_FILES} AS files, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(22,2))) AS DOUBLE) AS total,
+true AS even FROM lineitem""")
 def o08(spark, d):
-    """Even files: round-robin over whole rows. A rand() key would place a row elsewhere when a lost task runs again."""
-    return table(spark, d, "lineitem").repartition(16)
+    """Written as a given number of even files and read back. Round-robin over whole rows: a rand() key would place a row
+    elsewhere when a lost task runs again."""
+    path = scratch_dir(spark)
+    sinks.write_files(table(spark, d, "lineitem"), path, O08_FILES)
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents("l_extendedprice")).alias("total"))
+    even = (F.max("n") - F.min("n") <= O08_FILES * 2 * F.count(F.lit(1))).alias("even")
+    return files.agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"), even)

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from scriptmill.functions.money import cents, money_sum
 from scriptmill.operators.frames import top_per_group
 from scriptmill.operators.merge import When, merge_frames
-from scriptmill.plans.registry import query
+from scriptmill.plans.registry import query, sql_text
 from scriptmill.session import materialize, scratch_dir
 from scriptmill.sources import sinks
 from scriptmill.sources.tables import table
 
+# Partitions that are worth an INSERT of their own.
+MAX_STATIC = 100
+
 CUSTOMER_COLUMNS = [
     ("id", "BIGINT", "key  of the customer"), ("name", "VARCHAR(36)", "full name"),
     ("balance", "DECIMAL(22,2)", "account balance"), ("dt", "STRING", "load day"),
@@ -40,7 +43,7 @@ FROM orders GROUP BY 1, 2, 3""")
 def s06(spark, d):
     path = scratch_dir(spark)
     rows = table(spark, d, "orders").withColumn("yr", F.date_format("o_orderdate", "yyyy"))
-    sinks.write_partitioned(rows, path, ["o_orderstatus", "o_orderpriority", "yr"], F.col("o_orderkey"), files=2)
+    sinks.write_partitioned(rows, path, ["o_orderstatus", "o_orderpriority", "yr"])
     return spark.read.parquet(path).groupBy("o_orderstatus", "o_orderpriority", F.col("yr").cast("string").alias("yr")).agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -93,10 +96,16 @@ def s09(spark, d):
 
 @query("s10_static_partition", """SELECT o_orderkey, o_totalprice, 'X' || o_orderstatus AS st FROM orders WHERE o_orderstatus <> 'P'""")
 def s10(spark, d):
+    """Each append names its partition, as long as there are few of them; many are loaded dynamically."""
     name = _orders_table(spark, d)
-    for status in ("F", "O"):
+    rows = _orders(spark, d).where("st <> 'P'")
+    found = [r.st for r in rows.select("st").distinct().limit(MAX_STATIC + 1).collect()]
+    if len(found) > MAX_STATIC:
+        rows.withColumn("st", F.concat(F.lit("X"), "st")).write.insertInto(name)
+        return spark.table(name)
+    for status in sorted(found):
         _orders(spark, d, status).createOrReplaceTempView("static_rows")
-        spark.sql(f"INSERT INTO {name} PARTITION (st = 'X{status}') SELECT o_orderkey, o_totalprice FROM static_rows")
+        spark.sql(f"INSERT INTO {name} PARTITION (st = {sql_text('X' + status)}) SELECT o_orderkey, o_totalprice FROM static_rows")
     return spark.table(name)
 
 
@@ -120,18 +129,18 @@ def s12(spark, d):
 UNION ALL SELECT o_orderkey, o_totalprice + 1, 'P' FROM orders WHERE o_orderstatus = 'P'""")
 def s13(spark, d):
     path = scratch_dir(spark)
-    sinks.write_partitioned(_orders(spark, d), path, ["st"], F.col("o_orderkey"), files=2)
+    sinks.write_partitioned(_orders(spark, d), path, ["st"])
     changed = _orders(spark, d, "P").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    sinks.write_partitioned(changed, path, ["st"], F.col("o_orderkey"), files=2)
+    sinks.write_partitioned(changed, path, ["st"])
     return spark.read.parquet(path)
 
 
 @query("s14_idempotent_reload", "SELECT o_orderkey, o_totalprice, o_orderstatus AS st FROM orders")
 def s14(spark, d):
+    """Every partition that occurs in the rows is replaced, in one job a run."""
     name = _orders_table(spark, d)
     for _ in range(2):
-        for status in ("F", "O", "P"):
-            sinks.reload_partition(spark, name, {"st": status}, _orders(spark, d, status).drop("st"))
+        sinks.reload_partitions(_orders(spark, d), name)
     return spark.table(name)
 
 
@@ -154,16 +163,20 @@ def _updates(spark, d):
     return lines.unionByName(follow)
 
 
+def _branches() -> list[When]:
+    return [
+        When("delete", F.col("s.gone")),
+        When("update", F.col("s.total") > 100000, {"price": F.col("s.total"), "st": F.lit("U")}),
+        When("insert", F.col("s.total") > 1000, {"k": F.col("s.k"), "price": F.col("s.total"), "st": F.lit("N")}),
+    ]
+
+
 @query("s15_merge", f"""WITH {SOURCE_SQL}
 SELECT o_orderkey AS k, CASE WHEN total > 100000 THEN total ELSE o_totalprice END AS price,
 CASE WHEN total > 100000 THEN 'U' ELSE o_orderstatus END AS st FROM orders LEFT JOIN src ON k = o_orderkey WHERE NOT coalesce(gone, false)
 UNION ALL SELECT k, total, 'N' FROM src WHERE total > 1000 AND k NOT IN (SELECT o_orderkey FROM orders)""")
 def s15(spark, d):
-    return merge_frames(_target(spark, d), _updates(spark, d), ["k"], [
-        When("delete", F.col("s.gone")),
-        When("update", F.col("s.total") > 100000, {"price": F.col("s.total"), "st": F.lit("U")}),
-        When("insert", F.col("s.total") > 1000, {"k": F.col("s.k"), "price": F.col("s.total"), "st": F.lit("N")}),
-    ])
+    return merge_frames(_target(spark, d), _updates(spark, d), ["k"], _branches())
 
 
 @query("s16_merge_from_query", """WITH feed AS (SELECT l_orderkey AS k, l_extendedprice AS price, l_shipdate AS ts, l_partkey AS p FROM lineitem
@@ -185,6 +198,19 @@ def s16(spark, d):
     ])
 
 
+@query("s15_stored_merge", f"""WITH {SOURCE_SQL}
+SELECT o_orderkey AS k, CASE WHEN total > 100000 THEN total ELSE o_totalprice END AS price,
+CASE WHEN total > 100000 THEN 'U' ELSE o_orderstatus END AS st FROM orders LEFT JOIN src ON k = o_orderkey WHERE NOT coalesce(gone, false)
+UNION ALL SELECT k, total, 'N' FROM src WHERE total > 1000 AND k NOT IN (SELECT o_orderkey FROM orders)""")
+def s15_stored(spark, d):
+    """The merged table is written as a new version of the target and read back."""
+    db = sinks.work_database(spark)
+    _target(spark, d).write.saveAsTable(f"{db}.target_v1")
+    merged = merge_frames(spark.table(f"{db}.target_v1"), _updates(spark, d), ["k"], _branches())
+    merged.write.saveAsTable(f"{db}.target_v2")
+    return spark.table(f"{db}.target_v2")
+
+
 @query("s18_shared_result", """WITH t AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(22,2))) AS DOUBLE) AS total FROM orders GROUP BY 1)
 SELECT 'big' AS kind, count(*) AS n FROM t WHERE total > 2000000 UNION ALL SELECT 'small', count(*) FROM t WHERE total <= 2000000""")
 def s18(spark, d):

@@ -15,17 +15,9 @@ def orders(spark, d, *cols):
     return table(spark, d, "orders", *cols)
 
 
-def price_band(col: str = "o_totalprice"):
-    return F.floor(F.col(col) / 100)
-
-
-def day(col: str = "o_orderdate"):
-    return F.to_date(col)
-
-
 def _ranked(spark, d):
     base = orders(spark, d, "o_orderkey", "o_orderstatus", "o_totalprice")
-    return frames.with_ranks(base, ["o_orderstatus"], "o_totalprice", price_band(), ["o_orderkey"], descending=True)
+    return frames.with_ranks(base, ["o_orderstatus"], "o_totalprice", ["o_orderkey"], descending=True)
 
 
 @query(
@@ -54,8 +46,7 @@ def w03(spark, d):
     lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag",
                   "l_quantity")
     # The distinct values are ranked and meet the rows by value, so rows that share a value need no common task.
-    values = frames.with_ranks(lines.select("l_returnflag", "l_quantity").distinct(), ["l_returnflag"], "l_quantity",
-                               F.floor("l_quantity"), []).select("l_returnflag", "l_quantity", F.col("dense_rank").alias("dr"))
+    values = frames.with_ranks(lines.select("l_returnflag", "l_quantity").distinct(), ["l_returnflag"], "l_quantity", []).select("l_returnflag", "l_quantity", F.col("dense_rank").alias("dr"))
     return lines.join(values, ["l_returnflag", "l_quantity"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "dr"
     )
@@ -88,7 +79,7 @@ def w05(spark, d):
 
 def _by_date(spark, d, preceding, following, exprs):
     base = orders(spark, d, "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    return frames.over_rows(base, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], day(), preceding, following, exprs)
+    return frames.over_rows(base, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], preceding, following, exprs)
 
 
 @query(
@@ -137,7 +128,7 @@ ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT RO
 def w09(spark, d):
     base = orders(spark, d, "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     return frames.with_running_sum(
-        base, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], day(), {"running": cents("o_totalprice")}
+        base, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], {"running": cents("o_totalprice")}
     ).select("o_orderkey", F.col("running").cast("double").alias("running"))
 
 
@@ -229,8 +220,8 @@ FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def w15(spark, d):
     base = table(spark, d, "events", "event_id", "user_id", "ts", "event_type")
-    numbered = frames.with_row_number(base, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "user_no")
-    looked = frames.over_rows(numbered, ["user_id"], ["ts", "event_id"], F.to_date("ts"), 1, 0, {
+    numbered = frames.with_row_number(base, ["user_id"], ["ts", "event_id"], "user_no")
+    looked = frames.over_rows(numbered, ["user_id"], ["ts", "event_id"], 1, 0, {
         "prev_type": lambda w: F.lag("event_type").over(w)})
     return with_group_stats(looked, ["event_type"], [F.count(F.lit(1)).alias("n_type")]).select(
         "event_id", "user_no", "prev_type", "n_type"
@@ -266,7 +257,7 @@ PARTITION BY strftime(o_orderdate, '%Y%m') ORDER BY o_orderdate, o_orderkey) AS
 )
 def w18(spark, d):
     base = orders(spark, d, "o_orderkey", "o_orderdate").withColumn("month", F.date_format("o_orderdate", "yyyyMM"))
-    return frames.with_row_number(base, ["month"], ["o_orderdate", "o_orderkey"], day(), "n").select(
+    return frames.with_row_number(base, ["month"], ["o_orderdate", "o_orderkey"], "n").select(
         "o_orderkey", frames.surrogate_code(F.concat(F.lit("G"), "month"), F.col("n")).alias("code")
     )
 
@@ -277,7 +268,7 @@ def w18(spark, d):
 )
 def w19(spark, d):
     base = orders(spark, d, "o_orderkey", "o_orderdate")
-    return frames.with_row_number(base, [], ["o_orderdate", "o_orderkey"], day(), "n").select("o_orderkey", "n")
+    return frames.with_row_number(base, [], ["o_orderdate", "o_orderkey"], "n").select("o_orderkey", "n")
 
 
 @query(
@@ -291,7 +282,7 @@ def w20(spark, d):
                                            F.col("c_acctbal").alias("amount"))
     s = table(spark, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_suppkey").alias("id"),
                                            F.col("s_acctbal").alias("amount"))
-    return frames.with_ranks(c.unionByName(s), ["kind"], "amount", F.floor(F.col("amount") / 10), ["id"],
+    return frames.with_ranks(c.unionByName(s), ["kind"], "amount", ["id"],
                              descending=True).select("kind", "id", F.col("rank").alias("rk"))
 
 

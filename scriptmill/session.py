@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +32,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def sized_for(input_bytes: int, partition_bytes: int = 64 * 1024 * 1024) -> dict[str, str]:
-    """Settings for an input of that size: enough shuffle partitions that one holds about ``partition_bytes`` (the tokens
-    of 64 MB of text sort in a few GB), and scan splits of the same size. AQE merges partitions that turn out small."""
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Settings for an input of that size. A partition holds about 64 MB of text (whose tokens sort in a few GB) as long as
+    there are fewer than 20 000 of them, and more of a larger input: the driver keeps track of map times reduce blocks. AQE
+    merges partitions that turn out small and splits skewed ones."""
+    target = max(64 << 20, -(-input_bytes // 20_000))
     return {
-        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // partition_bytes))),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // target))),
+        "spark.sql.files.maxPartitionBytes": str(min(target, 512 << 20)),
     }
 
 
@@ -67,14 +70,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder, for tables that a job writes and reads again."""
-    import uuid
+    """A fresh folder below the shared checkpoint folder, for tables that a job writes and reads again. It is deleted when
+    the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # only a folder that exists can be marked
+    files.deleteOnExit(place)
+    return f"{path}/table"
+
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+def store(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them again: what is read later is what was read first, its size is
+    known to the planner, and it survives the loss of executors."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; survives the loss of executors."""
+    """Cut the lineage with a reliable checkpoint; survives the loss of executors. Its files go when the frame does."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.sources.tables import spread, table
+from scriptmill.sources.tables import table
 
 # {k} order key, {d} yyyy-MM-dd, {ymd} yyyyMMdd, {s} status; \n is a newline.
 SHAPES: list[str] = [
@@ -99,7 +99,8 @@ SCRIPTS_SQL = _scripts_sql()
 
 def scripts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scripts(script_id, path, sql), one per order."""
-    orders = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus"), "o_orderkey")
+    # Narrow rows become whole texts here, so they are dealt out first; AQE chooses the number of partitions.
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").repartition("o_orderkey")
     fills: dict[str, Column] = {
         "{k}": F.col("o_orderkey").cast("string"),
         "{d}": F.date_format("o_orderdate", "yyyy-MM-dd"),

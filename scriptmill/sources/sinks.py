@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptmill.session import scratch_dir
@@ -28,38 +26,50 @@ def create_typed_table(spark: SparkSession, name: str, columns: list[tuple[str,
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({body}) USING parquet{by} COMMENT '{quote(comment)}'")
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """The frame cached for the steps inside the block, and released after it."""
-    cached = df.persist()
-    try:
-        yield cached
-    finally:
-        cached.unpersist()
+def spread_by(df: DataFrame, by: list[str]) -> DataFrame:
+    """Partition for a partitioned write: the rows of a partition value meet, and AQE splits a value with many bytes over
+    several tasks and merges rare ones into one, by the advisory partition size."""
+    return df.hint("rebalance", *by)
 
 
-def spread_by(df: DataFrame, by: list[str], files: int, row_key: Column) -> DataFrame:
-    """Partition for a partitioned write: about ``files`` tasks per partition value, so that a value with many rows is
-    written by several tasks and a value with few rows does not leave a file per task. The row key makes the place of a
-    row the same when a lost task runs again."""
-    return df.withColumn("__part", F.pmod(F.xxhash64(row_key), F.lit(files))).repartition(*by, "__part").drop("__part")
+def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
+    """Partitioned Parquet; ``overwrite`` replaces only the partitions that occur in ``df``."""
+    spread_by(df, by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], row_key: Column, files: int = 8,
-                      mode: str = "overwrite") -> None:
-    """Partitioned Parquet; ``overwrite`` replaces only the partitions that occur in ``df``."""
-    spread_by(df, by, files, row_key).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def write_files(df: DataFrame, path: str, files: int) -> None:
+    """The rows dealt evenly over so many files."""
+    df.repartition(files).write.mode("overwrite").parquet(path)
 
 
 def reload_partition(spark: SparkSession, table: str, partition: dict[str, str], rows: DataFrame) -> None:
-    """Drop the partition if it exists, then insert the rows into it. Running it again gives the same table, also when
-    there are no rows."""
-    spec = ", ".join(f"{k} = '{v}'" for k, v in partition.items())
-    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    """Replace one partition by the rows (the table's other columns, in order). The new files take the old ones' place when
+    all are written: a failed run leaves the old partition, and rows may be derived from the table itself. Without rows the
+    partition goes. Running it again gives the same table."""
+    if rows.isEmpty():
+        quote = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
+        spec = ", ".join(f"`{k}` = '{quote(v)}'" for k, v in partition.items())
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    else:
+        columns = [c for c in spark.table(table).columns if c not in partition]
+        reload_partitions(rows.toDF(*columns).withColumns({k: F.lit(v) for k, v in partition.items()}), table)
+
+
+def reload_partitions(df: DataFrame, table: str) -> None:
+    """Replace every partition that occurs in the rows, in one job; the other ones stay. The rows have the table's columns
+    in their order."""
+    spark = df.sparkSession
+    by = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    df = spread_by(df.select(*spark.table(table).columns), by)
     view = f"reload_{uuid.uuid4().hex[:12]}"
-    rows.createOrReplaceTempView(view)
-    spark.sql(f"INSERT INTO {table} PARTITION ({spec}) SELECT * FROM {view}")
-    spark.catalog.dropTempView(view)
+    df.createOrReplaceTempView(view)
+    kept = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        spark.sql(f"INSERT OVERWRITE TABLE {table} SELECT * FROM {view}")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", kept)
+        spark.catalog.dropTempView(view)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\u0001") -> None:

@@ -21,16 +21,6 @@ def register_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan that has fewer splits than cores one hash shuffle, so that text work runs on all of them.
-
-    A scan over many files already has enough splits and is returned as it is. The number is given here because
-    rows that are small before the text work would be coalesced into a few tasks.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def code_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small table written in code. It becomes a local relation whose size the planner knows, so a join with it is
     broadcast by size and not by hint."""

@@ -106,5 +106,7 @@ def test_clustered(spark, sf_dir):
 def test_settings_for_a_large_input():
     from scriptmill.session import sized_for
 
-    assert int(sized_for(100 * 10**12)["spark.sql.shuffle.partitions"]) > 1_000_000
+    large = sized_for(100 * 10**12)
+    assert 10_000 <= int(large["spark.sql.shuffle.partitions"]) <= 20_000
+    assert 100 * 10**12 / int(large["spark.sql.files.maxPartitionBytes"]) < 200_000
     assert sized_for(1)["spark.sql.shuffle.partitions"] == "200"

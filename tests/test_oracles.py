@@ -20,21 +20,10 @@ def test_same_as_twin(spark, con, sf_dir, name):
     assert difference == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS)))
-def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+def test_queries_without_a_twin():
+    """Only operators of the training-data part, which have brute-force tests of their own."""
+    assert all(name == "pipeline" or name.startswith("op") for name in set(QUERIES) - set(TWINS))
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_sample_is_repeatable(spark, sf_dir):
-    fn = QUERIES["p21_sample"]
-    assert sorted(fn(spark, sf_dir).collect()) == sorted(fn(spark, sf_dir).collect())
-
-
-def test_spread_output_keeps_rows(spark, sf_dir):
-    df = QUERIES["o08_spread_output"](spark, sf_dir)
-    assert df.rdd.getNumPartitions() == 16
-    assert df.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
