@@ -63,7 +63,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc
     items = store.keep(benchmark.select(F.col(item_id).alias("item_id"), template_tokens(F.col(item_text)).alias("tokens"))
                        .distinct())
     spots = _windows(items, width).select("item_id", "tokens", F.size("tokens").alias("n_tokens"),
-                                          F.posexplode("windows").alias("item_pos", "h"))
+                                          F.posexplode_outer("windows").alias("item_pos", "h"))
     literals = F.size(F.filter(F.slice("tokens", F.col("item_pos") + 1, width), lambda t: t >= _LAST))
     spots = store.keep(spots.filter((literals >= LITERALS) | (F.col("n_tokens") < width)).select(
         "item_id", "n_tokens", "item_pos", "h"))
@@ -73,7 +73,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = F.xxhash64("text").alias("text_key")
     tokens = _windows(docs.select("doc_id", key, template_tokens(F.col("text")).alias("tokens")), width)
-    seen = tokens.select("doc_id", "text_key", F.posexplode("windows").alias("doc_pos", "h"))
+    # the outer form, since the other one filters by the size of the array, and that filter would compute it once more
+    seen = tokens.select("doc_id", "text_key", F.posexplode_outer("windows").alias("doc_pos", "h"))
     hits = store.keep(seen.join(side, "h").select("doc_id", "text_key", "doc_pos", "item_id", "item_pos", "n_tokens").distinct())
 
     who = ["doc_id", "text_key", "item_id", "diagonal"]
@@ -86,7 +87,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc
     wanted = store.keep(hits.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     again = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left_semi")
-    doc_slots = again.distinct().select("doc_id", key, F.posexplode(template_tokens(F.col("text"))).alias("doc_pos", "new"))
+    doc_slots = again.distinct().select("doc_id", key, F.posexplode_outer(template_tokens(F.col("text"))).alias("doc_pos", "new"))
     doc_slots = store.keep(doc_slots.filter(F.col("new") < _LAST)).withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     item_slots = items.select(F.col("item_id").alias("i"), F.posexplode("tokens").alias("p", "old")).filter(F.col("old") < _LAST)
     slots = covered.join(item_slots, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_pos") == F.col("p")))
