@@ -23,15 +23,16 @@ def chunked(rows: DataFrame, text: str, window: int, divisor: int) -> DataFrame:
     out = rows.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
     out = out.withColumn("__h", F.transform("__lines", lambda x: F.xxhash64(x)))
     out = with_rolling(out, "__h", window, "__r")
-    n = F.size("__lines")
-    cut = lambda i: (i == n) | F.coalesce(F.pmod(F.get("__r", i - window), F.lit(divisor)) == 0, F.lit(False))
-    return out.withColumn("__ends", F.filter(F.sequence(F.lit(1), n), cut)).drop("__r")
+    # No lambda refers to another array here: the optimizer would compute that array anew for every element.
+    ends = F.transform("__r", lambda r, i: F.when(F.pmod(r, F.lit(divisor)) == 0, i + window))
+    return out.withColumn("__ends", F.array_distinct(F.concat(F.array_compact(ends), F.array(F.size("__lines"))))).drop("__r")
 
 
 def _pieces(rows: DataFrame) -> DataFrame:
     """One row per chunk of two lines or more: idx (number of the chunk, from 0), h, and its first line and length."""
     start = F.coalesce(F.get("__ends", F.col("idx") - 1), F.lit(0)) + 1
-    out = rows.select("*", F.posexplode("__ends").alias("idx", "end")).withColumn("start", start)
+    # the outer form, since the other one filters by the size of the array, and that filter would compute it once more
+    out = rows.select("*", F.posexplode_outer("__ends").alias("idx", "end")).withColumn("start", start)
     out = out.filter(F.col("end") > F.col("start")).withColumn("len", F.col("end") - F.col("start") + 1)
     return out.withColumn("h", F.xxhash64(F.slice("__h", F.col("start"), F.col("len"))))
 
