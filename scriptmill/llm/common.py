@@ -27,24 +27,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def fresh_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder; it goes with the session, or earlier by ``forget``."""
-    path = scratch_dir(spark)
-    p, fs = _path(spark, path)
-    fs.deleteOnExit(p)
-    return path
+    return scratch_dir(spark)
 
 
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete folders that nothing reads any more."""
     for path in paths:
-        p, fs = _path(spark, path)
-        fs.delete(p, True)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 class Stored:
