@@ -104,6 +104,14 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     return start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, offsets)
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes, from one running sum."""
+    total = np.empty(len(raw) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[raw] * _power("up", len(raw))[: len(raw)], out=total[1:])
+    return mix64((total[end] - total[start]) * _power("down", len(raw))[start] + (end - start).astype(np.uint64))
+
+
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +21,31 @@ from scriptmill.llm.common import Stored, fresh_folder, ready, running_totals
 
 # Text per file, and tokens after which a file begins a new table (bounds the memory of a task).
 FILE_BYTES, SEGMENT_TOKENS = 32 << 20, 1 << 24
-CACHED_CHUNKS, CHUNK_CHARS = 400_000, 48
-
-# A space or line feed behind another character always begins a new word of the tokenizer, so a text may be cut there.
-# Texts with other white space or with what may be a special token are encoded as a whole.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
-_WORD_END = re.compile(r"(.*[^\W_])([.,!?;:]+)", re.S)
+# Pieces of texts whose ids a task remembers, and ids of all of them.
+KNOWN_PIECES, KNOWN_IDS = 1_500_000, 8_000_000
+_SEGMENT = 1 << 20
+
+_SPACE, _SIGN, _ALNUM, _ODD = (np.zeros(256, bool) for _ in range(4))
+_SPACE[[32, 10]] = True
+_SIGN[list(b".,!?;:")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+# White space beyond ASCII, as UTF-8: NEL, no-break space, ogham space, U+2000 to U+200A, line and paragraph separator,
+# narrow no-break space, mathematical space, ideographic space.
+_WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *[bytes([0xE2, 0x80, x]) for x in [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]],
+         b"\xe2\x81\x9f", b"\xe3\x80\x80", b"<|"]
+_LEAD = np.zeros(256, bool)
+_LEAD[[w[0] for w in _WIDE]] = True
+_PAIRS, _TRIPLES = ([int.from_bytes(w, "big") for w in _WIDE if len(w) == n] for n in (2, 3))
 
 
 class Encoder:
-    """Ids of texts by a tokenizer of the tokenizers library. Pieces between spaces that were seen before are looked up."""
+    """Ids of texts by a tokenizer of the tokenizers library, which sees every different piece of text once.
+
+    A space or line feed behind another character always begins a new word of the tokenizer, and so does a point or comma
+    behind an ASCII letter or digit, so a text may be cut there. Texts with other white space or with what may be a special
+    token are encoded whole. Pieces are known by a 64-bit hash; the bytes that the ids found stand for are compared with
+    the text, and a text that differs is encoded whole too, so a collision changes nothing."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -41,64 +54,145 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        # a character of a token stands for a byte: printable ones for themselves, the others, in order, for 256 and on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in own)}
+        names = [""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            names[i] = token
+        self.length = np.array([len(n) for n in names], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.bytes = np.array([byte[c] for n in names for c in n], np.uint8)
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.ends = array("I"), array("I", [0])
-
-    def _add(self, chunk: str, ids) -> int:
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-        return len(self.ends) - 2
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode chunks that are new; punctuation behind a letter or digit is always a word of its own."""
-        parts = {c: m.groups() if (m := _WORD_END.fullmatch(c)) else (c,) for c in chunks}
-        new = list({p for ps in parts.values() for p in ps if p not in self.place})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.place[p] = self._add(p, e.ids)
-        for c, ps in parts.items():
-            if len(ps) > 1:
-                ids = array("I")
-                for p in ps:
-                    i = self.place[p]
-                    ids.extend(self.flat[self.ends[i] : self.ends[i + 1]])
-                self.place[c] = self._add(c, ids)
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, the end id behind each text, and the number of ids of each text."""
-        if len(self.place) > CACHED_CHUNKS or len(self.flat) > 16 * CACHED_CHUNKS:
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        """Encode new pieces. Those that begin with a space and end without one are encoded side by side as one text, in
+        which each begins a new word too; the bytes of the tokens tell where a piece ends."""
+        joined = _SPACE[raw[start]] & ~_SPACE[raw[end - 1]]
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        n, at, ids, sizes = int(joined.sum()), 0, [], []
+        length = (end - start)[order]
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(np.cumsum(length[at:n]), 1 << 17)) + at))
+            part = slice(at, to)
+            reach = np.cumsum(length[part])
+            text = raw[np.repeat(start[order[part]] - (reach - length[part]), length[part]) + np.arange(reach[-1])]
+            got = np.array(self._whole([text.tobytes().decode()])[0], np.int64)
+            reached = np.cumsum(self.length[got])
+            ends = np.searchsorted(reached, reach) + 1
+            if not np.array_equal(reached[ends - 1], reach):
+                raise ValueError("a token crosses the end of a word")
+            ids.append(got.astype(np.uint32))
+            sizes.append(np.diff(ends, prepend=0))
+            at = to
+        for got in self._whole([raw[start[i] : end[i]].tobytes().decode() for i in order[n:].tolist()]):
+            ids.append(np.array(got, np.uint32))
+            sizes.append(np.array([len(got)]))
+        before = len(self.ends) - 1
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        place = np.empty(len(start), np.int64)
+        place[order] = before + np.arange(len(start))
+        where = np.searchsorted(self.known, hashes)
+        self.known, self.place = np.insert(self.known, where, hashes), np.insert(self.place, where, place)
+
+    def _pieces(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a stretch of text and where those of each part (between edges) end."""
+        before = np.empty(len(raw), np.uint8)
+        before[0], before[1:] = 32, raw[:-1]
+        cut = (_SPACE[raw] & ~_SPACE[before]) | (_SIGN[raw] & _ALNUM[before])
+        cut[edges[:-1][edges[:-1] < len(raw)]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(raw))
+        hashes = textkit.span_hashes(raw, start, end)
+        seen, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, seen)
+        new = np.ones(len(seen), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != seen
+        if new.any():
+            self._learn(raw, start[first[new]], end[first[new]], seen[new])
+            at = np.searchsorted(self.known, seen)
+        place = self.place[at][inverse]
+        size = (self.ends[1:] - self.ends[:-1])[place]
+        total = np.cumsum(size)
+        ids = self.ids[np.repeat(self.ends[:-1][place] - (total - size), size) + np.arange(total[-1])]
+        # pieces do not cross edges, so an edge lies behind the last piece that starts before it
+        ends = np.concatenate([[0], total])[np.searchsorted(start, edges[1:])]
+        return ids, ends
+
+    def _same(self, raw: np.ndarray, ids: np.ndarray) -> bool:
+        n = self.length[ids]
+        total = np.cumsum(n)
+        if not len(raw) or total[-1] != len(raw):
+            return not len(raw)
+        return np.array_equal(self.bytes[np.repeat(self.first[ids] - (total - n), n) + np.arange(total[-1])], raw)
+
+    def encode(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of texts, the end id behind each text, and the number of ids of each text."""
+        if len(self.known) > KNOWN_PIECES or len(self.ids) > KNOWN_IDS:
             self._forget()
-        pieces = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        fresh = {c for p in pieces if p for c in p if c not in self.place}
-        long = {c for c in fresh if len(c) > CHUNK_CHARS}
-        self._learn(fresh - long)
-        odd = [t for t, p in zip(texts, pieces) if p is None] + list(long)
-        whole = dict(zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))) if odd else {}
-        extra = {c: self._add(c, e.ids) for c, e in whole.items()}
-        end = self._add("", [end_id])
-        self.place.update({c: extra[c] for c in long})
-        places, counts = array("I"), []
-        for t, p in zip(texts, pieces):
-            if p is None:
-                places.append(extra[t])
-                counts.append(2)
-            else:
-                places.extend(map(self.place.__getitem__, p))
-                counts.append(len(p) + 1)
-            places.append(end)
-        flat, ends = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.uint32).astype(np.int64)
-        index = np.frombuffer(places, np.uint32)
-        lengths = (ends[1:] - ends[:-1])[index]
-        total = np.cumsum(lengths)
-        at = np.repeat(ends[:-1][index] - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)
-        ids = flat[at]
-        cut = np.cumsum(counts)
-        sizes = np.diff(total[cut - 1], prepend=0) if len(texts) else np.zeros(0, np.int64)
-        for c in long:
-            del self.place[c]
-        return ids, sizes
+        raw, offsets = textkit.buffers(column)
+        n = len(offsets) - 1
+        odd = np.zeros(n, bool)
+        hit = np.flatnonzero(_ODD[raw])
+        lead = np.flatnonzero(_LEAD[raw])
+        near = [raw[np.minimum(lead + k, len(raw) - 1)].astype(np.int64) for k in range(3)] if len(lead) else [lead] * 3
+        wide = np.isin(near[0] << 8 | near[1], _PAIRS) | np.isin(near[0] << 16 | near[1] << 8 | near[2], _TRIPLES)
+        odd[np.searchsorted(offsets, lead[wide], side="right") - 1] = True
+        odd[np.searchsorted(offsets, hit, side="right") - 1] = True
+        parts: list = [None] * n
+        row = 0
+        while row < n:
+            if odd[row] or offsets[row + 1] == offsets[row]:
+                row += 1
+                continue
+            to = row + 1  # rows that make up a segment
+            while to < n and not odd[to] and offsets[to + 1] - offsets[row] <= _SEGMENT:
+                to += 1
+            base = int(offsets[row])
+            edges = offsets[row : to + 1] - base
+            text = raw[base : int(offsets[to])]
+            if len(text) <= 2 * _SEGMENT:
+                ids, ends = self._pieces(text, edges)
+                good = self._same(text, ids)
+                for i, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())):
+                    parts[row + i] = ids[a:b] if good else None
+            else:  # one long text, cut before spaces
+                found, at = [], 0
+                while at < len(text):
+                    stop = _next_cut(text, at + _SEGMENT)
+                    found.append(self._pieces(text[at:stop], np.array([0, stop - at]))[0])
+                    at = stop
+                ids = np.concatenate(found)
+                parts[row] = ids if self._same(text, ids) else None
+            row = to
+        left = [i for i in range(n) if parts[i] is None and offsets[i + 1] > offsets[i]]
+        for i, ids in zip(left, self._whole([raw[offsets[i] : offsets[i + 1]].tobytes().decode() for i in left])):
+            parts[i] = np.array(ids, np.uint32)
+        end, none = np.array([end_id], np.uint32), np.zeros(0, np.uint32)
+        sizes = np.array([1 + (0 if p is None else len(p)) for p in parts], np.int64)
+        joined = [x for p in parts for x in (none if p is None else p, end)]
+        return np.concatenate(joined) if joined else none, sizes
+
+
+def _next_cut(text: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where a space follows another character; the end if there is none."""
+    while at < len(text):
+        window = _SPACE[text[at - 1 : at + 65536]]
+        hit = np.flatnonzero(window[1:] & ~window[:-1])
+        if len(hit):
+            return at + int(hit[0])
+        at += 65536
+    return len(text)
 
 
 def frame(kind: bytes, payload: bytes) -> bytes:
@@ -158,7 +252,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path
 
         for batch in textkit.batched(batches, 2 << 20):
             encoder = encoder or Encoder(shared.value)
-            ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+            ids, sizes = encoder.encode(batch.column(1), end_id)
             held.append((batch.column(0).to_pylist(), ids.astype(np.uint16 if ids.max() < 1 << 16 else np.uint32), sizes))
             if sum(len(x[1]) for x in held) > SEGMENT_TOKENS:
                 yield from flush()

@@ -218,21 +218,27 @@ def test_token_files(spark):
     assert tokenfiles.token_files(spark, table(spark, []), path).count() == 0
 
 
-def test_pieces_encode_like_whole_texts():
+def test_pieces_encode_like_whole_texts(monkeypatch):
     import public_tokenizers
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         encoder = tokenfiles.Encoder(f.read())
     tok, rng = Tokenizer.from_file(path), random.Random(11)
+    monkeypatch.setattr(tokenfiles, "_SEGMENT", 40)  # long texts are cut too
     parts = ["a", "The", "don't", " ", "  ", "\n", "\n\n", "é", "ß", ",", ".", "!", "?", "'s", "1", "23", "²", "\t", "<|endoftext|>",
              "x" * 60, "$", "(", ")", "-", "😀", "'", '"', ":", "\x00", "中文", "\x1f", " ", " "]
     for _ in range(600):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3)]
-        ids, sizes = encoder.encode(texts, 2)
+        ids, sizes = encoder.encode(pa.array(texts), 2)
         want = [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
         assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    # a collision of hashes is noticed
+    encoder.place[:] = 0
+    ids, _ = encoder.encode(pa.array(["The quick brown fox."]), 2)
+    assert ids.tolist() == [*tok.encode("The quick brown fox.", add_special_tokens=False).ids, 2]
 
 
 def plain_best_fit(sizes, sources, clusters, capacity):
