@@ -10,6 +10,8 @@ from scriptmill.llm.common import Stored, ready, with_rolling
 
 # A chunk ends behind the line where the hash of the last two lines is a multiple of four: four lines on average.
 WINDOW, DIVISOR = 2, 4
+# The list of removed chunks is broadcast up to this size; beyond it, the texts are shuffled to it by id.
+BROADCAST_BYTES = 32 << 20
 
 
 def _row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
@@ -70,6 +72,10 @@ def without_repeated_chunks(spark: SparkSession, docs: DataFrame, doc_id: str =
         F.flatten(F.collect_list("at")).alias("__gone"))
     gone = store.keep(gone.withColumnsRenamed({"id": "__id", "t": "__t"}))
 
+    n, spots = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    if 64 * n + 4 * spots <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+
     rows = chunked(docs, text, window, divisor).drop("__h")
     rows = rows.withColumns({"__my_id": key, "__my_t": mark})
     rows = rows.join(gone, (F.col("__my_id") == F.col("__id")) & (F.col("__my_t") == F.col("__t")), "left")
