@@ -6,11 +6,14 @@ before the report counts. All functions take scripts(script_id, path, sql).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptmill.functions.rules import JAVA_FLAGS, RULES, STRICT_ID_NUMBER
-from scriptmill.functions.sqltext import STRING_BODY, STRING_OR_COMMENT
+from scriptmill.functions.sqltext import STRING_BODY, STRING_OR_COMMENT, TYPE_NAMES
+from scriptmill.operators.structure import STMT, builtin_functions, refs_of_tokens, with_query_parts
+from scriptmill.operators.tokens import by_statement, code_tokens
+from scriptmill.session import store
 from scriptmill.sources.tables import code_table
 
 
@@ -163,34 +166,107 @@ def batch_summary(scripts: DataFrame) -> DataFrame:
     )
 
 
-def advice_rows(scripts: DataFrame) -> DataFrame:
-    """Computed advice per finding: (script_id, rule, advice). The script text itself is not edited."""
-    sql = F.col("sql")
+COMPARISONS = ["=", ">", "<", ">=", "<=", "!=", "<>", "LIKE", "IN"]
+# Characters of an IN list that is called long.
+LONG_LIST = 100
+DATE_PARTS = ["YEAR", "MONTH", "DAY", "TO_DATE", "DATE_FORMAT"]
+NO_CALL = ["IN", "AND", "OR", "NOT", "EXISTS", "WHERE", "ON", "WHEN", "THEN", "ELSE", "BETWEEN", "LIKE", "SELECT", "AS", "OVER",
+           "VALUES", "USING", "FROM", "JOIN", "BY", "ANY", "ALL", "SOME", "INTERVAL", "CASE"]
+
+
+def _advised_tokens(scripts: DataFrame) -> DataFrame:
+    """Code tokens with what the advice looks at: the part of the query, six neighbours, the last join."""
+    code = with_query_parts(code_tokens(scripts))
+    here = by_statement()
+    for n in (4, 5):
+        code = code.withColumn(f"next{n}", F.lead("u", n).over(here))
+    for n in (2, 6):
+        code = code.withColumn(f"tok{n}", F.lead("tok", n).over(here))
+    for n in (3, 4):
+        code = code.withColumn(f"prev{n}", F.lag("u", n).over(here))
+    level = Window.partitionBy(*STMT, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    outer = F.when((F.col("kind") == "ident") & F.col("u").isin("SELECT", "FROM", "WHERE", "ON", "HAVING", "GROUP", "ORDER"), F.col("u"))
+    inside = Window.partitionBy(*STMT, "lv", "grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    join = F.col("u") == "JOIN"
+    left = (F.col("prev1") == "LEFT") | ((F.col("prev1") == "OUTER") & (F.col("prev2") == "LEFT"))
+    alias = F.when(F.col("next2") == "AS", F.col("next3")).when(F.col("next2") != "ON", F.col("next2"))
+    joined = F.when(join, F.struct(F.coalesce(left, F.lit(False)).alias("left"), F.col("next1").alias("right"), alias.alias("alias")))
+    return code.withColumn("outer_part", F.last(outer, ignorenulls=True).over(level)).withColumn(
+        "join", F.last(joined, ignorenulls=True).over(inside))
+
 
-    def got(pattern: str, group: int = 1) -> Column:
-        return F.regexp_extract("sql", JAVA_FLAGS + pattern, group)
+def advice_rows(scripts: DataFrame) -> DataFrame:
+    """Computed advice: (script_id, rule, advice), each once per script. The script text itself is not edited.
 
-    column = got(r"\bCOUNT\s*\(\s*DISTINCT\s+([^)]+)\)")
-    or_column = got(r"\b(\w+)\s*=\s*\w+\s+OR\s")
-    star_table = got(r"SELECT\s+\*\s+FROM\s+([\w.]+)")
-    dated = got(r"\b(?:FROM|JOIN|TABLE)\s+(?:IF\s+EXISTS\s+)?((?:\w+\.)?\w*?)_?[12]\d{7}\b")
-    called = got(r"\bWHERE\s+.*?\b([a-z_][a-z0-9_]*)\s*\(")
+    Advice looks at tokens, so text in strings and comments gives none, and at the place of a token in its query: a function
+    is one in WHERE only if the WHERE is of the same parentheses, a call of a registered function is no user function, and
+    OR becomes IN only between equalities of one column with literals.
+    """
+    t = _advised_tokens(scripts)
+    u, n1, n2, n3 = (F.col(c) for c in ("u", "next1", "next2", "next3"))
+    p1, p2 = (F.coalesce(c, F.lit("")) for c in ("prev1", "prev2"))
+    word = F.col("kind") == "ident"
+    name = F.lower(u)
+    literal = lambda c: F.coalesce(F.col(c).rlike("^['\"0-9]"), F.lit(False))
+    dotted = F.when(F.col("next4") == ".", F.concat_ws(".", n3, "next5")).otherwise(n3)
+    in_query = word & (u == "IN") & (n1 == "(") & (n2 == "SELECT")
+    called = word & (n1 == "(") & ~u.isin(NO_CALL) & ~u.isin(TYPE_NAMES) & (F.col("part") == "WHERE")
+    compared = called & (F.col("gnext1") == ")") & F.col("gnext2").isin(COMPARISONS)
+    scalar = word & (u == "SELECT") & (p1 == "(") & (F.col("prev_outer") == "SELECT")
+    on_filter = word & (u == "AND") & (F.col("part") == "ON") & F.col("join.left") & (n2 == ".") & (
+        n1 != F.col("join.right")) & (n1 != F.coalesce(F.col("join.alias"), F.lit("")))
+    # read by every kind of advice, so it is derived once
+    t = store(t.withColumn("prev_outer", F.lag("outer_part").over(by_statement())).drop("line", "outer_part"))
+    rule = lambda n, when, text: F.struct(F.lit(n).alias("rule"), F.when(when, text).alias("advice"))
     entries = F.array(
-        F.struct(F.lit("COUNT_DISTINCT").alias("rule"),
-                 F.when(column != "", F.concat(F.lit("approx_count_distinct("), column, F.lit(")"))).alias("advice")),
-        F.struct(F.lit("OR_IN_WHERE").alias("rule"),
-                 F.when((F.regexp_instr(sql, java(r"WHERE.*OR.*OR")) > 0) & (or_column != ""),
-                        F.concat(or_column, F.lit(" IN (...)"))).alias("advice")),
-        F.struct(F.lit("SELECT_STAR").alias("rule"),
-                 F.when(star_table != "", F.concat(F.lit("list the columns of "), star_table)).alias("advice")),
-        F.struct(F.lit("TABLE_NAME_WITH_DATE").alias("rule"),
-                 F.when(dated != "", F.concat(F.lit("partition "), dated, F.lit(" by dt"))).alias("advice")),
-        F.struct(F.lit("UDF_IN_WHERE").alias("rule"),
-                 F.when(called != "", F.concat(F.lit("check the call of "), F.lower(called))).alias("advice")),
-    )
-    return scripts.select("script_id", F.explode(F.filter(entries, lambda e: e["advice"].isNotNull())).alias("e")).select(
-        "script_id", "e.rule", "e.advice"
+        rule("COUNT_DISTINCT", word & (u == "COUNT") & (n1 == "(") & (n2 == "DISTINCT"),
+             F.concat(F.lit("approx_count_distinct("), F.lower(dotted), F.lit(")"))),
+        rule("SELECT_STAR", word & (u == "SELECT") & (n1 == "*") & (n2 == "FROM") & (n3 != "("),
+             F.concat(F.lit("list the columns of "), F.lower(dotted))),
+        rule("IN_SUBQUERY", in_query & (p1 != "NOT"), F.concat(F.lit("left semi join on "), F.lower(p1))),
+        rule("NOT_IN_SUBQUERY", in_query & (p1 == "NOT"),
+             F.concat(F.lit("left anti join on "), F.lower(p2), F.lit(" if no value is NULL"))),
+        rule("WHERE_FUNCTION", compared, F.concat(F.lit("compare the column itself instead of "), name, F.lit("(...)"))),
+        rule("PARTITION_PRUNING", compared & u.isin(DATE_PARTS) & (F.col("gnext2") == "="),
+             F.concat(F.lit("give a range of the partition column instead of "), name, F.lit("(...)"))),
+        rule("SUBQUERY_IN_SELECT", scalar, F.lit("join or window instead of a subquery per row")),
+        rule("LEFT_JOIN_WHERE_FILTER", on_filter, F.concat(F.lit("move the condition on "), F.lower(n1), F.lit(" to WHERE"))),
     )
+    by_token = t.select("script_id", F.explode(F.filter(entries, lambda e: e["advice"].isNotNull())).alias("e")).select(
+        "script_id", "e.rule", "e.advice")
+
+    calls = t.where(called).select("script_id", name.alias("function")).distinct()
+    known = builtin_functions(scripts.sparkSession)  # a few hundred names
+    user = calls.join(F.broadcast(known), "function", "left_anti").select(
+        "script_id", F.lit("UDF_IN_WHERE").alias("rule"), F.concat(F.lit("built-in functions instead of "), "function").alias("advice"))
+
+    equal = word & (n1 == "=") & literal("tok2")
+    onward = (n3 == "OR") & (F.col("next4") == u) & (F.col("next5") == "=") & literal("tok6")
+    back = (p1 == "OR") & (F.col("prev3") == "=") & (F.col("prev4") == u) & F.coalesce(F.col("prev2").rlike("^['\"0-9]"), F.lit(False))
+    values = t.where(equal & (onward | back)).groupBy(*STMT, "lv", "grp", "u").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "tok2"))).alias("found"))
+    either = values.select("script_id", F.lit("OR_IN_WHERE").alias("rule"), F.concat(
+        F.lower("u"), F.lit(" IN ("), F.array_join(F.transform("found", lambda f: f["tok2"]), ", "), F.lit(")")).alias("advice"))
+
+    nested = t.where(word & (u == "SELECT") & (p1 == "(") & (p2 != "AS")).groupBy(*STMT).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    deep = nested.select("script_id", F.lit("SUBQUERY_DEEP").alias("rule"), F.concat(
+        F.lit("name the "), F.col("n").cast("string"), F.lit(" subqueries in a WITH clause")).alias("advice"))
+
+    items = Window.partitionBy(*STMT, "lv", "grp")
+    opened = F.max((F.col("tok") == "(") & (p1 == "IN") & (n1 != "SELECT")).over(items)
+    lists = t.withColumn("__list", opened).where("__list AND tok <> '('").groupBy(*STMT, "lv", "grp").agg(
+        F.sum(F.length("tok") + 1).alias("chars"), F.sum((F.col("tok") == ",").cast("int")).alias("commas"))
+    long = lists.where(f"chars >= {LONG_LIST}").select("script_id", F.lit("IN_VALUES_LONG").alias("rule"), F.concat(
+        F.lit("join a table of the "), (F.col("commas") + 1).cast("string"), F.lit(" values")).alias("advice"))
+
+    base = F.regexp_extract("table_name", r"^(.*?)_?[12][0-9]{7}$", 1)
+    dated = refs_of_tokens(t).select("script_id", F.lit("TABLE_NAME_WITH_DATE").alias("rule"), F.when(
+        base != "", F.concat(F.lit("partition "), base, F.lit(" by dt"))).alias("advice")).where("advice IS NOT NULL")
+
+    out = by_token
+    for part in (user, either, deep, long, dated):
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def template_parameters(scripts: DataFrame) -> DataFrame:

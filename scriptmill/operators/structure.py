@@ -80,9 +80,10 @@ def _clause_tokens(code: DataFrame) -> DataFrame:
         u.isin(CLAUSE_WORDS)
         | (u.isin(BY_WORDS) & (nxt == "BY"))
         | (u.isin(JOIN_WORDS[:5]) & nxt.isin("JOIN", "OUTER", "SEMI", "ANTI"))
+        | (u.isin("SEMI", "ANTI") & (nxt == "JOIN") & ~prv.isin(JOIN_WORDS))
         | ((u == "JOIN") & ~prv.isin(JOIN_WORDS))
     )
-    name = F.when(u.isin(BY_WORDS), F.concat(u, F.lit(" BY"))).when(u.isin([*JOIN_WORDS[:5], "JOIN"]), "JOIN").otherwise(u)
+    name = F.when(u.isin(BY_WORDS), F.concat(u, F.lit(" BY"))).when(u.isin([*JOIN_WORDS, "JOIN"]), "JOIN").otherwise(u)
     started = code.withColumn("__starts", F.coalesce(start, F.lit(False)))
     return (
         started.withColumn("clause_no", F.sum(_flag(F.col("__starts"))).over(by_statement().rowsBetween(*SO_FAR)))
@@ -293,10 +294,15 @@ def table_options(scripts: DataFrame) -> DataFrame:
 
 
 def _case_depth(code: DataFrame) -> DataFrame:
-    """Adds case_depth: 1 for the tokens of an outermost CASE block, its CASE and END included; 0 outside."""
-    step = F.when(F.col("u") == "CASE", 1).when(F.col("u") == "END", -1).otherwise(0)
-    before = F.coalesce(F.sum(step).over(by_statement().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return code.withColumn("case_depth", before + _flag(F.col("u") == "CASE"))
+    """Adds case_depth: 1 for the tokens of an outermost CASE block, its CASE and END included; 0 outside. A column may be
+    named end: behind a point, and where no block is open, END closes nothing."""
+    free = F.coalesce("prev1", F.lit("")) != "."
+    step = F.when((F.col("u") == "CASE") & free, 1).when((F.col("u") == "END") & free, -1).otherwise(0)
+    earlier = by_statement().rowsBetween(Window.unboundedPreceding, -1)
+    # a sum that is not to fall below zero: the plain sum less its lowest value so far
+    summed = code.withColumn("__sum", F.coalesce(F.sum(step).over(earlier), F.lit(0)))
+    lowest = F.least(F.lit(0), F.min("__sum").over(by_statement().rowsBetween(*SO_FAR)))
+    return summed.withColumn("case_depth", F.col("__sum") - lowest + _flag((F.col("u") == "CASE") & free)).drop("__sum")
 
 
 def case_blocks(scripts: DataFrame) -> DataFrame:
@@ -429,20 +435,79 @@ def function_calls(scripts: DataFrame, builtins: DataFrame | None = None) -> Dat
     return flagged.select("script_id", "function", "n_calls", F.coalesce("is_builtin", F.lit(False)).alias("is_builtin"))
 
 
+# Words after which names are no longer tables of the FROM clause.
+FROM_ENDS = ["WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "SELECT", "LATERAL", "WINDOW", "SET", "VALUES", "WHEN", "DISTRIBUTE",
+             "CLUSTER", "SORT", *SET_WORDS]
+
+
+def with_query_parts(code: DataFrame) -> DataFrame:
+    """Adds for each token the query it stands in and the part of it: lv and grp (its parentheses; an opening one counts
+    to its inside), part (the last of SELECT, FROM, JOIN, ON, USING, WHERE, ... of the same parentheses) and gprev, gnext1,
+    gnext2 (neighbours within them). FROM counts only behind a SELECT of the same parentheses or outside all of them, and
+    not in IS DISTINCT FROM; so extract(year FROM x) has no FROM clause."""
+    opens = F.col("tok") == "("
+    level = code.withColumn("lv", F.col("level") + _flag(opens))
+    run = Window.partitionBy(*STMT, "lv").orderBy("pos").rowsBetween(*SO_FAR)
+    level = level.withColumn("grp", F.sum(_flag(opens)).over(run))
+    inside = Window.partitionBy(*STMT, "lv", "grp").orderBy("pos")
+    u, word = F.col("u"), F.col("kind") == "ident"
+    plain = word & (F.coalesce("prev1", F.lit("")) != ".")
+    selects = F.coalesce(F.max(_flag(plain & (u == "SELECT"))).over(inside.rowsBetween(*SO_FAR)), F.lit(0))
+    distinct_from = (F.coalesce("prev1", F.lit("")) == "DISTINCT") & F.coalesce("prev2", F.lit("")).isin("IS", "NOT")
+    is_from = plain & (u == "FROM") & ~distinct_from & ((selects == 1) | (F.col("lv") == 0))
+    part = F.when(is_from, "FROM").when(plain & u.isin("JOIN", "ON", "USING", *FROM_ENDS), u)
+    return (
+        level.withColumn("__part", part).withColumn("part", F.coalesce(F.last("__part", ignorenulls=True).over(
+            inside.rowsBetween(*SO_FAR)), F.lit("")))
+        .withColumn("is_from", is_from)
+        .withColumn("gprev", F.coalesce(F.lag("u").over(inside), F.lit("")))
+        .withColumn("gprev_from", F.coalesce(F.lag("is_from").over(inside), F.lit(False)))
+        .withColumn("gnext1", F.coalesce(F.lead("u", 1).over(inside), F.lit("")))
+        .withColumn("gnext2", F.coalesce(F.lead("u", 2).over(inside), F.lit("")))
+        .drop("__part")
+    )
+
+
+def _full_name(code: DataFrame) -> DataFrame:
+    """Adds full_name: the name that begins at a token, with what points join to it, in lower case."""
+    if "next4" not in code.columns:
+        code = code.withColumn("next4", F.lead("u", 4).over(by_statement()))
+    two = (F.col("next1") == ".") & F.col("next2").isNotNull()
+    three = two & (F.col("next3") == ".") & F.col("next4").isNotNull()
+    return code.withColumn("full_name", F.lower(
+        F.when(three, F.concat_ws(".", "u", "next2", "next4")).when(two, F.concat_ws(".", "u", "next2")).otherwise(F.col("u"))))
+
+
 def table_refs(scripts: DataFrame) -> DataFrame:
-    """(script_id, stmt_no, table_name, access), access read or write, each once per statement."""
+    """(script_id, stmt_no, table_name, access), access read or write, each once per statement. Names that a WITH clause of
+    the statement defines are no tables, nor is what stands behind FROM in a function call."""
+    return refs_of_tokens(with_query_parts(code_tokens(scripts)))
+
+
+def refs_of_tokens(code: DataFrame) -> DataFrame:
+    """``table_refs`` of code tokens that know their part of the query."""
     prv, u1 = F.coalesce("prev1", F.lit("")), F.col("u1")
-    name = F.lower(F.when(F.col("next1") == ".", F.concat_ws(".", F.col("u"), F.col("next2"))).otherwise(F.col("u")))
-    is_name = (F.col("kind") == "ident") & ~F.col("u").isin("SELECT", "IF", "TABLE")
+    code = _first_word(_full_name(code))
+    is_name = (F.col("kind") == "ident") & ~F.col("u").isin("SELECT", "IF", "TABLE", "LATERAL", "VALUES", "ONLY")
+    top = F.col("level") == 0
     writes = (
-        (prv.isin("INTO", "OVERWRITE", "TABLE") & (F.col("level") == 0))
-        | ((prv == "EXISTS") & u1.isin("CREATE", "DROP") & (F.col("level") == 0))
+        (prv.isin("INTO", "OVERWRITE", "TABLE") & top)
+        | ((prv == "EXISTS") & u1.isin("CREATE", "DROP") & top)
         | ((prv == "UPDATE") & (u1 == "UPDATE"))
-        | ((prv == "FROM") & (u1 == "DELETE") & (F.col("level") == 0))
+        | ((prv == "FROM") & (u1 == "DELETE") & top)
     )
-    reads = prv.isin("FROM", "JOIN") | ((prv == "USING") & (u1 == "MERGE") & (F.col("level") == 0))
+    listed = (F.col("gprev") == ",") & F.col("part").isin("FROM", "JOIN", "ON")
+    reads = (prv.isin("FROM", "JOIN") & (F.col("gprev_from") | (prv == "JOIN"))) | listed | (
+        (prv == "USING") & (u1 == "MERGE") & top)
     access = F.when(is_name & writes, "write").when(is_name & reads & (F.coalesce("next1", F.lit("")) != "("), "read")
+    defined = (F.col("next1") == "AS") & (F.col("next2") == "(") & prv.isin("WITH", "RECURSIVE", ",") & u1.isin(
+        "WITH", "INSERT", "CREATE")
+    # the few tokens that are a table or the name of a WITH query
+    found = code.select(*STMT, "full_name", access.alias("access"), F.coalesce(defined, F.lit(False)).alias("defined")).where(
+        "access IS NOT NULL OR defined").distinct()
+    by_name = Window.partitionBy(*STMT, "full_name")
     return (
-        _first_word(code_tokens(scripts)).select(*STMT, name.alias("table_name"), access.alias("access"))
-        .where("access IS NOT NULL").distinct()
+        found.withColumn("is_with", F.max("defined").over(by_name))
+        .where("access = 'write' OR (access = 'read' AND NOT is_with)")
+        .select(*STMT, F.col("full_name").alias("table_name"), "access").distinct()
     )

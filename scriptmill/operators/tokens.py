@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from scriptmill.functions.sqltext import TOKEN
+from scriptmill.session import shuffle_partitions
 
 
 def by_script() -> WindowSpec:
@@ -57,9 +58,9 @@ def mentioning(scripts: DataFrame, *words: str) -> DataFrame:
 
 def raw_tokens(scripts: DataFrame, partitions: int | None = None) -> DataFrame:
     """(script_id, pos, tok, kind)."""
-    columns = [F.col("script_id")] if partitions is None else [partitions, F.col("script_id")]
+    n = partitions or shuffle_partitions(scripts.sparkSession)  # given, since AQE would merge by the bytes of the texts
     return (
-        scripts.select("script_id", "sql").repartition(*columns)
+        scripts.select("script_id", "sql").repartition(n, "script_id")
         .select("script_id", F.posexplode(F.regexp_extract_all("sql", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
         .withColumn("kind", _kind(F.col("tok")))
     )

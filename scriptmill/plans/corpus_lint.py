@@ -233,26 +233,6 @@ def report_file(spark, d):
     ).agg(F.count(F.lit(1)).alias("n_scripts"))
 
 
-@query(
-    "a34_advice",
-    f"""{CORPUS}, got AS (SELECT script_id, sql,
-  regexp_extract(sql, {rx(r'''\bCOUNT\s*\(\s*DISTINCT\s+([^)]+)\)''')}, 1) AS cd,
-  regexp_extract(sql, {rx(r'''\b(\w+)\s*=\s*\w+\s+OR\s''')}, 1) AS orc,
-  regexp_extract(sql, {rx(r'''SELECT\s+\*\s+FROM\s+([\w.]+)''')}, 1) AS star,
-  regexp_extract(sql, {rx(r'''\b(?:FROM|JOIN|TABLE)\s+(?:IF\s+EXISTS\s+)?((?:\w+\.)?\w*?)_?[12]\d{7}\b''')}, 1) AS dated,
-  regexp_extract(sql, {rx(r'''\bWHERE\s+.*?\b([a-z_][a-z0-9_]*)\s*\(''')}, 1) AS called
-FROM scripts)
-SELECT script_id, 'COUNT_DISTINCT' AS rule, 'approx_count_distinct(' || cd || ')' AS advice FROM got WHERE cd <> ''
-UNION ALL SELECT script_id, 'OR_IN_WHERE', orc || ' IN (...)' FROM got
-  WHERE orc <> '' AND regexp_matches(sql, '(?im)WHERE.*OR.*OR')
-UNION ALL SELECT script_id, 'SELECT_STAR', 'list the columns of ' || star FROM got WHERE star <> ''
-UNION ALL SELECT script_id, 'TABLE_NAME_WITH_DATE', 'partition ' || dated || ' by dt' FROM got WHERE dated <> ''
-UNION ALL SELECT script_id, 'UDF_IN_WHERE', 'check the call of ' || lower(called) FROM got WHERE called <> ''""",
-)
-def advice(spark, d):
-    return lint.advice_rows(scripts_from_orders(spark, d))
-
-
 _SENSITIVE = sql_text("(?im)" + re2_pattern("SENSITIVE_INFO_DETECTED"))
 
 

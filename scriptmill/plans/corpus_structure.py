@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scriptmill.functions.sqltext import NOT_FUNCTIONS, TOKEN, TYPE_NAMES, re2
-from scriptmill.operators import structure, tokens
+from scriptmill.operators import lint, structure, tokens
 from scriptmill.operators.structure import BY_WORDS, CLAUSE_WORDS, JOIN_WORDS, NAME_STOPS, QUERY_WORDS, SET_WORDS
 from scriptmill.plans.corpus_lint import CORPUS
 from scriptmill.plans.registry import TWINS, query, sql_text
@@ -127,10 +127,11 @@ CLAUSES = f"""
 cl0 AS (SELECT *, CASE WHEN kind = 'ident' AND level = 0 AND (u IN {names(CLAUSE_WORDS)}
     OR (u IN {names(BY_WORDS)} AND next1 = 'BY')
     OR (u IN {names(JOIN_WORDS[:5])} AND next1 IN ('JOIN', 'OUTER', 'SEMI', 'ANTI'))
+    OR (u IN ('SEMI', 'ANTI') AND next1 = 'JOIN' AND coalesce(prev1, '') NOT IN {names(JOIN_WORDS)})
     OR (u = 'JOIN' AND coalesce(prev1, '') NOT IN {names(JOIN_WORDS)})) THEN 1 ELSE 0 END AS starts FROM {{source}}),
 cl AS (SELECT *, sum(starts) OVER ({STMT} ORDER BY pos {RUN}) AS clause_no,
   coalesce(last_value(CASE WHEN starts = 1 THEN CASE WHEN u IN {names(BY_WORDS)} THEN u || ' BY'
-    WHEN u IN {names([*JOIN_WORDS[:5], 'JOIN'])} THEN 'JOIN' ELSE u END END IGNORE NULLS)
+    WHEN u IN {names([*JOIN_WORDS, 'JOIN'])} THEN 'JOIN' ELSE u END END IGNORE NULLS)
     OVER ({STMT} ORDER BY pos {RUN}), 'HEAD') AS clause FROM cl0)"""
 
 
@@ -278,10 +279,13 @@ def a26(spark, d):
 
 
 def case_depth_sql(source: str) -> str:
+    opens = "u = 'CASE' AND coalesce(prev1, '') <> '.'"
+    closes = "u = 'END' AND coalesce(prev1, '') <> '.'"
     return f"""
-cd AS (SELECT *, coalesce(sum(CASE u WHEN 'CASE' THEN 1 WHEN 'END' THEN -1 ELSE 0 END) OVER ({STMT} ORDER BY pos
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN u = 'CASE' THEN 1 ELSE 0 END AS case_depth
-  FROM {source})"""
+cs AS (SELECT *, coalesce(sum(CASE WHEN {opens} THEN 1 WHEN {closes} THEN -1 ELSE 0 END) OVER ({STMT} ORDER BY pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_blocks FROM {source}),
+cd AS (SELECT *, open_blocks - least(0, min(open_blocks) OVER ({STMT} ORDER BY pos {RUN}))
+  + CASE WHEN {opens} THEN 1 ELSE 0 END AS case_depth FROM cs)"""
 
 
 @query(
@@ -377,7 +381,8 @@ def a31(spark, d):
 
 
 # The built-in functions that occur in the corpus; the job itself asks the session for all of them.
-CORPUS_BUILTINS = ["cast", "count", "year", "max", "row_number", "explode", "sum", "avg", "posexplode", "json_tuple"]
+CORPUS_BUILTINS = ["cast", "count", "year", "max", "row_number", "explode", "sum", "avg", "posexplode", "json_tuple",
+                   "extract", "upper", "trim"]
 
 
 @query(
@@ -391,17 +396,83 @@ def a32(spark, d):
     return structure.function_calls(scripts_from_orders(spark, d))
 
 
-@query(
-    "a33_table_refs",
-    f"""{TOKENS}, refs AS (SELECT script_id, stmt_no,
-  lower(CASE WHEN next1 = '.' THEN u || '.' || next2 ELSE u END) AS table_name,
-  CASE WHEN kind <> 'ident' OR u IN ('SELECT', 'IF', 'TABLE') THEN NULL
+# Each token with the query it stands in: its parentheses (lv, grp) and the last clause word inside them.
+PARTS = f"""{TOKENS},
+p0 AS (SELECT *, level + CASE WHEN tok = '(' THEN 1 ELSE 0 END AS lv, lead(tok, 2) OVER s AS tok2, lead(tok, 6) OVER s AS tok6,
+  lag(u, 3) OVER s AS prev3, lag(u, 4) OVER s AS prev4, kind = 'ident' AND coalesce(prev1, '') <> '.' AS plain
+  FROM code WINDOW s AS ({STMT} ORDER BY pos)),
+p1 AS (SELECT *, sum(CASE WHEN tok = '(' THEN 1 ELSE 0 END) OVER ({STMT}, lv ORDER BY pos {RUN}) AS grp FROM p0),
+p2 AS (SELECT *, max(CASE WHEN plain AND u = 'SELECT' THEN 1 ELSE 0 END) OVER ({STMT}, lv, grp ORDER BY pos {RUN}) AS in_select FROM p1),
+p3 AS (SELECT *, plain AND u = 'FROM' AND (in_select = 1 OR lv = 0)
+  AND NOT (coalesce(prev1, '') = 'DISTINCT' AND coalesce(prev2, '') IN ('IS', 'NOT')) AS is_from FROM p2),
+p4 AS (SELECT *, CASE WHEN is_from THEN 'FROM' WHEN plain AND u IN ('JOIN', 'ON', 'USING', 'WHERE', 'GROUP', 'ORDER', 'HAVING',
+  'LIMIT', 'SELECT', 'LATERAL', 'WINDOW', 'SET', 'VALUES', 'WHEN', 'DISTRIBUTE', 'CLUSTER', 'SORT', 'UNION', 'INTERSECT',
+  'EXCEPT', 'MINUS') THEN u END AS clause_word FROM p3),
+parts AS (SELECT *, coalesce(last_value(clause_word IGNORE NULLS) OVER (g {RUN}), '') AS part, coalesce(lag(u) OVER g, '') AS gprev,
+  coalesce(lag(is_from) OVER g, false) AS after_from, coalesce(lead(u, 1) OVER g, '') AS gnext1, coalesce(lead(u, 2) OVER g, '') AS gnext2,
+  last_value(CASE WHEN kind = 'ident' AND u IN ('SELECT', 'FROM', 'WHERE', 'ON', 'HAVING', 'GROUP', 'ORDER') THEN u END IGNORE NULLS)
+    OVER ({STMT}, level ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS outer_part
+  FROM p4 WINDOW g AS ({STMT}, lv, grp ORDER BY pos)),
+named AS (SELECT *, lower(CASE WHEN next1 = '.' AND next3 = '.' THEN u || '.' || next2 || '.' || next4
+  WHEN next1 = '.' THEN u || '.' || next2 ELSE u END) AS full_name FROM parts),
+ctes AS (SELECT DISTINCT script_id, stmt_no, lower(u) AS name FROM parts WHERE next1 = 'AS' AND next2 = '('
+  AND prev1 IN ('WITH', 'RECURSIVE', ',') AND u1 IN ('WITH', 'INSERT', 'CREATE')),
+refs AS (SELECT script_id, stmt_no, full_name AS table_name,
+  CASE WHEN kind <> 'ident' OR u IN ('SELECT', 'IF', 'TABLE', 'LATERAL', 'VALUES', 'ONLY') THEN NULL
     WHEN (prev1 IN ('INTO', 'OVERWRITE', 'TABLE') AND level = 0)
       OR (prev1 = 'EXISTS' AND u1 IN ('CREATE', 'DROP') AND level = 0) OR (prev1 = 'UPDATE' AND u1 = 'UPDATE')
       OR (prev1 = 'FROM' AND u1 = 'DELETE' AND level = 0) THEN 'write'
-    WHEN (prev1 IN ('FROM', 'JOIN') OR (prev1 = 'USING' AND u1 = 'MERGE' AND level = 0))
-      AND coalesce(next1, '') <> '(' THEN 'read' END AS access FROM code)
-SELECT DISTINCT * FROM refs WHERE access IS NOT NULL""",
-)
+    WHEN ((prev1 = 'FROM' AND after_from) OR prev1 = 'JOIN' OR (gprev = ',' AND part IN ('FROM', 'JOIN', 'ON'))
+      OR (prev1 = 'USING' AND u1 = 'MERGE' AND level = 0)) AND coalesce(next1, '') <> '(' THEN 'read' END AS access FROM named),
+table_names AS (SELECT DISTINCT r.* FROM refs r LEFT JOIN ctes c ON r.script_id = c.script_id AND r.stmt_no = c.stmt_no
+  AND r.table_name = c.name WHERE access IS NOT NULL AND (access = 'write' OR c.name IS NULL))"""
+
+
+@query("a33_table_refs", f"{PARTS} SELECT * FROM table_names")
 def a33(spark, d):
     return structure.table_refs(scripts_from_orders(spark, d))
+
+
+_CALL = f"""kind = 'ident' AND next1 = '(' AND part = 'WHERE' AND u NOT IN {names(TYPE_NAMES)} AND u NOT IN ('IN', 'AND', 'OR', 'NOT',
+  'EXISTS', 'WHERE', 'ON', 'WHEN', 'THEN', 'ELSE', 'BETWEEN', 'LIKE', 'SELECT', 'AS', 'OVER', 'VALUES', 'USING', 'FROM', 'JOIN', 'BY',
+  'ANY', 'ALL', 'SOME', 'INTERVAL', 'CASE')"""
+_LITERAL = "regexp_matches(coalesce({}, ''), '^[''\"0-9]')"
+
+
+@query("a34_advice", f"""{PARTS},
+j AS (SELECT *, lag(outer_part) OVER ({STMT} ORDER BY pos) AS prev_outer, coalesce(prev1, '') AS b1, coalesce(prev2, '') AS b2,
+  last_value(CASE WHEN u = 'JOIN' THEN pos END IGNORE NULLS) OVER ({STMT}, lv, grp ORDER BY pos {RUN}) AS join_pos FROM parts),
+lefts AS (SELECT script_id, pos, next1 AS right_name, CASE WHEN next2 = 'AS' THEN next3 WHEN next2 <> 'ON' THEN next2 END AS alias
+  FROM parts WHERE u = 'JOIN' AND (prev1 = 'LEFT' OR (prev1 = 'OUTER' AND prev2 = 'LEFT'))),
+calls AS (SELECT * FROM j WHERE {_CALL}),
+equal AS (SELECT * FROM j WHERE kind = 'ident' AND next1 = '=' AND {_LITERAL.format('tok2')} AND (
+  (next3 = 'OR' AND next4 = u AND next5 = '=' AND {_LITERAL.format('tok6')})
+  OR (b1 = 'OR' AND prev3 = '=' AND prev4 = u AND {_LITERAL.format('prev2')}))),
+in_lists AS (SELECT script_id, stmt_no, lv, grp, bool_or(tok = '(' AND b1 = 'IN' AND next1 <> 'SELECT') AS is_list,
+  sum(length(tok) + 1) FILTER (WHERE tok <> '(') AS chars, count(*) FILTER (WHERE tok = ',') AS commas FROM j GROUP BY 1, 2, 3, 4),
+nested AS (SELECT script_id, stmt_no, count(*) AS n FROM j WHERE kind = 'ident' AND u = 'SELECT' AND b1 = '(' AND b2 <> 'AS' GROUP BY 1, 2)
+SELECT script_id, 'COUNT_DISTINCT' AS rule, 'approx_count_distinct(' || lower(CASE WHEN next4 = '.' THEN next3 || '.' || next5 ELSE next3 END)
+  || ')' AS advice FROM j WHERE kind = 'ident' AND u = 'COUNT' AND next1 = '(' AND next2 = 'DISTINCT'
+UNION SELECT script_id, 'SELECT_STAR', 'list the columns of ' || lower(CASE WHEN next4 = '.' THEN next3 || '.' || next5 ELSE next3 END)
+  FROM j WHERE kind = 'ident' AND u = 'SELECT' AND next1 = '*' AND next2 = 'FROM' AND next3 <> '('
+UNION SELECT script_id, CASE WHEN b1 = 'NOT' THEN 'NOT_IN_SUBQUERY' ELSE 'IN_SUBQUERY' END, CASE WHEN b1 = 'NOT'
+  THEN 'left anti join on ' || lower(b2) || ' if no value is NULL' ELSE 'left semi join on ' || lower(b1) END
+  FROM j WHERE kind = 'ident' AND u = 'IN' AND next1 = '(' AND next2 = 'SELECT'
+UNION SELECT script_id, 'WHERE_FUNCTION', 'compare the column itself instead of ' || lower(u) || '(...)' FROM calls
+  WHERE gnext1 = ')' AND gnext2 IN ('=', '>', '<', '>=', '<=', '!=', '<>', 'LIKE', 'IN')
+UNION SELECT script_id, 'PARTITION_PRUNING', 'give a range of the partition column instead of ' || lower(u) || '(...)' FROM calls
+  WHERE gnext1 = ')' AND gnext2 = '=' AND u IN ('YEAR', 'MONTH', 'DAY', 'TO_DATE', 'DATE_FORMAT')
+UNION SELECT script_id, 'SUBQUERY_IN_SELECT', 'join or window instead of a subquery per row' FROM j
+  WHERE kind = 'ident' AND u = 'SELECT' AND b1 = '(' AND prev_outer = 'SELECT'
+UNION SELECT j.script_id, 'LEFT_JOIN_WHERE_FILTER', 'move the condition on ' || lower(next1) || ' to WHERE' FROM j JOIN lefts l
+  ON j.script_id = l.script_id AND j.join_pos = l.pos WHERE kind = 'ident' AND u = 'AND' AND part = 'ON' AND next2 = '.'
+  AND next1 <> right_name AND next1 <> coalesce(alias, '')
+UNION SELECT script_id, 'UDF_IN_WHERE', 'built-in functions instead of ' || lower(u) FROM calls WHERE lower(u) NOT IN {names(CORPUS_BUILTINS)}
+UNION SELECT script_id, 'OR_IN_WHERE', lower(u) || ' IN (' || string_agg(tok2, ', ' ORDER BY pos) || ')' FROM equal
+  GROUP BY script_id, stmt_no, lv, grp, u
+UNION SELECT script_id, 'SUBQUERY_DEEP', 'name the ' || n || ' subqueries in a WITH clause' FROM nested WHERE n > 1
+UNION SELECT script_id, 'IN_VALUES_LONG', 'join a table of the ' || (commas + 1) || ' values' FROM in_lists WHERE is_list AND chars >= 100
+UNION SELECT script_id, 'TABLE_NAME_WITH_DATE', 'partition ' || regexp_extract(table_name, '^(.*?)_?[12][0-9]{{7}}$', 1) || ' by dt'
+  FROM table_names WHERE regexp_extract(table_name, '^(.*?)_?[12][0-9]{{7}}$', 1) <> ''""")
+def a34(spark, d):
+    return lint.advice_rows(scripts_from_orders(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scriptmill.functions.sqltext import ELEMENTS, TOKEN, re2
 from scriptmill.operators import integrity, structure
 from scriptmill.plans.corpus_lint import KEYWORD_RX, rx
-from scriptmill.plans.corpus_structure import TOKENS
+from scriptmill.plans.corpus_structure import PARTS, TOKENS
 from scriptmill.plans.registry import query, sql_text
 from scriptmill.sources.corpus import SCRIPTS_SQL, scripts_from_orders
 
@@ -132,14 +132,9 @@ def a37(spark, d):
 
 @query(
     "a37_same_tables",
-    f"""{TOKENS}, refs AS (SELECT DISTINCT script_id,
-  lower(CASE WHEN next1 = '.' THEN u || '.' || next2 ELSE u END) AS table_name FROM code
-  WHERE kind = 'ident' AND u NOT IN ('SELECT', 'IF', 'TABLE') AND (
-    (prev1 IN ('INTO', 'OVERWRITE', 'TABLE') AND level = 0)
-    OR (prev1 = 'EXISTS' AND u1 IN ('CREATE', 'DROP') AND level = 0) OR (prev1 = 'UPDATE' AND u1 = 'UPDATE')
-    OR (prev1 = 'FROM' AND u1 = 'DELETE' AND level = 0)
-    OR ((prev1 IN ('FROM', 'JOIN') OR (prev1 = 'USING' AND u1 = 'MERGE' AND level = 0)) AND coalesce(next1, '') <> '('))),
-sets AS (SELECT script_id, string_agg(table_name, ',' ORDER BY table_name) AS tables FROM refs GROUP BY script_id)
+    f"""{PARTS},
+sets AS (SELECT script_id, string_agg(table_name, ',' ORDER BY table_name) AS tables
+  FROM (SELECT DISTINCT script_id, table_name FROM table_names) GROUP BY script_id)
 SELECT script_id, tables, count(*) OVER (PARTITION BY tables) AS n_scripts FROM sets""",
 )
 def a37_tables(spark, d):

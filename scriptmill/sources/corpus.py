@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptmill.session import shuffle_partitions
 from scriptmill.sources.tables import table
 
 # {k} order key, {d} yyyy-MM-dd, {ymd} yyyyMMdd, {s} status; \n is a newline.
@@ -50,6 +51,15 @@ SHAPES: list[str] = [
     "row format delimited stored as textfile;\nselect id, p, tag from pages lateral view posexplode(list) l as p, "
     "tag lateral view json_tuple(js, 'a') j as a where id > {k};\n"
     "select 1 from t where ((a = 1 or b = {k});",
+    "select * from db.t where status = '{s}' or status = 'B' or x = {k} or status = 'C';",
+    "select a.k, b.v from cat.db.fact a, dim_{ymd} b, w where extract(year from a.dt) = 1997 and a.k is distinct from b.k;",
+    "with q as (select k from base), r as (select k from q where k > {k}) insert overwrite table out_t select q.k from r, q;",
+    "select t.end, case t.a when 1 then 'one' end c from t;\nselect `select`, \"from x\" from `odd name` where v = {k};",
+    "select a.x from a semi join b on a.x = b.x anti join c where upper(a.n) like 'X%' and my_udf(a.x, {k}) = 1;\n"
+    "delete from old_{k} where dt < '{d}';\nupdate cust set v = 1 where id = {k};",
+    "select f.a, (select max(v) from u where u.k = f.k) m from f left outer join g as h on f.k = h.k and f.flag = '{s}' "
+    "and h.v > 0 where f.k in (select k from v1 where k not in (select k from v2)) and trim(both ' ' from f.s) = 'x';",
+    "select " + ", ".join(f"sum(case when m = {i} then v end) m{i}" for i in range(60)) + " from wide where k = {k};",
 ]
 
 PLACEHOLDERS = ("{k}", "{d}", "{ymd}", "{s}")
@@ -99,8 +109,10 @@ SCRIPTS_SQL = _scripts_sql()
 
 def scripts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scripts(script_id, path, sql), one per order."""
-    # Narrow rows become whole texts here, so they are dealt out first; AQE chooses the number of partitions.
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").repartition("o_orderkey")
+    # Narrow rows become whole texts here, and texts many tokens. They are dealt out first, over a given number of partitions,
+    # since AQE would merge them by the bytes they have now.
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").repartition(
+        shuffle_partitions(spark), "o_orderkey")
     fills: dict[str, Column] = {
         "{k}": F.col("o_orderkey").cast("string"),
         "{d}": F.date_format("o_orderdate", "yyyy-MM-dd"),

@@ -147,3 +147,68 @@ def test_many_escapes_in_one_literal(spark):
     text = "select '" + "a''b\\'c" * 2000 + "' from t; select 1"
     df = spark.createDataFrame([(1, "p", text)], "script_id long, path string, sql string")
     assert tokens.statements(df).count() == 2
+
+
+def corpus(spark, cases):
+    return spark.createDataFrame([(i, f"p{i}", s) for i, s in enumerate(cases)], "script_id long, path string, sql string")
+
+
+def test_advice_of_every_kind(spark):
+    cases = {
+        "select * from db.t where status = 'A' or status = 'B' or x.y = 3 or status = 'C'":
+            [("OR_IN_WHERE", "status IN ('A', 'B')"), ("SELECT_STAR", "list the columns of db.t")],
+        "select a from t where status = 'A' or status = 'B' or status = 'C'": [("OR_IN_WHERE", "status IN ('A', 'B', 'C')")],
+        "select a from t where a = 1 or b = 2 or c = 3": [],
+        "select a from t where k in (select k from u)": [("IN_SUBQUERY", "left semi join on k")],
+        "select a from t where t.j not in (select j from v)": [("NOT_IN_SUBQUERY", "left anti join on j if no value is NULL")],
+        "select a from t where year(dt) = 1996": [
+            ("PARTITION_PRUNING", "give a range of the partition column instead of year(...)"),
+            ("WHERE_FUNCTION", "compare the column itself instead of year(...)")],
+        "select f_a(x), year(d) from t where my_fn(x) > 2 and a in (1, 2) -- and other(x) = 1": [
+            ("UDF_IN_WHERE", "built-in functions instead of my_fn"), ("WHERE_FUNCTION", "compare the column itself instead of my_fn(...)")],
+        "select a, (select max(b) from u) from t": [("SUBQUERY_IN_SELECT", "join or window instead of a subquery per row")],
+        "select count(distinct x.id) from t": [("COUNT_DISTINCT", "approx_count_distinct(x.id)")],
+        "select a from t left join u b on t.k = b.k and t.f = 1": [("LEFT_JOIN_WHERE_FILTER", "move the condition on t to WHERE")],
+        "select a from t left join u b on t.k = b.k and b.f = 1": [],
+        "select a from t left outer join u on t.k = u.k and u.f = 1": [],
+        "select a from t where a in (" + ", ".join(str(1000 + i) for i in range(40)) + ")": [("IN_VALUES_LONG", "join a table of the 40 values")],
+        "select a from (select a from t) x join (select a from u) y on x.a = y.a": [("SUBQUERY_DEEP", "name the 2 subqueries in a WITH clause")],
+        "with x as (select a from t), y as (select a from u) select a from x": [],
+        "select a from log_20240131": [("TABLE_NAME_WITH_DATE", "partition log by dt")],
+        "select 'where f(x) = 1 or a = 1 or a = 2' from t": [],
+    }
+    got = {}
+    for r in lint.advice_rows(corpus(spark, cases)).collect():
+        got.setdefault(r.script_id, []).append((r.rule, r.advice))
+    assert [sorted(got.get(i, [])) for i in range(len(cases))] == [sorted(v) for v in cases.values()]
+
+
+def test_table_refs(spark):
+    cases = {
+        "select 1 from t x, db.u y join cat.db.v z on x.a = z.a, w": "r:cat.db.v r:db.u r:t r:w",
+        "select 1 from t where extract(year from dt) = 1 and a is distinct from b and trim(both ' ' from c) = ''": "r:t",
+        "with q as (select * from base), r as (select 1 from q) insert into table out_t select * from r, q": "r:base w:out_t",
+        "delete from old where k in (select k from gone)": "r:gone w:old",
+        "merge into t using s on t.a = s.a when matched then delete": "r:s w:t",
+        "update cust set v = 1": "w:cust", "drop table if exists a.b": "w:a.b", "select 1 from range(10)": "",
+        "select a from b semi join c on b.x = c.x anti join d": "r:b r:c r:d",
+        "select a from t lateral view explode(l) e as x, y": "r:t",
+        "select a, b from (select c, d from t) s, u": "r:t r:u",
+    }
+    got = {}
+    for r in structure.table_refs(corpus(spark, cases)).collect():
+        got.setdefault(r.script_id, []).append(f"{r.access[0]}:{r.table_name}")
+    assert [" ".join(sorted(got.get(i, []))) for i in range(len(cases))] == list(cases.values())
+
+
+def test_semi_and_anti_joins_start_clauses(spark):
+    df = corpus(spark, ["select a from b semi join c on b.x = c.x left anti join d on 1 = 1 anti join e"])
+    got = [(r.clause, r.text) for r in structure.clauses(df).orderBy("clause_no").collect()]
+    assert got == [("SELECT", "select a"), ("FROM", "from b"), ("JOIN", "semi join c on b . x = c . x"),
+                   ("JOIN", "left anti join d on 1 = 1"), ("JOIN", "anti join e")]
+
+
+def test_columns_named_end(spark):
+    df = corpus(spark, ["select t.end, case x when 1 then 2 end from t", "select end, case when a then case when b then 1 end else 2 end from t"])
+    got = sorted((r.script_id, r.case_depth, r.n_branches, r.has_else) for r in structure.case_blocks(df).collect())
+    assert got == [(0, 1, 1, 0), (1, 1, 1, 1), (1, 2, 1, 0)]
