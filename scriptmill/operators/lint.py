@@ -156,13 +156,15 @@ def report(scripts: DataFrame) -> DataFrame:
 
 
 def batch_summary(scripts: DataFrame) -> DataFrame:
-    """Findings by rule, by severity and in total: rollup(severity, rule), with the number of scripts hit.
+    """Findings by rule, by severity and in total: rollup(severity, rule), beside the number of all scripts of the batch.
 
     A rule hits a script at most once, so counting rows counts scripts at the rule level.
     """
+    total = scripts.agg(F.count(F.lit(1)).alias("total_files"))  # one row
     return (
         findings(scripts).groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
         .rollup("severity", "rule").agg(F.sum("n").alias("n_findings"), F.grouping_id().alias("level"))
+        .crossJoin(F.broadcast(total))
     )
 
 

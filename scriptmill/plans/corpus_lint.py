@@ -107,7 +107,8 @@ def severity_counters(spark, d):
 @query(
     "a10_batch_summary",
     f"""{FINDINGS}
-SELECT severity, rule, count(*) AS n_findings, CAST(grouping(severity, rule) AS BIGINT) AS level
+SELECT severity, rule, count(*) AS n_findings, CAST(grouping(severity, rule) AS BIGINT) AS level,
+  (SELECT count(*) FROM scripts) AS total_files
 FROM findings GROUP BY ROLLUP (severity, rule)""",
 )
 def batch_summary(spark, d):

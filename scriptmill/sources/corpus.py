@@ -136,8 +136,10 @@ def _one_per_script(files: DataFrame, separator: str | None) -> DataFrame:
     """(path, value) with one row per script: a file may be a bundle of scripts, each closed by the separator."""
     if separator is None:
         return files
-    pieces = F.filter(F.split("value", f"\\Q{separator}\\E"), lambda s: s != "")
-    return files.select(F.posexplode(pieces).alias("no", "value"), "path").select(
+    # the separator closes a script, so what follows the last one is no script; an empty one before it is
+    pieces = F.split("value", f"\\Q{separator}\\E", -1)
+    closed = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    return files.select(F.posexplode(closed).alias("no", "value"), "path").select(
         F.concat_ws("#", "path", F.col("no").cast("string")).alias("path"), "value"
     )
 

@@ -272,6 +272,16 @@ def test_new_files_only(spark, tmp_path):
     for _ in range(2):
         findings_of_new_files(spark, folder, out, ckpt).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+    (tmp_path / "in" / "c.sql").write_bytes(b"select \xff\xfe from t cross join u")
+    findings_of_new_files(spark, folder, out, ckpt).awaitTermination()
+    broken = spark.read.parquet(out).where("rule = 'UNREADABLE_FILE'").collect()
+    assert len(broken) == 1 and broken[0].path.endswith("c.sql") and spark.read.parquet(out).count() == 4
+
+
+def test_empty_scripts_of_a_bundle_are_rows(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("select 1|||select 2|")
+    got = corpus.scan_folder(spark, str(tmp_path), "*.txt", "|").orderBy("path").collect()
+    assert [r.sql for r in got] == ["select 1", "", "", "select 2"]
 
 
 def test_month_range(spark):
