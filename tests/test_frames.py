@@ -28,13 +28,11 @@ def same(a, b):
     assert b.exceptAll(a).count() == 0
 
 
-@pytest.fixture(params=["some", "all", "none"], autouse=True)
+@pytest.fixture(params=["some", "all"], autouse=True)
 def cut_groups(request, monkeypatch):
-    """Groups larger than a mean partition are cut, or all groups are, or none is."""
+    """Groups larger than a mean partition are cut, or all groups are."""
     if request.param == "all":
         monkeypatch.setattr(skew, "shuffle_partitions", lambda spark: 10**9)
-    if request.param == "none":
-        monkeypatch.setattr(skew, "shuffle_partitions", lambda spark: 0)
 
 
 def test_row_number(rows):

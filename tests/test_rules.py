@@ -212,3 +212,29 @@ def test_columns_named_end(spark):
     df = corpus(spark, ["select t.end, case x when 1 then 2 end from t", "select end, case when a then case when b then 1 end else 2 end from t"])
     got = sorted((r.script_id, r.case_depth, r.n_branches, r.has_else) for r in structure.case_blocks(df).collect())
     assert got == [(0, 1, 1, 0), (1, 1, 1, 1), (1, 2, 1, 0)]
+
+
+STRUCTURE = {
+    "select_fields": ("select a.id as id, -- the key\n sum(b) total, t.* from t a", [
+        (0, 1, 1, 1, "a . id", "id", "-- the key"), (0, 1, 1, 2, "sum ( b )", "total", ""), (0, 1, 1, 3, "t . *", "", "")]),
+    "set_segments": ("select a from t union all select b from u minus select c from v", [
+        (0, 1, 0, "", 4, "select a from t"), (0, 1, 1, "UNION ALL", 4, "select b from u"), (0, 1, 2, "MINUS", 4, "select c from v")]),
+    "ctes": ("with a as (select x from t), b as (select x from u) select * from a", [(0, 1, 1, 1, "a", 1, 1, 4), (0, 1, 2, 1, "b", 1, 1, 4)]),
+    "ddl_columns": ("create table if not exists w (id string comment 'key', amt decimal(22,2)) comment 'work' partitioned by (dt string)", [
+        (0, 1, "w", 1, "dt", "string", "", True), (0, 1, "w", 1, "id", "string", "key", False), (0, 1, "w", 2, "amt", "decimal(22,2)", "", False)]),
+    "table_options": ("create table w (id string) comment 'work' partitioned by (dt string) stored as orc", [(0, 1, "w", "work", "dt string", "", "orc")]),
+    "merge_parts": ("merge into t using s on t.id = s.id when matched and s.del = 1 then delete when not matched then insert (id) values (s.id)", [
+        (0, 1, 0, "on", "t . id = s . id"), (0, 1, 0, "source", "s"), (0, 1, 0, "target", "t"), (0, 1, 1, "action", "delete"),
+        (0, 1, 1, "when", "matched and s . del = 1"), (0, 1, 2, "action", "insert ( id ) values ( s . id )"), (0, 1, 2, "when", "not matched")]),
+    "window_specs": ("select row_number() over (partition by y order by z desc) rn, sum(v) over w from t window w as (partition by g)", [
+        (0, 1, 1, "row_number", "", "y", "z desc", ""), (0, 1, 2, "sum", "w", "", "", ""), (0, 1, 3, "", "w", "g", "", "")]),
+    "lateral_views": ("select id, tag from t lateral view outer explode(tags) g as tag", [(0, 1, 1, 1, "explode", "tags", "g", "tag")]),
+    "subquery_depth": ("select a from (select b from (select c from t) x) y where a in (select 1)", [(0, 1, 4, 2)]),
+    "function_calls": ("select upper(a), my_f(b), upper(c) from t", [(0, "my_f", 1, False), (0, "upper", 2, True)]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(STRUCTURE))
+def test_structure_of_one_script(spark, name):
+    script, want = STRUCTURE[name]
+    assert sorted((tuple(r) for r in getattr(structure, name)(corpus(spark, [script])).collect()), key=str) == sorted(want, key=str)
