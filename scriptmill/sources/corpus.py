@@ -59,7 +59,7 @@ SHAPES: list[str] = [
     "delete from old_{k} where dt < '{d}';\nupdate cust set v = 1 where id = {k};",
     "select f.a, (select max(v) from u where u.k = f.k) m from f left outer join g as h on f.k = h.k and f.flag = '{s}' "
     "and h.v > 0 where f.k in (select k from v1 where k not in (select k from v2)) and trim(both ' ' from f.s) = 'x';",
-    "select " + ", ".join(f"sum(case when m = {i} then v end) m{i}" for i in range(60)) + " from wide where k = {k};",
+    "select " + ", ".join(f"sum(case when m = {i} then v end) m{i}" for i in range(6)) + " from wide where k = {k};",
 ]
 
 PLACEHOLDERS = ("{k}", "{d}", "{ymd}", "{s}")
