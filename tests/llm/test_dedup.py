@@ -215,3 +215,27 @@ def test_passages_are_found_wherever_they_lie(spark):
     clean = passages.cleaned(spark, table(spark, [r for r in rows if r[0] is not None]), spark.createDataFrame(got))
     left = {r.doc_id: r.text for r in clean.collect()}
     assert sum(shared in (t or "") for t in left.values()) == 1 and left[300] is None and left[302] == "few words"
+
+
+def one_pair(x, y):
+    import pyarrow as pa
+
+    units = []
+    for side in (x, y):
+        raw, offsets = textkit.buffers(pa.array([" ".join(side)]))
+        units.append(textkit.words(raw, offsets)[2])
+    return passages.common_passages(*units, *(passages.paragraphs(u) for u in units))
+
+
+def test_every_place_in_the_kept_text_and_gaps_of_any_length():
+    rng = random.Random(3)
+    text = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    for _ in range(30):
+        shared = text(55)  # the first place holds 40 words of it only, the second all
+        assert one_pair(text(20) + shared + text(20), text(9) + shared[8:48] + text(30) + shared + text(5)) == [(20, 75, 79, 134)]
+    hits = 0
+    for _ in range(30):
+        long = text(300)  # six words are replaced by others, and two edits are seven words apart
+        edited = long[:50] + text(6) + long[56:90] + text(1) + long[91:98] + text(1) + long[99:]
+        hits += one_pair(text(10) + edited + text(10), text(30) + long + text(3)) == [(10, 310, 30, 330)]
+    assert hits == 30
