@@ -217,6 +217,31 @@ def test_passages_are_found_wherever_they_lie(spark):
     assert sum(shared in (t or "") for t in left.values()) == 1 and left[300] is None and left[302] == "few words"
 
 
+def test_passages_that_the_smallest_ids_hold_only_in_part(spark):
+    """Extracts and edited copies with smaller ids own the paragraphs, too short to be passages; no 50 words may be left
+    in two documents, and one keeps each run."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    rows, at = [], 0
+    for n in (55, 60, 90):
+        shared = text(n)
+        for _ in range(20):
+            cut = rng.randrange(n - 40)
+            part = shared[cut : cut + rng.randrange(30, 45)]
+            rows.append((at := at + 1, " ".join(text(20) + part + text(20))))
+        for _ in range(4):
+            rows.append((at := at + 1, " ".join(text(15) + shared + text(25))))
+    got = passages.repeated_passages(spark, table(spark, rows))
+    left = [(r.doc_id, r.text.split()) for r in passages.cleaned(spark, table(spark, rows), got).collect()]
+    runs: dict = {}
+    for d, w in left:
+        for i in range(len(w) - 49):
+            runs.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    assert all(len(v) == 1 for v in runs.values())
+    assert {r.doc_id for r in got.filter("removed").collect()} >= {22, 23, 24, 46, 47, 48, 70, 71, 72}
+
+
 def one_pair(x, y):
     import pyarrow as pa
 
