@@ -17,32 +17,41 @@ def same_text(text: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.trim(F.lower(text)), r"\s++", " "))
 
 
-def _bits(codes: np.ndarray) -> np.ndarray:
-    """One bit per value, 64 bits: values are numbered by frequency and share bits beyond 64, which can only forbid more.
-    Code -1 and values that occur once need no bit."""
-    values, place, count = np.unique(codes, return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(values))
-    bits = np.uint64(1) << (rank % 64).astype(np.uint64)
-    bits[(count < 2) | (values < 0)] = 0
-    return bits[place]
+class Holders:
+    """For every source or cluster the numbers of the bins that hold it. Code -1 and values that occur once are left out."""
+
+    def __init__(self, codes: np.ndarray):
+        values, self.place, count = np.unique(codes, return_inverse=True, return_counts=True)
+        self.first, self.n = np.cumsum(count) - count, np.zeros(len(values), np.int64)
+        self.asked = (count > 1) & (values >= 0)
+        self.bins = np.zeros(len(codes), np.int64)
+
+    def of(self, piece: int) -> np.ndarray:
+        v = self.place[piece]
+        return self.bins[self.first[v] : self.first[v] + self.n[v]]
+
+    def add(self, piece: int, number: int) -> None:
+        v = self.place[piece]
+        if self.asked[v]:
+            self.bins[self.first[v] + self.n[v]] = number
+            self.n[v] += 1
 
 
 class Bins:
-    """Open bins in the order of their residual capacity, with bitmaps of the sources and clusters inside."""
+    """Open bins in the order of their residual capacity."""
 
     def __init__(self, most: int):
         self.n = 0
         self.residual, self.number = np.zeros(most, np.int64), np.zeros(most, np.int64)
-        self.sources, self.clusters = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
-        self.columns = (self.residual, self.number, self.sources, self.clusters)
+        self.columns = (self.residual, self.number)
 
-    def find(self, size: int, source: np.uint64, cluster: np.uint64) -> int:
-        """The tightest bin that has room and no conflict: the first one that fits, then its successors; -1 if none."""
+    def find(self, size: int, closed: np.ndarray, mark: int) -> int:
+        """The tightest bin that has room and no conflict (its number is not marked in ``closed``): the first one that fits,
+        then its successors; -1 if none."""
         at, step = int(np.searchsorted(self.residual[: self.n], size)), 32
         while at < self.n:
             to = min(self.n, at + step)
-            free = ((self.sources[at:to] & source) | (self.clusters[at:to] & cluster)) == 0
+            free = closed[self.number[at:to]] != mark
             first = int(free.argmax())
             if free[first]:
                 return at + first
@@ -56,30 +65,34 @@ class Bins:
             column[new + 1 : old + 1] = column[new:old]
             column[new] = value
 
-    def put(self, at: int, size: int, source: np.uint64, cluster: np.uint64) -> int:
+    def put(self, at: int, size: int) -> int:
         number = int(self.number[at])
-        self._move(at, (self.residual[at] - size, number, self.sources[at] | source, self.clusters[at] | cluster))
+        self._move(at, (self.residual[at] - size, number))
         return number
 
-    def open(self, number: int, residual: int, source: np.uint64, cluster: np.uint64) -> None:
+    def open(self, number: int, residual: int) -> None:
         self.n += 1
-        self._move(self.n - 1, (residual, number, source, cluster))
+        self._move(self.n - 1, (residual, number))
 
 
 def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> np.ndarray:
     """Bin number of every piece; pieces are placed by falling size, ties in their given order."""
-    source_bits, cluster_bits = _bits(sources), _bits(clusters)
-    out = np.zeros(len(sizes), np.int64)
+    held = (Holders(sources), Holders(clusters))
+    out, closed = np.zeros(len(sizes), np.int64), np.full(len(sizes), -1, np.int64)
     bins, opened = Bins(len(sizes)), 0
     for i in np.argsort(-sizes, kind="stable").tolist():
-        size, s, c = int(sizes[i]), source_bits[i], cluster_bits[i]
-        at = bins.find(size, s, c)
+        size = int(sizes[i])
+        for h in held:
+            closed[h.of(i)] = i
+        at = bins.find(size, closed, i)
         if at >= 0:
-            out[i] = bins.put(at, size, s, c)
+            out[i] = bins.put(at, size)
         else:
-            bins.open(opened, capacity - size, s, c)
+            bins.open(opened, capacity - size)
             out[i] = opened
             opened += 1
+        for h in held:
+            h.add(i, int(out[i]))
     return out
 
 

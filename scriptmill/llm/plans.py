@@ -96,7 +96,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    near = minhash.near_duplicates(spark, docs).filter("n_shingles > 0 and doc_id is not null").groupBy(
+        F.col("doc_id").alias("d")).agg(F.min("component_id").alias("component"))
+    rows = docs.join(near, F.col("doc_id") == F.col("d"), "left")
+    own = packing.same_text(F.coalesce("text", F.lit("")))
+    return packing.pack(spark, rows.withColumn("cluster", F.coalesce("component", own)), cluster="cluster")
 
 
 @query("op10_passages")

@@ -270,6 +270,26 @@ def test_best_fit_takes_the_tightest_compatible_bin():
         assert len(set(s.tolist())) == len(s) and len(set(clusters[inside].tolist())) == len(inside)
 
 
+@pytest.mark.parametrize("kinds", [12, 65, 500])
+def test_best_fit_is_exact_with_any_number_of_sources(kinds):
+    rng = np.random.default_rng(kinds)
+    n = 1500
+    sizes, sources, clusters = rng.integers(1, 12, n), rng.integers(-1, kinds, n), rng.integers(0, 400, n)
+    got = packing.best_fit(sizes, sources, clusters, 900)
+    bins = []
+    for i in sorted(range(n), key=lambda i: (-sizes[i], i)):
+        fits = [b for b in bins if b[0] >= sizes[i] and (sources[i] < 0 or sources[i] not in b[1]) and clusters[i] not in b[2]]
+        if not fits:
+            fits = [[900, set(), set(), len(bins)]]
+            bins.append(fits[0])
+        tight = min(b[0] for b in fits)
+        assert got[i] < len(bins) and bins[got[i]][0] == tight and any(b[3] == got[i] for b in fits)
+        b = bins[got[i]]
+        b[0] -= sizes[i]
+        b[1].add(sources[i])
+        b[2].add(clusters[i])
+
+
 def test_packing(spark):
     rows = [(d, t, f"s{i % 4}" if i % 5 else None) for i, (d, t) in enumerate(DOCS)]
     df = table(spark, rows, "doc_id long, text string, source string")
