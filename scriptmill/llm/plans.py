@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decontam, embeddings, linededup, minhash, packing, passages, quality, sharding, tokenfiles, warc
+from scriptmill.llm import (
+    decontam,
+    embeddings,
+    linededup,
+    linerules,
+    minhash,
+    packing,
+    passages,
+    quality,
+    sharding,
+    tokenfiles,
+    warc,
+)
 from scriptmill.llm.common import table
 from scriptmill.plans.registry import query
 
@@ -76,6 +87,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_token_files")
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents")
     return tokenfiles.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID).select(
         "doc_id", "start", "n_tokens", "ids_crc32")
@@ -107,3 +120,40 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_passages")
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
+WORDS = "[^\\x20\\x09-\\x0D]+"
+ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op13_line_rules", f"""
+WITH d AS (SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+base AS (
+  SELECT doc_id, source, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
+worded AS (
+  SELECT doc_id, source, text, line, regexp_extract_all(translate(translate(line, {ABC}), '123456789', '000000000'), '{WORDS}') AS w
+  FROM lines WHERE regexp_matches(line, '{WORDS}')),
+repeats AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM worded GROUP BY doc_id),
+windows AS (SELECT doc_id, i, w[i:i + 4] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(5)) AS r(k) GROUP BY doc_id),
+normal AS (
+  SELECT source, text, array_to_string(w, ' ') AS norm, sum(len(w)) // count(DISTINCT doc_id) AS n FROM worded GROUP BY ALL),
+hosts AS (SELECT source, count(DISTINCT text) AS total FROM normal GROUP BY source),
+common AS (
+  SELECT source, norm FROM (SELECT source, norm, count(*) AS n FROM normal GROUP BY ALL) AS c JOIN hosts USING (source)
+  WHERE c.n > {linerules.COMMON_DOCS} AND c.n * 100 > total * {linerules.COMMON_SHARE}),
+lost AS (SELECT source, text, sum(n)::BIGINT AS lost FROM normal JOIN common USING (source, norm) GROUP BY ALL),
+counted AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, coalesce(repeats.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    n_words - coalesce(lost, 0) AS words_left
+  FROM base LEFT JOIN repeats USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (source, text))
+SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
+  NOT (n_words < 10 OR n_repeat_words * 100 > n_words * 20)
+    AND words_left >= 10 AND words_left * 100 >= n_words * {linerules.LEFT_SHARE} AS kept
+FROM counted
+""")
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.line_rules(spark, table(spark, sf_dir, "documents"))
