@@ -13,6 +13,7 @@ from scriptmill.llm import (
     minhash,
     packing,
     passages,
+    periodic,
     quality,
     sharding,
     tokenfiles,
@@ -157,3 +158,9 @@ FROM counted
 """)
 def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.line_rules(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_periods(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(spark, docs))
