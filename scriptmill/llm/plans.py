@@ -16,6 +16,7 @@ from scriptmill.llm import (
     periodic,
     quality,
     sharding,
+    spelling,
     tokenfiles,
     warc,
 )
@@ -164,3 +165,45 @@ def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_planted_periods(table(spark, sf_dir, "documents"))
     return periodic.digests(periodic.periodic_runs(spark, docs))
+
+
+LETTERS = "a-zÀ-ÿ"
+
+
+@query("op11_spelling_variants", f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {ABC}), '[{LETTERS}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS m FROM found WHERE length(run) >= 6 GROUP BY ALL),
+keyed AS (
+  SELECT run, m, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255)::INT + 1])), 4294967295::BIGINT) AS h
+  FROM counted, crc_table),
+planted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, m
+  FROM keyed),
+vocabulary AS (SELECT word, sum(m)::BIGINT AS n FROM planted WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM vocabulary, unnest(range(1, length(word) + 1)) AS r(i)),
+links AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut AS a JOIN cut AS b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail
+  WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM cut AS a JOIN vocabulary AS b ON a.head || a.tail = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut AS a JOIN vocabulary AS b ON a.head || a.tail = b.word),
+ranked AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, near_n FROM links
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+formed AS (
+  SELECT word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM vocabulary LEFT JOIN ranked USING (word)),
+chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON formed.word = chain.next)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark, table(spark, sf_dir, "documents"), drop_one_in=199)
