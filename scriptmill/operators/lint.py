@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from scriptmill.functions.rules import JAVA_FLAGS, RULES, STRICT_ID_NUMBER
 from scriptmill.functions.sqltext import STRING_BODY, STRING_OR_COMMENT, TYPE_NAMES
-from scriptmill.operators.structure import STMT, builtin_functions, refs_of_tokens, with_query_parts
+from scriptmill.operators.scopes import table_refs
+from scriptmill.operators.structure import STMT, builtin_functions, with_query_parts
 from scriptmill.operators.tokens import by_statement, code_tokens
 from scriptmill.session import store
 from scriptmill.sources.tables import code_table
@@ -262,7 +263,7 @@ def advice_rows(scripts: DataFrame) -> DataFrame:
         F.lit("join a table of the "), (F.col("commas") + 1).cast("string"), F.lit(" values")).alias("advice"))
 
     base = F.regexp_extract("table_name", r"^(.*?)_?[12][0-9]{7}$", 1)
-    dated = refs_of_tokens(t).select("script_id", F.lit("TABLE_NAME_WITH_DATE").alias("rule"), F.when(
+    dated = table_refs(scripts).select("script_id", F.lit("TABLE_NAME_WITH_DATE").alias("rule"), F.when(
         base != "", F.concat(F.lit("partition "), base, F.lit(" by dt"))).alias("advice")).where("advice IS NOT NULL")
 
     out = by_token

@@ -153,12 +153,15 @@ def select_fields(scripts: DataFrame) -> DataFrame:
 
 
 def joins(scripts: DataFrame) -> DataFrame:
-    """(script_id, stmt_no, level, join_no, join_type, table_name, alias, has_condition), at every level."""
+    """(script_id, stmt_no, level, join_no, join_type, table_name, alias, has_condition), at every level. Names stand
+    without quotes; of JOIN LATERAL it is the subquery or the function that is joined, without alias."""
     code = code_tokens(mentioning(scripts, "JOIN")).withColumn("next4", F.lead("u", 4).over(by_statement())).withColumn(
         "next5", F.lead("u", 5).over(by_statement())
     )
-    for n in (1, 3):
+    for n in (1, 2, 3):
         code = code.withColumn(f"tok{n}", F.lead("tok", n).over(by_statement()))
+    lateral = F.coalesce(F.col("next1") == "LATERAL", F.lit(False))
+    subquery = (F.col("next1") == "(") | (lateral & (F.col("next2") == "("))
     prv, prv2 = F.coalesce("prev1", F.lit("")), F.coalesce("prev2", F.lit(""))
     join_type = (
         F.when(prv.isin("OUTER", "SEMI", "ANTI") & prv2.isin(JOIN_WORDS), F.concat_ws(" ", prv2, prv))
@@ -176,9 +179,10 @@ def joins(scripts: DataFrame) -> DataFrame:
         seg.groupBy(*STMT, "level", "seg_no")
         .agg(
             F.max(F.when(first, join_type)).alias("join_type"),
-            F.max(F.when(first, F.when(F.col("next1") == "(", F.lit("(subquery)"))
-                         .when(dotted, F.concat_ws(".", "tok1", "tok3")).otherwise(F.col("tok1")))).alias("table_name"),
-            F.max(F.when(first & (F.col("next1") != "(") & is_name, F.lower(alias))).alias("alias"),
+            F.max(F.when(first, F.when(subquery, F.lit("(subquery)")).otherwise(F.replace(
+                F.when(lateral, F.col("tok2")).when(dotted, F.concat_ws(".", "tok1", "tok3")).otherwise(F.col("tok1")),
+                F.lit("`"), F.lit(""))))).alias("table_name"),
+            F.max(F.when(first & (F.col("next1") != "(") & ~lateral & is_name, F.lower(alias))).alias("alias"),
             F.max(_flag(F.col("u").isin("ON", "USING"))).alias("has_condition"),
         )
         .select(*STMT, "level", F.col("seg_no").alias("join_no"), "join_type", "table_name",
@@ -466,48 +470,3 @@ def with_query_parts(code: DataFrame) -> DataFrame:
         .withColumn("gnext2", F.coalesce(F.lead("u", 2).over(inside), F.lit("")))
         .drop("__part")
     )
-
-
-def _full_name(code: DataFrame) -> DataFrame:
-    """Adds full_name: the name that begins at a token, with what points join to it, in lower case."""
-    if "next4" not in code.columns:
-        code = code.withColumn("next4", F.lead("u", 4).over(by_statement()))
-    two = (F.col("next1") == ".") & F.col("next2").isNotNull()
-    three = two & (F.col("next3") == ".") & F.col("next4").isNotNull()
-    return code.withColumn("full_name", F.lower(
-        F.when(three, F.concat_ws(".", "u", "next2", "next4")).when(two, F.concat_ws(".", "u", "next2")).otherwise(F.col("u"))))
-
-
-def table_refs(scripts: DataFrame) -> DataFrame:
-    """(script_id, stmt_no, table_name, access), access read or write, each once per statement. Names that a WITH clause of
-    the statement defines are no tables, nor is what stands behind FROM in a function call."""
-    return refs_of_tokens(with_query_parts(code_tokens(scripts)))
-
-
-def refs_of_tokens(code: DataFrame) -> DataFrame:
-    """``table_refs`` of code tokens that know their part of the query."""
-    prv, u1 = F.coalesce("prev1", F.lit("")), F.col("u1")
-    code = _first_word(_full_name(code))
-    is_name = (F.col("kind") == "ident") & ~F.col("u").isin("SELECT", "IF", "TABLE", "LATERAL", "VALUES", "ONLY")
-    top = F.col("level") == 0
-    writes = (
-        (prv.isin("INTO", "OVERWRITE", "TABLE") & top)
-        | ((prv == "EXISTS") & u1.isin("CREATE", "DROP") & top)
-        | ((prv == "UPDATE") & (u1 == "UPDATE"))
-        | ((prv == "FROM") & (u1 == "DELETE") & top)
-    )
-    listed = (F.col("gprev") == ",") & F.col("part").isin("FROM", "JOIN", "ON")
-    reads = (prv.isin("FROM", "JOIN") & (F.col("gprev_from") | (prv == "JOIN"))) | listed | (
-        (prv == "USING") & (u1 == "MERGE") & top)
-    access = F.when(is_name & writes, "write").when(is_name & reads & (F.coalesce("next1", F.lit("")) != "("), "read")
-    defined = (F.col("next1") == "AS") & (F.col("next2") == "(") & prv.isin("WITH", "RECURSIVE", ",") & u1.isin(
-        "WITH", "INSERT", "CREATE")
-    # the few tokens that are a table or the name of a WITH query
-    found = code.select(*STMT, "full_name", access.alias("access"), F.coalesce(defined, F.lit(False)).alias("defined")).where(
-        "access IS NOT NULL OR defined").distinct()
-    by_name = Window.partitionBy(*STMT, "full_name")
-    return (
-        found.withColumn("is_with", F.max("defined").over(by_name))
-        .where("access = 'write' OR (access = 'read' AND NOT is_with)")
-        .select(*STMT, F.col("full_name").alias("table_name"), "access").distinct()
-    )

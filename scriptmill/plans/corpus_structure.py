@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from scriptmill.functions.sqltext import NOT_FUNCTIONS, TOKEN, TYPE_NAMES, re2
-from scriptmill.operators import lint, structure, tokens
+from scriptmill.operators import lint, scopes, structure, tokens
 from scriptmill.operators.structure import BY_WORDS, CLAUSE_WORDS, JOIN_WORDS, NAME_STOPS, QUERY_WORDS, SET_WORDS
 from scriptmill.plans.corpus_lint import CORPUS
 from scriptmill.plans.registry import TWINS, query, sql_text
-from scriptmill.sources.corpus import scripts_from_orders
+from scriptmill.sources.corpus import SCOPE_SHAPES, SCRIPTS_SQL, scripts_from_orders, scripts_sql
 from scriptmill.sources.sinks import work_database
 
 
@@ -34,7 +34,7 @@ tokens AS (SELECT script_id, pos, tok, kind, CASE WHEN kind = 'ident' THEN upper
     ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS stmt_no FROM lev2),
 code AS (SELECT *, lag(u, 1) OVER s AS prev1, lag(u, 2) OVER s AS prev2, lead(u, 1) OVER s AS next1,
   lead(u, 2) OVER s AS next2, lead(u, 3) OVER s AS next3, lead(u, 4) OVER s AS next4, lead(u, 5) OVER s AS next5,
-  lag(tok, 1) OVER s AS ptok, lead(tok, 1) OVER s AS tok1, lead(tok, 3) OVER s AS tok3,
+  lag(tok, 1) OVER s AS ptok, lead(tok, 1) OVER s AS tok1, lead(tok, 2) OVER s AS tok2, lead(tok, 3) OVER s AS tok3,
   first_value(u) OVER s AS u1
   FROM tokens WHERE kind NOT IN ('newline', 'line_comment', 'block_comment') AND NOT (tok = ';' AND level = 0)
   WINDOW s AS (PARTITION BY script_id, stmt_no ORDER BY pos))"""
@@ -185,9 +185,9 @@ aliased AS (SELECT *, CASE WHEN aft = 'AS' THEN aft2 ELSE aft END AS al FROM nam
 SELECT script_id, stmt_no, level, CAST(seg_no AS BIGINT) AS join_no,
   max(CASE WHEN prev1 IN ('OUTER', 'SEMI', 'ANTI') AND prev2 IN {names(JOIN_WORDS)} THEN prev2 || ' ' || prev1
     WHEN prev1 IN {names(JOIN_WORDS)} THEN prev1 ELSE 'INNER' END) FILTER (WHERE is_start = 1) AS join_type,
-  max(CASE WHEN next1 = '(' THEN '(subquery)' WHEN next2 = '.' THEN tok1 || '.' || tok3 ELSE tok1 END)
-    FILTER (WHERE is_start = 1) AS table_name,
-  coalesce(max(CASE WHEN next1 <> '(' AND regexp_matches(al, '^[A-Z_]') AND al NOT IN {names(NAME_STOPS)}
+  max(CASE WHEN next1 = '(' OR (next1 = 'LATERAL' AND next2 = '(') THEN '(subquery)' WHEN next1 = 'LATERAL' THEN replace(tok2, '`', '')
+    WHEN next2 = '.' THEN replace(tok1 || '.' || tok3, '`', '') ELSE replace(tok1, '`', '') END) FILTER (WHERE is_start = 1) AS table_name,
+  coalesce(max(CASE WHEN next1 NOT IN ('(', 'LATERAL') AND regexp_matches(al, '^[A-Z_]') AND al NOT IN {names(NAME_STOPS)}
     THEN lower(al) END) FILTER (WHERE is_start = 1), '') AS alias,
   max(CASE WHEN u IN ('ON', 'USING') THEN 1 ELSE 0 END) AS has_condition
 FROM seg GROUP BY script_id, stmt_no, level, seg_no""",
@@ -398,7 +398,7 @@ def a32(spark, d):
 
 # Each token with the query it stands in: its parentheses (lv, grp) and the last clause word inside them.
 PARTS = f"""{TOKENS},
-p0 AS (SELECT *, level + CASE WHEN tok = '(' THEN 1 ELSE 0 END AS lv, lead(tok, 2) OVER s AS tok2, lead(tok, 6) OVER s AS tok6,
+p0 AS (SELECT *, level + CASE WHEN tok = '(' THEN 1 ELSE 0 END AS lv, lead(tok, 6) OVER s AS tok6,
   lag(u, 3) OVER s AS prev3, lag(u, 4) OVER s AS prev4, kind = 'ident' AND coalesce(prev1, '') <> '.' AS plain
   FROM code WINDOW s AS ({STMT} ORDER BY pos)),
 p1 AS (SELECT *, sum(CASE WHEN tok = '(' THEN 1 ELSE 0 END) OVER ({STMT}, lv ORDER BY pos {RUN}) AS grp FROM p0),
@@ -413,24 +413,43 @@ parts AS (SELECT *, coalesce(last_value(clause_word IGNORE NULLS) OVER (g {RUN})
   last_value(CASE WHEN kind = 'ident' AND u IN ('SELECT', 'FROM', 'WHERE', 'ON', 'HAVING', 'GROUP', 'ORDER') THEN u END IGNORE NULLS)
     OVER ({STMT}, level ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS outer_part
   FROM p4 WINDOW g AS ({STMT}, lv, grp ORDER BY pos)),
-named AS (SELECT *, lower(CASE WHEN next1 = '.' AND next3 = '.' THEN u || '.' || next2 || '.' || next4
-  WHEN next1 = '.' THEN u || '.' || next2 ELSE u END) AS full_name FROM parts),
-ctes AS (SELECT DISTINCT script_id, stmt_no, lower(u) AS name FROM parts WHERE next1 = 'AS' AND next2 = '('
-  AND prev1 IN ('WITH', 'RECURSIVE', ',') AND u1 IN ('WITH', 'INSERT', 'CREATE')),
-refs AS (SELECT script_id, stmt_no, full_name AS table_name,
+named AS (SELECT *, replace(lower(CASE WHEN next1 = '.' AND next3 = '.' THEN u || '.' || next2 || '.' || next4
+  WHEN next1 = '.' THEN u || '.' || next2 ELSE u END), '`', '') AS full_name,
+  last_value(CASE WHEN u IN ('WITH', 'RECURSIVE', 'SELECT', 'FROM', 'INSERT', 'WINDOW') THEN u END IGNORE NULLS)
+    OVER ({STMT}, lv, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_word FROM parts),
+heads AS (SELECT script_id, stmt_no, pos, level, full_name AS name, last_word = 'RECURSIVE' AS rec, next1 = '(' AS has_columns FROM named
+  WHERE kind = 'ident' AND last_word IN ('WITH', 'RECURSIVE') AND prev1 IN ('WITH', 'RECURSIVE', ',') AND next1 IN ('AS', '(')),
+ctes AS (SELECT h.script_id, h.stmt_no, h.name, CASE WHEN rec THEN h.pos
+    ELSE list_sort(list(c.pos) FILTER (WHERE c.level = h.level))[CASE WHEN has_columns THEN 2 ELSE 1 END] END AS seen_from,
+  coalesce(min(c.pos) FILTER (WHERE c.level = h.level - 1), 2147483647) AS seen_to
+  FROM heads h JOIN parts c ON c.script_id = h.script_id AND c.stmt_no = h.stmt_no AND c.tok = ')' AND c.pos > h.pos
+  GROUP BY h.script_id, h.stmt_no, h.name, h.pos, rec, has_columns),
+refs AS (SELECT script_id, stmt_no, pos, full_name AS table_name,
   CASE WHEN kind <> 'ident' OR u IN ('SELECT', 'IF', 'TABLE', 'LATERAL', 'VALUES', 'ONLY') THEN NULL
     WHEN (prev1 IN ('INTO', 'OVERWRITE', 'TABLE') AND level = 0)
       OR (prev1 = 'EXISTS' AND u1 IN ('CREATE', 'DROP') AND level = 0) OR (prev1 = 'UPDATE' AND u1 = 'UPDATE')
       OR (prev1 = 'FROM' AND u1 = 'DELETE' AND level = 0) THEN 'write'
     WHEN ((prev1 = 'FROM' AND after_from) OR prev1 = 'JOIN' OR (gprev = ',' AND part IN ('FROM', 'JOIN', 'ON'))
       OR (prev1 = 'USING' AND u1 = 'MERGE' AND level = 0)) AND coalesce(next1, '') <> '(' THEN 'read' END AS access FROM named),
-table_names AS (SELECT DISTINCT r.* FROM refs r LEFT JOIN ctes c ON r.script_id = c.script_id AND r.stmt_no = c.stmt_no
-  AND r.table_name = c.name WHERE access IS NOT NULL AND (access = 'write' OR c.name IS NULL))"""
+places AS (SELECT r.*, EXISTS (SELECT 1 FROM ctes c WHERE c.script_id = r.script_id AND c.stmt_no = r.stmt_no AND c.name = r.table_name
+    AND r.pos BETWEEN c.seen_from AND c.seen_to) AS is_with FROM refs r WHERE access IS NOT NULL),
+table_names AS (SELECT DISTINCT script_id, stmt_no, table_name, access FROM places WHERE access = 'write' OR NOT is_with)"""
 
 
 @query("a33_table_refs", f"{PARTS} SELECT * FROM table_names")
 def a33(spark, d):
-    return structure.table_refs(scripts_from_orders(spark, d))
+    return scopes.table_refs(scripts_from_orders(spark, d))
+
+
+@query("a33_scoped_names", f"""{PARTS.replace(SCRIPTS_SQL, scripts_sql(SCOPE_SHAPES))}
+SELECT script_id, stmt_no, table_name, access, count(*) AS n_places, count(*) FILTER (WHERE is_with) AS n_with FROM places GROUP BY ALL""")
+def a33_scoped(spark, d):
+    return scopes.name_places(scripts_from_orders(spark, d, SCOPE_SHAPES))
+
+
+@query("a22_lateral_joins", TWINS["a22_joins"].replace(SCRIPTS_SQL, scripts_sql(SCOPE_SHAPES)))
+def a22_lateral(spark, d):
+    return structure.joins(scripts_from_orders(spark, d, SCOPE_SHAPES))
 
 
 _CALL = f"""kind = 'ident' AND next1 = '(' AND part = 'WHERE' AND u NOT IN {names(TYPE_NAMES)} AND u NOT IN ('IN', 'AND', 'OR', 'NOT',

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptmill.functions.sqltext import ELEMENTS, TOKEN, re2
-from scriptmill.operators import integrity, structure
+from scriptmill.operators import integrity, scopes
 from scriptmill.plans.corpus_lint import KEYWORD_RX, rx
 from scriptmill.plans.corpus_structure import PARTS, TOKENS
 from scriptmill.plans.registry import query, sql_text
@@ -138,4 +138,4 @@ sets AS (SELECT script_id, string_agg(table_name, ',' ORDER BY table_name) AS ta
 SELECT script_id, tables, count(*) OVER (PARTITION BY tables) AS n_scripts FROM sets""",
 )
 def a37_tables(spark, d):
-    return integrity.same_tables(structure.table_refs(scripts_from_orders(spark, d)))
+    return integrity.same_tables(scopes.table_refs(scripts_from_orders(spark, d)))

@@ -62,6 +62,20 @@ SHAPES: list[str] = [
     "select " + ", ".join(f"sum(case when m = {i} then v end) m{i}" for i in range(6)) + " from wide where k = {k};",
 ]
 
+# Scripts whose names mean different tables in different places.
+SCOPE_SHAPES: list[str] = [
+    "with c(n) as (select k from base_{s}) select n from c where n > {k}",
+    "with c as (select k from c) select * from c join d_{ymd} d on c.k = d.k",
+    "with recursive c as (select 1 k from seed union all select k + 1 from c where k < {k}) select * from c",
+    "select * from (with c as (select 1 from x) select * from c) z, c where z.k = {k}",
+    "with a as (with b as (select 1 from t) select * from b), b as (select * from a join b on a.k = b.k) select * from a, b;\n"
+    "select * from a where dt = '{d}'",
+    "insert into `my db`.`out {s}` with q (a, b) as (select 1, 2 from y) select a from `db`.tab, cat.db.f x, q where x.k = {k}",
+    "select * from t join lateral (select v from u where u.k = t.k) z on true\nwhere t.k in (with t as (select 1 from w) select * from t)",
+    "create table w_{k} as with r as (select k from base), s as (select * from r, (select * from r) r2) select * from s, r;\n"
+    "drop table if exists w_{k};",
+]
+
 PLACEHOLDERS = ("{k}", "{d}", "{ymd}", "{s}")
 
 
@@ -85,7 +99,8 @@ def _sql_literal(text: str) -> str:
     return f"'{quoted}'"
 
 
-def _scripts_sql() -> str:
+def scripts_sql(shapes: list[str]) -> str:
+    """The corpus of these shapes as SQL over orders."""
     fills = {
         "{k}": "CAST(o_orderkey AS VARCHAR)",
         "{d}": "strftime(o_orderdate, '%Y-%m-%d')",
@@ -94,20 +109,20 @@ def _scripts_sql() -> str:
     }
     arms = "\n".join(
         f"WHEN {i} THEN " + " || ".join(fills.get(p) or _sql_literal(p) for p in _pieces(s))
-        for i, s in enumerate(SHAPES)
+        for i, s in enumerate(shapes)
     )
     return (
         "SELECT o_orderkey AS script_id, "
         "'dir' || CAST(o_orderkey % 7 AS VARCHAR) || '/s' || CAST(o_orderkey AS VARCHAR) || '.sql' AS path,\n"
-        f"CASE o_orderkey % {len(SHAPES)}\n{arms}\nEND AS sql\nFROM orders"
+        f"CASE o_orderkey % {len(shapes)}\n{arms}\nEND AS sql\nFROM orders"
     )
 
 
 # The same corpus in SQL.
-SCRIPTS_SQL = _scripts_sql()
+SCRIPTS_SQL = scripts_sql(SHAPES)
 
 
-def scripts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scripts_from_orders(spark: SparkSession, sf_dir: str, shapes: list[str] = SHAPES) -> DataFrame:
     """scripts(script_id, path, sql), one per order."""
     # Narrow rows become whole texts here, and texts many tokens. They are dealt out first, over a given number of partitions,
     # since AQE would merge them by the bytes they have now.
@@ -119,9 +134,9 @@ def scripts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "{ymd}": F.date_format("o_orderdate", "yyyyMMdd"),
         "{s}": F.col("o_orderstatus"),
     }
-    shape = F.col("o_orderkey") % len(SHAPES)
+    shape = F.col("o_orderkey") % len(shapes)
     sql: Column | None = None
-    for i, text in enumerate(SHAPES):
+    for i, text in enumerate(shapes):
         value = F.concat(*[fills[p] if p in fills else F.lit(p) for p in _pieces(text)])
         sql = F.when(shape == i, value) if sql is None else sql.when(shape == i, value)
     key = F.col("o_orderkey")

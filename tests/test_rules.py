@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptmill.functions.rules import RULES, STRICT_ID_NUMBER
-from scriptmill.operators import lint, structure, textual, tokens
+from scriptmill.operators import lint, scopes, structure, textual, tokens
 
 SAMPLES = [
     "", "   \n\t ", "-- only a comment", "select 'unclosed", "select (a", "select 'it''s'; select 2",
@@ -196,11 +196,55 @@ def test_table_refs(spark):
         "select a, b from (select c, d from t) s, u": "r:t r:u",
     }
     got = {}
-    for r in structure.table_refs(corpus(spark, cases)).collect():
+    for r in scopes.table_refs(corpus(spark, cases)).collect():
         got.setdefault(r.script_id, []).append(f"{r.access[0]}:{r.table_name}")
     assert [" ".join(sorted(got.get(i, []))) for i in range(len(cases))] == list(cases.values())
 
 
+def test_names_in_their_scope(spark):
+    cases = {
+        "with c(n) as (select 1 from base) select n from c": "r:base",
+        "with c as (select k from c) select * from c": "r:c",  # the body does not see its own name
+        "with recursive c as (select k from c) select * from c": "",
+        "select * from (with c as (select 1 from x) select * from c) z, c": "r:c r:x",  # the second c is outside
+        "with a as (with b as (select 1 from t) select * from b), b as (select * from a join b) select * from a, b; select * from a":
+            "r:a r:b r:t",
+        "with c as (select 1 from e) insert overwrite table c select * from c": "r:e w:c",
+        "select * from t join lateral (select 1 from u) z on true join lateral explode(l) y": "r:t r:u",
+        "with x (a, b) as (select 1, 2 from y), z as (select * from x, (select * from x) w) select * from z, x": "r:y",
+        "insert into `my db`.`odd.name` select a from `db` . tab, cat.db.f, with_x": "r:cat.db.f r:db.tab r:with_x w:my db.odd.name",
+        "select 1 from t window w as (partition by g), v as (order by h); select 1 from v": "r:t r:v",
+        "create table w as with `Odd` as (select 1 from base) select * from odd": "r:base w:w",
+        "with a as (select 1 from t where x in (with a as (select 1 from u) select * from a)) select * from a, ((a))": "r:t r:u",
+        "with a as (select (1) from t), /* b as ( */ b as (select ')' from a -- )\n) select * from b, c": "r:c r:t",
+        "select (((1 from t": "", "))) select 1 from t": "r:t", "": "",
+    }
+    df = corpus(spark, cases)
+    got, places = {}, {}
+    for r in scopes.table_refs(df).collect():
+        got.setdefault(r.script_id, set()).add(f"{r.access[0]}:{r.table_name}")
+    assert [" ".join(sorted(got.get(i, []))) for i in range(len(cases))] == list(cases.values())
+    for r in scopes.name_places(df).collect():
+        places[r.script_id, r.table_name, r.stmt_no] = (r.n_places, r.n_with)
+    assert places[1, "c", 1] == (2, 1) and places[2, "c", 1] == (2, 2) and places[4, "b", 1] == (3, 2) and places[4, "a", 2] == (1, 0)
+
+
+def test_scopes_of_stored_tokens_and_long_scripts(spark):
+    deep = "select * from " + "(select * from " * 60 + "t" + ") x" * 60
+    wide = "with " + ", ".join(f"c{i} as (select * from {'base' if i == 0 else f'c{i - 1}'})" for i in range(300)) + " select * from c299, c300"
+    df = corpus(spark, [deep, wide, "select a from x.y -- from z\n, `w`"])
+    want = {(0, "t"), (1, "base"), (1, "c300"), (2, "x.y"), (2, "w")}
+    assert {(r.script_id, r.table_name) for r in scopes.table_refs(df).collect()} == want
+    assert {(r.script_id, r.table_name) for r in scopes.table_refs(tokens.tokens(df)).collect()} == want
+    assert "Exchange" not in scopes.table_refs(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joined_laterals(spark):
+    df = corpus(spark, ["select 1 from t join lateral (select 1 from u) z on true left join lateral explode(l) y on 1 = 1 join `odd name` o on 1 = 1"])
+    assert [(r.join_type, r.table_name, r.alias) for r in structure.joins(df).where("level = 0").orderBy("join_no").collect()] == [
+        ("INNER", "(subquery)", ""), ("LEFT", "explode", ""), ("INNER", "odd name", "o")]
+
+
 def test_semi_and_anti_joins_start_clauses(spark):
     df = corpus(spark, ["select a from b semi join c on b.x = c.x left anti join d on 1 = 1 anti join e"])
     got = [(r.clause, r.text) for r in structure.clauses(df).orderBy("clause_no").collect()]
