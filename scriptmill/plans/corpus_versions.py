@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptmill.functions.sqltext import ELEMENTS, TOKEN, re2
-from scriptmill.operators import integrity, scopes
-from scriptmill.plans.corpus_lint import KEYWORD_RX, rx
-from scriptmill.plans.corpus_structure import PARTS, TOKENS
+from scriptmill.operators import integrity, scopes, similar
+from scriptmill.plans.corpus_lint import CORPUS, KEYWORD_RX, rx
+from scriptmill.plans.corpus_structure import PARTS
 from scriptmill.plans.registry import query, sql_text
 from scriptmill.sources.corpus import SCRIPTS_SQL, scripts_from_orders
+from scriptmill.sources.tables import table
 
 
 def second_version(scripts):
@@ -139,3 +140,58 @@ SELECT script_id, tables, count(*) OVER (PARTITION BY tables) AS n_scripts FROM
 )
 def a37_tables(spark, d):
     return integrity.same_tables(scopes.table_refs(scripts_from_orders(spark, d)))
+
+
+def bundles(spark, d):
+    """Two releases of the scripts of every customer, one file each. In the second one, the statements of every tenth order
+    have been rewritten; one statement is in all files."""
+    scripts = scripts_from_orders(spark, d)
+    owner = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    rows = scripts.join(owner, scripts["script_id"] == owner["o_orderkey"]).select("o_custkey", "script_id", "sql")
+    changed = F.when(F.col("script_id") % 10 == 0, F.concat(F.lit("select * from changed_"), F.col("script_id").cast("string"))).otherwise(F.col("sql"))
+
+    def release(name, text):
+        files = rows.select("o_custkey", F.struct("script_id", text.alias("sql")).alias("s")).groupBy("o_custkey").agg(
+            F.array_sort(F.collect_list("s")).alias("all"))
+        path = F.concat(F.lit(f"{name}/c"), F.col("o_custkey").cast("string"), F.lit(".sql"))
+        body = F.array_join(F.transform("all", lambda x: x["sql"]), ";\n")
+        return files.select(path.alias("script_id"), path.alias("path"), F.concat(body, F.lit(";\nselect 1 from common_log;")).alias("sql"))
+
+    return release("v1", F.col("sql")).unionByName(release("v2", changed))
+
+
+_BUNDLES = f"""WITH single AS ({SCRIPTS_SQL}),
+owned AS (SELECT o_custkey, script_id, sql, CASE WHEN script_id % 10 = 0 THEN 'select * from changed_' || script_id ELSE sql END AS changed
+  FROM single JOIN orders ON script_id = o_orderkey),
+scripts AS (
+  SELECT 'v1/c' || o_custkey || '.sql' AS script_id, 'v1/c' || o_custkey || '.sql' AS path,
+    string_agg(sql, ';' || chr(10) ORDER BY owned.script_id) || ';' || chr(10) || 'select 1 from common_log;' AS sql FROM owned GROUP BY o_custkey
+  UNION ALL SELECT 'v2/c' || o_custkey || '.sql', 'v2/c' || o_custkey || '.sql',
+    string_agg(changed, ';' || chr(10) ORDER BY owned.script_id) || ';' || chr(10) || 'select 1 from common_log;' FROM owned GROUP BY o_custkey)"""
+_PIECES = "[,;\n]"
+SIMILAR = f"""{PARTS.replace(CORPUS, _BUNDLES)},
+cut AS (SELECT script_id, replace(unnest(string_split_regex(regexp_replace(replace({NORMAL}, ' ', '  '),
+  '(^| )({"|".join(similar.CUTS).replace(" ", "  ")})( |$)', chr(10) || '\\2\\3', 'g'), '{_PIECES}')), '  ', ' ') AS part FROM scripts),
+features AS (
+  SELECT DISTINCT script_id AS path, 'p' || trim(part) AS f FROM cut WHERE trim(part) <> ''
+  UNION SELECT script_id, 't' || table_name FROM table_names),
+sets AS (SELECT path, list_sort(list(f)) AS fs, count(*) AS n FROM features GROUP BY path),
+members AS (SELECT path, n, min(path) OVER (PARTITION BY fs) AS class_path, count(*) OVER (PARTITION BY fs) AS n_scripts FROM sets),
+reps AS (SELECT path, n, n_scripts, f FROM members JOIN features USING (path) WHERE path = class_path),
+links AS (
+  SELECT a.path AS path_a, b.path AS path_b, a.n_scripts AS n_a, b.n_scripts AS n_b, count(*)::INT AS n_shared,
+    count(*) / (a.n + b.n - count(*)) AS similarity
+  FROM reps a JOIN reps b ON a.f = b.f AND a.path < b.path AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.path, b.path, a.n, b.n, a.n_scripts, b.n_scripts HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*)))"""
+
+
+@query("a37_similar_scripts", f"{SIMILAR} SELECT * FROM links")
+def a37_similar(spark, d):
+    return similar.similar_scripts(bundles(spark, d))[0]
+
+
+@query("a37_similarity_classes", f"""{SIMILAR},
+ends AS (SELECT path_a AS path FROM links UNION ALL SELECT path_b FROM links)
+SELECT m.path, class_path, n_scripts, (SELECT count(*) FROM ends e WHERE e.path = class_path) AS n_links FROM members m""")
+def a37_classes(spark, d):
+    return similar.similar_scripts(bundles(spark, d))[1]
