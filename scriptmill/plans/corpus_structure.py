@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from scriptmill.functions.sqltext import NOT_FUNCTIONS, TOKEN, TYPE_NAMES, re2
-from scriptmill.operators import lint, scopes, structure, tokens
+from scriptmill.operators import lexing, lint, scopes, structure, tokens
 from scriptmill.operators.structure import BY_WORDS, CLAUSE_WORDS, JOIN_WORDS, NAME_STOPS, QUERY_WORDS, SET_WORDS
 from scriptmill.plans.corpus_lint import CORPUS
 from scriptmill.plans.registry import TWINS, query, sql_text
 from scriptmill.sources.corpus import SCOPE_SHAPES, SCRIPTS_SQL, scripts_from_orders, scripts_sql
 from scriptmill.sources.sinks import work_database
+from scriptmill.sources.tables import table
 
 
 def names(words: list[str]) -> str:
@@ -64,6 +67,40 @@ def a01(spark, d):
     return tokens.tokens(scripts_from_orders(spark, d)).select("script_id", "pos", "tok", "kind", "line")
 
 
+# One script per day, with the statements of all orders of that day.
+DAILY = f"""WITH single AS ({SCRIPTS_SQL}),
+scripts AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS script_id, string_agg(sql, ';' || chr(10) ORDER BY single.script_id) AS sql
+  FROM single JOIN orders ON script_id = o_orderkey GROUP BY ALL)"""
+DAILY_PIECE = 1024
+
+
+def daily_scripts(spark, d):
+    scripts = scripts_from_orders(spark, d)
+    days = table(spark, d, "orders", "o_orderkey", "o_orderdate")
+    rows = scripts.join(days, scripts["script_id"] == days["o_orderkey"]).select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.struct("script_id", "sql").alias("s"))
+    together = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["sql"]), ";\n")
+    return rows.groupBy(F.col("day").alias("script_id")).agg(together.alias("sql"))
+
+
+@query("a01_large_scripts", f"{TOKENS.replace(CORPUS, DAILY)} SELECT script_id, pos, tok, kind, line, level, stmt_no FROM tokens")
+def a01_large(spark, d):
+    return lexing.large_tokens(daily_scripts(spark, d), DAILY_PIECE).drop("u")
+
+
+@query(
+    "a03_large_statements",
+    f"""{TOKENS.replace(CORPUS, DAILY)} SELECT script_id, stmt_no, min(line) AS first_line, max(line) AS last_line, count(*) AS n_tokens,
+max(level) AS max_level FROM code GROUP BY script_id, stmt_no""",
+)
+def a03_large(spark, d):
+    code = lexing.large_tokens(daily_scripts(spark, d), DAILY_PIECE).where(
+        "kind NOT IN ('newline', 'line_comment', 'block_comment') AND NOT (tok = ';' AND level = 0)")
+    return code.groupBy("script_id", "stmt_no").agg(
+        F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_tokens"),
+        F.max("level").alias("max_level"))
+
+
 @query(
     "a02_paren_balance",
     f"""{TOKENS} SELECT script_id, max(level + CASE WHEN tok = '(' THEN 1 ELSE 0 END) AS max_level,
