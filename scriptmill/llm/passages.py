@@ -78,26 +78,44 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= SIMILAR * (len(s) + len(t) - both)
 
 
-def common_passages(x: np.ndarray, y: np.ndarray, units_x: tuple, units_y: tuple) -> list[tuple[int, int, int, int]]:
+def by_key(units: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of all paragraphs of a text, sorted, and the paragraphs' starts in that order."""
+    flat = units[2].ravel()
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.repeat(units[0], units[2].shape[1])[order]
+
+
+def _shared_starts(units: tuple, keys: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+    """Starts of paragraphs with a common key, in x and in y, each pair once and in the order of x."""
+    flat = units[2].ravel()
+    lo, hi = np.searchsorted(keys, flat, side="left"), np.searchsorted(keys, flat, side="right")
+    n = hi - lo
+    total = int(n.sum())
+    if not total:
+        return []
+    a = np.repeat(np.repeat(units[0], units[2].shape[1]), n)
+    at = starts[np.arange(total) + np.repeat(lo - np.cumsum(n) + n, n)]
+    width = int(starts.max()) + 1
+    pairs = np.unique(a * width + at)
+    return list(zip((pairs // width).tolist(), (pairs % width).tolist()))
+
+
+def common_passages(x: np.ndarray, y: np.ndarray, units_x: tuple, index_y: tuple) -> list[tuple[int, int, int, int]]:
     """Passages (first and last word in x, first and last word in y, ends excluded) that two texts have in common. They
-    begin at paragraphs with a common key, at every place that y has for it, unless equal runs of PASSAGE words already
+    begin at paragraphs with a common key (``by_key`` of y), at every place that y has for it, unless equal runs of PASSAGE words already
     hold the paragraph in x. Along the diagonal equal words form pieces. Pieces in the same order in both texts are joined
     over gaps of any length, and what is joined must have PASSAGE words and equal shingles to the share SIMILAR; if it does
     not, it is parted at its longest gap."""
     if len(x) == len(y) and np.array_equal(x, y):
         return [(0, len(x), 0, len(y))] if len(x) >= PASSAGE else []
-    at_y: dict[int, list[int]] = {}
-    for start, keys in zip(units_y[0].tolist(), units_y[2].tolist()):
-        for key in keys:
-            at_y.setdefault(key, []).append(start)
     pieces: list[tuple[int, int, int]] = []
     seen: set[int] = set()
     found = np.zeros(len(x), bool)  # words in equal runs that are passages by themselves
-    for a, keys in zip(units_x[0].tolist(), units_x[2].tolist()):
-        for at in (at for key in keys for at in at_y.get(key, ())):
+    covered = -1
+    for a, at in _shared_starts(units_x, *index_y):
+        if a != covered and (d := a - at) not in seen:
             if found[a : a + PARAGRAPH].all():
-                break
-            if (d := a - at) in seen:
+                covered = a
                 continue
             seen.add(d)
             lo, hi = max(0, d), min(len(x), len(y) + d)
@@ -168,11 +186,12 @@ def verified(pairs: DataFrame) -> DataFrame:
                 if right is None or last != text:
                     data, at = textkit.buffers(pa.array([text]))
                     found = textkit.words(data, at)
-                    last, right = text, (data, *found[:3], paragraphs(found[2]))
-                data, start_b, end_b, word_b, units_b = right
+                    units = paragraphs(found[2])
+                    last, right = text, (data, *found[:3], units, by_key(units))
+                data, start_b, end_b, word_b, units_b, index_b = right
                 mine = word[cut[i] : cut[i + 1]]
                 base = int(offsets[i])
-                for x0, x1, y0, y1 in common_passages(mine, word_b, paragraphs(mine), units_b):
+                for x0, x1, y0, y1 in common_passages(mine, word_b, paragraphs(mine), index_b):
                     p, q = int(start[cut[i] + x0]), int(end[cut[i] + x1 - 1])
                     r, t = int(start_b[y0]), int(end_b[y1 - 1])
                     inside = units_b[1][(units_b[0] >= y0) & (units_b[0] + PARAGRAPH <= y1)].view(np.int64)
@@ -187,17 +206,25 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, FOUND)
 
 
-def _uncovered(spans: list, start: np.ndarray) -> np.ndarray:
-    """Whether the paragraphs lie, at least in part, outside the removed passages of their text."""
-    left = np.ones(len(start), bool)
-    for s in spans:
-        left &= (start < s["first_word"]) | (start + PARAGRAPH > s["end_word"])
-    return left
+MEMBERS = "doc_id long, key long, places array<int>, least int, near array<long>"
+# Places of shingles in the shortest passage, and in a paragraph.
+SHORTEST, OWN = PASSAGE - SHINGLE + 1, PARAGRAPH - SHINGLE + 1
+
+
+def _fewest(around: np.ndarray, at: int) -> int:
+    """The least number of different shingles in a passage of the smallest length that holds the paragraph at that place;
+    where hardly any shingle repeats, all of them."""
+    if 10 * len(np.unique(around)) >= 9 * len(around):
+        return SHORTEST
+    view = np.lib.stride_tricks.sliding_window_view(around, min(SHORTEST, len(around)))
+    view = np.sort(view[max(0, at + OWN - SHORTEST) : at + 1], axis=1)
+    return int((view[:, 1:] != view[:, :-1]).sum(axis=1).min()) + 1
 
 
 def open_members(rows: DataFrame) -> DataFrame:
-    """For rows (doc_id, text, keys, spans): the keys that have a paragraph outside the removed passages, with the words
-    around it (a row per different surroundings)."""
+    """For rows (doc_id, text, keys, spans): one row per key that has a paragraph outside the removed passages, with the
+    places of these paragraphs, the different shingles of the words around all of them, and how many different ones the
+    shortest passage around one of them has at least."""
 
     def members(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -207,97 +234,111 @@ def open_members(rows: DataFrame) -> DataFrame:
             _, _, word, cut = textkit.words(raw, offsets)
             out = []
             for i, (doc, wanted, spans) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))):
-                mine, wanted, seen = word[cut[i] : cut[i + 1]], set(wanted), set()
+                mine = word[cut[i] : cut[i + 1]]
                 start, _, keys = paragraphs(mine)
-                left = _uncovered(spans or [], start)
-                for at, row in zip(start[left].tolist(), keys[left].view(np.int64).tolist()):
-                    near = mine[max(0, at - SIDE) : at + PARAGRAPH + SIDE].view(np.int64)
-                    for key in wanted.intersection(row):
-                        if (key, mark := near.tobytes()) not in seen:
-                            seen.add((key, mark))
-                            out.append((doc, key, at - max(0, at - SIDE), near))
+                left = np.ones(len(start), bool)
+                for s in spans or []:
+                    left &= (start < s["first_word"]) | (start + PARAGRAPH > s["end_word"])
+                shingle = textkit.runs(mine, SHINGLE)
+                flat = keys[left].view(np.int64)
+                places = start[left]
+                for key in np.intersect1d(flat, np.array(wanted, np.int64)).tolist():
+                    at = places[(flat == key).any(axis=1)]
+                    every = [shingle[max(0, p - SIDE) : p + PARAGRAPH + SIDE - SHINGLE + 1] for p in at.tolist()]
+                    near = np.unique(np.concatenate(every))
+                    least = min(_fewest(e, min(p, SIDE)) for e, p in zip(every, at.tolist()))
+                    out.append((doc, key, at.astype(np.int32), least, near.view(np.int64)))
             if out:
-                doc, key, at, near = zip(*out)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc, key, at)), pa.array(near, pa.list_(pa.int64()))],
-                                                 ["doc_id", "key", "at", "near"])
+                doc, key, at, least, near = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(least, pa.int32()),
+                     pa.array(near, pa.list_(pa.int64()))], ["doc_id", "key", "places", "least", "near"])
 
-    return rows.select("doc_id", "text", "keys", "spans").mapInArrow(members, "doc_id long, key long, at long, near array<long>")
+    return rows.select("doc_id", "text", "keys", "spans").mapInArrow(members, MEMBERS)
 
 
-def _alike(words: list[np.ndarray]) -> np.ndarray:
-    """Pairs of surroundings that have COMMON places with shingles of the other, or few different shingles at all."""
-    every = [textkit.runs(w, SHINGLE) for w in words]
-    owner = np.repeat(np.arange(len(every)), [len(e) for e in every])
-    _, column = np.unique(np.concatenate(every), return_inverse=True)
+def _alike(near: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """Pairs of members that have COMMON shingles in common, and less where a passage around them may hold fewer."""
+    owner = np.repeat(np.arange(len(near)), [len(e) for e in near])
+    _, column = np.unique(np.concatenate(near), return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both, width, at = np.zeros((len(every), len(every)), np.float32), 4096, 0
+    both, width, at = np.zeros((len(near), len(near)), np.float32), 4096, 0
     while at < len(column):
         first = column[at]
         to = int(np.searchsorted(column, first + width))
-        places = np.zeros((len(every), width), np.float32)
-        np.add.at(places, (owner[at:to], column[at:to] - first), 1)
-        both += places @ (places > 0).T.astype(np.float32)
+        held = np.zeros((len(near), width), np.float32)
+        held[owner[at:to], column[at:to] - first] = 1
+        both += held @ held.T
         at = to
-    few = np.array([10 * len(np.unique(e)) < 9 * len(e) for e in every])
-    return (both >= COMMON) | (both.T >= COMMON) | few[:, None] | few[None, :]
-
-
-def _star_links(docs: np.ndarray, at: np.ndarray, words: list[np.ndarray]) -> set[tuple[int, int]]:
-    """Pairs (later, earlier document) of one bucket that have a passage around the paragraph: stars around the smallest
-    document left, one after the other, until every member has been a centre or hangs on one."""
-    order = np.argsort(docs, kind="stable").tolist()
-    alike, units = _alike(words), [paragraphs(w) for w in words]
-    gone, out = np.zeros(len(docs), bool), set()
-    for n, c in enumerate(order):
-        if gone[c]:
-            continue
-        for m in order[n + 1 :]:
-            if not gone[m] and alike[c, m] and docs[c] < docs[m]:
-                if passages := common_passages(words[m], words[c], units[m], units[c]):
-                    out.add((int(docs[m]), int(docs[c])))
-                    gone[m] = any(x0 <= at[m] and at[m] + PARAGRAPH <= x1 for x0, x1, _, _ in passages)
-    return out
-
-
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (doc_id, key, at, near) of one bucket that have a passage around its paragraph. A bucket is
-    cut into blocks and every two blocks meet in one task; pairs exist only as cells of a matrix."""
-    blocks = members.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
-    mine = F.pmod(F.xxhash64("doc_id", "near"), F.col("g")).cast("int")
-    dealt = members.join(blocks, F.col("key") == F.col("k")).withColumn("c", mine).withColumn(
+    return both * 2 * SHORTEST >= COMMON * (least[:, None] + least[None, :])
+
+
+def next_pairs(members: DataFrame, tried: DataFrame, many: int) -> DataFrame:
+    """Pairs (a, b) to be compared next: for every open member (doc_id, key, least, near) of a bucket, the ``many`` smallest
+    documents of the bucket before it that look alike and that it has not been compared with. A bucket is cut into blocks
+    and every two blocks meet in one task; pairs exist only as cells of a matrix."""
+    blocks = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
+        "k", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    known = tried.groupBy(F.col("a").alias("d")).agg(F.collect_set("b").alias("known"))
+    dealt = members.join(blocks, F.col("key") == F.col("k")).join(known, F.col("doc_id") == F.col("d"), "left")
+    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")).withColumn(
         "o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "doc_id", "at", "near")
+    dealt = dealt.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "doc_id", "least", "near", "known")
 
     def link(table):
         import pyarrow as pa
 
         table = table.combine_chunks()
-        near = [np.array(w, np.int64).view(np.uint64) for w in table.column("near").to_pylist()]
-        found = sorted(_star_links(np.asarray(table.column("doc_id")), np.asarray(table.column("at")), near)) if near else []
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long").distinct()
-
-
-def later_pairs(store: Stored, texts: DataFrame, members: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the stars have not compared: documents of one bucket (members: doc_id, key), its smallest left out,
-    that keep a paragraph of the bucket outside the passages they lose."""
-    spans = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans"))
-    spans = store.keep(spans)
-
-    def still_open(members: DataFrame) -> DataFrame:
+        docs = np.asarray(table.column("doc_id"))
+        near = [np.array(w, np.int64) for w in table.column("near").to_pylist()]
+        alike = _alike(near, np.asarray(table.column("least"))) & (docs[None, :] < docs[:, None])
+        a, b = [], []
+        for i, known in enumerate(table.column("known").to_pylist()):
+            new = np.setdiff1d(docs[alike[i]], np.array(known or [], np.int64))[:many]
+            a += [int(docs[i])] * len(new)
+            b += new.tolist()
+        return pa.table({"key": pa.array([table.column("key")[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()),
+                         "b": pa.array(b, pa.int64())})
+
+    found = dealt.groupBy("key", "i", "j").applyInArrow(link, "key long, a long, b long")
+    first = F.slice(F.array_sort(F.collect_set("b")), F.lit(1), F.lit(many))  # of as many as there are pairs of blocks
+    return found.groupBy("key", "a").agg(first.alias("b")).select("a", F.explode("b").alias("b")).distinct()
+
+
+def later_passages(store: Stored, texts: DataFrame, members: DataFrame, pairs: DataFrame, found: DataFrame, compared) -> DataFrame:
+    """``found``, and what documents of one bucket (members: doc_id, key) have in common beyond the stars around its smallest
+    one: in rounds, every document that keeps a paragraph of the bucket outside the passages it loses is compared with the
+    smallest ones like it that are left, twice as many in each round, until nothing is left to compare. Each pair is compared
+    once, whatever keys it shares."""
+    def spans_of(found: DataFrame) -> DataFrame:
+        return store.keep(found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans")))
+
+    spans = spans_of(found)
+
+    def parsed(members: DataFrame) -> DataFrame:
         keys = members.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("key").alias("keys"))
-        rows = texts.join(keys, F.col("doc_id") == F.col("k")).join(spans, F.col("doc_id") == F.col("d"), "left")
-        return open_members(rows)
+        return open_members(texts.join(keys, F.col("doc_id") == F.col("k")).join(spans, F.col("doc_id") == F.col("d"), "left"))
 
     touched = members.join(spans.select("d"), F.col("doc_id") == F.col("d"), "left_semi")
     left = members.join(spans.select("d"), F.col("doc_id") == F.col("d"), "left_anti").unionByName(
-        still_open(touched).select("doc_id", "key").distinct())
+        parsed(touched).select("doc_id", "key"))
     left = store.keep(left)
     shared = left.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    left = store.keep(still_open(left.join(shared, "key", "left_semi")))
-    return block_pairs(left).join(pairs, ["a", "b"], "left_anti")
+    left = store.keep(parsed(left.join(shared, "key", "left_semi")))
+    covers = lambda p, s: (s["first_word"] <= p) & (p + PARAGRAPH <= s["end_word"])
+    many = 1
+    while True:
+        new = store.keep(next_pairs(left, pairs, many).join(pairs, ["a", "b"], "left_anti"))
+        if not new.limit(1).count():
+            return found
+        many *= 2
+        more = compared(new)
+        pairs, found = pairs.unionByName(new), store.keep(found.unionByName(more))
+        gone = spans_of(more)  # of this round; what earlier ones have covered is no member any more
+        now = left.join(gone, F.col("doc_id") == F.col("d"), "left")
+        still = F.exists("places", lambda p: ~F.exists(F.coalesce("spans", F.array()), lambda s: covers(p, s)))
+        left = store.keep(now.filter(F.col("spans").isNull() | still).select(*left.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,8 +347,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
 
     Paragraphs of 24 words are chosen by content (``paragraphs``). A band key that several documents have is a bucket;
     each of its documents is compared with the one with the smallest id. Documents that keep the paragraph after that are
-    compared with each other, again by stars around the smallest id left, until each has been a centre or has lost the
-    paragraph: on the words around the paragraph, block by block, and where those hold a passage, on the whole texts. The bands are one of the whole paragraph, whose buckets hold equal paragraphs only, and four of two
+    compared with each other, in rounds: each with the smallest ones left whose words around the paragraph are alike, until
+    nothing is left to compare. The bands are one of the whole paragraph, whose buckets hold equal paragraphs only, and four of two
     circulant MinHash coordinates, which bring together a pair of paragraphs of Jaccard similarity 0.8 with probability
     0.98, and a passage by any of its paragraphs. Comparison is on whole texts. Paragraphs of a verified passage are linked,
     and the components of the links are the clusters. In a document that is not the first of its pair the passage is to be
@@ -331,9 +372,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     def compared(pairs: DataFrame) -> DataFrame:
         return store.keep(verified(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")))
 
-    found = compared(pairs)
-    more = store.keep(later_pairs(store, texts, members.select("doc_id", "key"), pairs, found))
-    found = store.keep(found.unionByName(compared(more)))
+    found = later_passages(store, texts, members.select("doc_id", "key"), pairs, compared(pairs), compared)
     edges = found.select("unit", F.explode(F.array("unit_first", "unit_last")).alias("other"))
     roots = store.keep(components(spark, edges, "unit", "other"))
     named = found.join(roots, F.col("unit") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "unit"))

@@ -249,7 +249,8 @@ def one_pair(x, y):
     for side in (x, y):
         raw, offsets = textkit.buffers(pa.array([" ".join(side)]))
         units.append(textkit.words(raw, offsets)[2])
-    return passages.common_passages(*units, *(passages.paragraphs(u) for u in units))
+    x, y = (passages.paragraphs(u) for u in units)
+    return passages.common_passages(*units, x, passages.by_key(y))
 
 
 def test_every_place_in_the_kept_text_and_gaps_of_any_length():
