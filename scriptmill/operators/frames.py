@@ -171,6 +171,25 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[Column | str],
     return _joined([plain, cut], [*kept, *values])
 
 
+def with_running_extreme(df: DataFrame, keys: list[str], order: list[Column | str], values: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Adds, per name, the smallest or largest value ("min" or "max") from the group's first row to the current one."""
+    two = split(df, keys, order)
+    find = {n: (F.min, F.least) if kind == "min" else (F.max, F.greatest) for n, (_, kind) in values.items()}
+    rows_before = [Window.unboundedPreceding, Window.currentRow]
+    plain = cut = None
+    if two.plain is not None:
+        so_far = Window.partitionBy("__group").orderBy(*_order(order)).rowsBetween(*rows_before)
+        plain = two.plain.withColumns({n: find[n][0](v).over(so_far) for n, (v, _) in values.items()})
+    if two.cut is not None:
+        so_far = Window.partitionBy("__part", "__group").orderBy("__at").rowsBetween(*rows_before)
+        spans = _spans(two.cut, [find[n][0](v).alias(f"__own_{n}") for n, (v, _) in values.items()])
+        spans = spans.select("__p", "__g", *[find[n][0](f"__own_{n}").over(_earlier()).alias(f"__before_{n}") for n in values])
+        local = two.cut.withColumns({f"__so_far_{n}": find[n][0](v).over(so_far) for n, (v, _) in values.items()})
+        cut = _meet(local, spans).withColumns({n: find[n][1](f"__so_far_{n}", f"__before_{n}") for n in values})
+    kept = [c for c in df.columns if c not in values]
+    return _joined([plain, cut], [*kept, *values])
+
+
 def with_latest(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
     """Adds the last value, from the group's first row to the current one, that is not NULL."""
     two = split(df, keys, order)
@@ -247,6 +266,38 @@ def sums_over_time(df: DataFrame, keys: list[str], ts: str, seconds: int, values
     return met.select(*df.columns, *[F.when(F.col(f"c{i}") > 0, F.col(f"s{i}")).alias(n) for i, n in enumerate(values)])
 
 
+def extremes_over_time(df: DataFrame, keys: list[str], ts: str, seconds: int, values: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Adds, per name, the smallest or largest value ("min" or "max") over the frame [ts - seconds, ts] of the same group; NULL
+    if the frame has no value. A value may be of any ordered type: the smallest struct of (ts, tie break, v) holds the first v.
+
+    Time is cut into stretches as long as the frame. A frame then is the end of one stretch and the beginning of the next,
+    so two running extremes, one backwards and one forwards, give that of any frame without a structure over all rows. A
+    group is spread over its stretches, and a stretch larger than a task is cut further (``split``). Values meet per time
+    first; rows without a time form their own frame."""
+    if seconds <= 0:
+        raise ValueError("a frame has a length")
+    at, length = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    both = {n: F.min if kind == "min" else F.max for n, (_, kind) in values.items()}
+    names = {n: f"v{i}" for i, n in enumerate(values)}
+    rows = df.withColumn("__spot", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], at.alias("us")))
+    times = store(rows.groupBy("__spot").agg(*[both[n](v).alias(names[n]) for n, (v, _) in values.items()]).select("__spot.*", *names.values()))
+    groups = [f"k{i}" for i in range(len(keys))]
+    timed = times.where("us IS NOT NULL").withColumn("stretch", F.floor(F.col("us") / length))
+    running = {names[n]: (F.col(names[n]), kind) for n, (_, kind) in values.items()}
+    begun = with_running_extreme(timed, [*groups, "stretch"], ["us"], running)
+    kinds = dict(timed.dtypes)
+    asks = timed.select(*groups, (F.col("us") - length).alias("us"), (F.col("stretch") - 1).alias("stretch"), F.lit(1).alias("side"),
+                        *[F.lit(None).cast(kinds[v]).alias(v) for v in names.values()])
+    marks = timed.select(*groups, "us", "stretch", F.lit(0).alias("side"), *names.values())
+    ended = with_running_extreme(marks.unionByName(asks), [*groups, "stretch"], [F.col("us").desc(), "side"], running).where("side = 1")
+    spot = lambda us: F.struct(*groups, us.alias("us")).alias("__at")
+    halves = begun.select(spot(F.col("us")), *names.values()).unionByName(ended.select(spot(F.col("us") + length), *names.values()))
+    framed = halves.groupBy("__at").agg(*[both[n](names[n]).alias(names[n]) for n in values])
+    framed = store(framed.unionByName(times.where("us IS NULL").select(spot(F.col("us")), *names.values())))
+    met = rows.join(framed, F.col("__spot") == F.col("__at"))
+    return met.select(*df.columns, *[F.col(v).alias(n) for n, v in names.items()])
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
     """First k rows per group. Spark cuts each task's rows of a group to the limit before the shuffle
     (WindowGroupLimit), so a hot group arrives small."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from scriptmill.session import store
 from scriptmill.sources.tables import code_table
 
 # Sample rule table for part names: priority, word, code. The first matching rule wins.
@@ -23,6 +24,8 @@ def rules_table(spark: SparkSession) -> DataFrame:
 Rules = DataFrame | list[tuple[int, str, str]]
 # Rules of a table that may travel inside one row (counted before they are collected); a larger table is joined.
 PACKED_RULES = 10_000
+# Characters of the longest piece by which texts and words of a larger table meet.
+GRAM = 3
 
 
 def _packed(rules: Rules) -> Column | None:
@@ -40,29 +43,39 @@ def _packed(rules: Rules) -> Column | None:
 def keyword_matches(df: DataFrame, text: Column, rules: Rules) -> DataFrame:
     """One row per row and matching rule, with prio and code.
 
-    Few rules become a constant of the plan, and nothing is shuffled. Many are grouped by their first three characters
-    and joined with the texts on the three-character pieces of a text, so a text meets only rules that may occur in it;
-    shorter words are always few (there are not many of them) and stay in the plan.
+    Few rules become a constant of the plan, and nothing is shuffled. Many are joined with the texts on pieces of one to
+    three characters: a shorter word is such a piece itself, and a longer one is looked up by the one of its pieces that the
+    fewest texts hold, so a text meets only rules that may occur in it, of any number. The empty word is in every text.
     """
     packed = _packed(rules)
     rows = df.withColumn("__text", text)
     if packed is not None:
         hits = F.filter(packed, lambda r: F.contains(F.col("__text"), r["word"]))
         return rows.withColumn("__hit", F.explode(hits)).select("*", "__hit.prio", "__hit.code").drop("__text", "__hit")
-    long = rules.where(F.length("word") >= 3).select(
-        F.substring("word", 1, 3).alias("__gram"), F.col("prio").alias("__p"), F.col("word").alias("__w"), F.col("code").alias("__c"))
+    named = rules.where("word IS NOT NULL").select(F.col("prio").alias("__p"), F.col("word").alias("__w"), F.col("code").alias("__c"))
+    sizes = sorted(r.n for r in named.select(F.least(F.length("__w"), F.lit(GRAM)).alias("n")).distinct().collect())  # four at most
     texts = df.select(text.alias("__text")).where("__text IS NOT NULL").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__text") - 2, F.lit(1))),
-                                         lambda i: F.substring(F.col("__text"), i, 3)))
-    met = texts.withColumn("__gram", F.explode(grams)).join(long, "__gram").where(F.contains("__text", "__w"))
-    met = met.select("__text", "__p", "__c")
-    short = rules.where(F.length("word") < 3)
-    for row in short.limit(PACKED_RULES + 1).toLocalIterator():
-        met = met.unionByName(texts.where(F.contains("__text", F.lit(row["word"]))).select(
-            "__text", F.lit(row["prio"]).alias("__p"), F.lit(row["code"]).alias("__c")))
+    held = store(texts.withColumn("__gram", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("__text", n) for n in sizes]))))))
+    short = named.where(F.length("__w") < GRAM).withColumn("__gram", F.col("__w"))
+    pieces = named.where(F.length("__w") >= GRAM).withColumn("__gram", F.explode(F.array_distinct(_grams("__w", GRAM))))
+    wanted = pieces.select(F.col("__gram").alias("__g")).distinct()
+    counts = held.join(wanted, F.col("__gram") == F.col("__g"), "left_semi").groupBy(F.col("__gram").alias("__g")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    # a word with a piece that no text holds is in none
+    known = pieces.join(counts, F.col("__gram") == F.col("__g"), "left").groupBy("__p", "__w", "__c").agg(
+        F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("__rare"))
+    long = known.where("__rare.n > 0").select("__p", "__w", "__c", F.col("__rare.g").alias("__gram"))
+    met = held.join(short.unionByName(long), "__gram").where(F.contains("__text", "__w")).select("__text", "__p", "__c")
     return rows.join(met, "__text").select(*df.columns, F.col("__p").alias("prio"), F.col("__c").alias("code"))
 
 
+def _grams(text: str, n: int) -> Column:
+    """All pieces of n characters; none of a shorter text."""
+    last = F.length(text) - n + 1
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(text), i, n)))
+
+
 def keyword_code(df: DataFrame, text: Column, rules: Rules, default: str, name: str = "code") -> DataFrame:
     """Adds the code of the first rule, by priority, whose word occurs in the text."""
     packed = _packed(rules)

@@ -13,6 +13,7 @@ from scriptmill.functions.survivor import survivor
 from scriptmill.operators import history, lookup
 from scriptmill.operators.contract import report_frame
 from scriptmill.operators.frames import over_rows
+from scriptmill.operators.ranges import interval_join
 from scriptmill.plans.registry import query
 from scriptmill.session import store
 from scriptmill.sources.tables import code_table, register_views, table
@@ -338,6 +339,30 @@ def j27(spark, d):
     return t(spark, d, "orders", "o_orderkey", "o_totalprice").join(F.broadcast(bands), on).select("o_orderkey", "band")
 
 
+# A price range per customer, most of them narrow and every tenth a hundred times as wide.
+_RANGES = """SELECT c_custkey, abs(c_acctbal) * 40 AS lo, abs(c_acctbal) * 40 + 5 + c_custkey % 7 + CASE WHEN c_custkey % 10 = 0 THEN 500 ELSE 0 END AS hi
+FROM customer"""
+
+
+@query("j27_price_ranges", f"WITH r AS ({_RANGES}) SELECT o_orderkey, c_custkey FROM orders JOIN r ON o_totalprice >= lo AND o_totalprice < hi")
+def j27_ranges(spark, d):
+    bal, key = F.abs("c_acctbal") * 40, F.col("c_custkey")
+    ranges = t(spark, d, "customer", "c_custkey", "c_acctbal").select(
+        "c_custkey", bal.alias("lo"), (bal + 5 + key % 7 + F.when(key % 10 == 0, 500).otherwise(0)).alias("hi"))
+    points = t(spark, d, "orders", "o_orderkey", "o_totalprice")
+    return interval_join(points, "o_totalprice", ranges, "lo", "hi").select("o_orderkey", "c_custkey")
+
+
+# One rule per order, with its number as word: words of one to many digits, more than travel in a plan.
+@query("j24_many_rules", """WITH rules AS (SELECT CAST(o_orderkey AS VARCHAR) AS word FROM orders)
+SELECT c_custkey, count(*) AS n_rules, max(word) AS last_word FROM customer JOIN rules ON contains(c_name, word) GROUP BY c_custkey""")
+def j24_many(spark, d):
+    word = F.col("o_orderkey").cast("string")
+    rules = t(spark, d, "orders", "o_orderkey").select(F.lit(1).alias("prio"), word.alias("word"), word.alias("code"))
+    return lookup.keyword_matches(t(spark, d, "customer", "c_custkey", "c_name"), F.col("c_name"), rules).groupBy("c_custkey").agg(
+        F.count(F.lit(1)).alias("n_rules"), F.max("code").alias("last_word"))
+
+
 LONG_LIST = list(range(3, 2000, 17))
 
 

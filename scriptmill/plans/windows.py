@@ -183,6 +183,19 @@ def w12_types(spark, d):
         "event_id", "n_hours", F.col("sum_hours").cast("double").alias("sum_hours"))
 
 
+@query(
+    "w12_range_extremes",
+    """SELECT event_id, min(value) OVER w AS low, max(value) OVER w AS high, (min({'t': ts, 'e': event_id, 'v': value}) OVER w).v AS first_value
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""",
+)
+def w12_extremes(spark, d):
+    """Few groups, each with a large part of the rows; extremes cannot be taken back as sums can."""
+    base = table(spark, d, "events", "event_id", "event_type", "ts", "value")
+    found = frames.extremes_over_time(base, ["event_type"], "ts", 6 * 3600, {
+        "low": (F.col("value"), "min"), "high": (F.col("value"), "max"), "first": (F.struct("ts", "event_id", "value"), "min")})
+    return found.select("event_id", "low", "high", F.col("first.value").alias("first_value"))
+
+
 @query(
     "w13_difference_from_average",
     """SELECT c_custkey, c_acctbal - CAST(sum(CAST(c_acctbal AS DECIMAL(22,2))) OVER w AS DOUBLE) / count(*) OVER w AS diff
