@@ -36,6 +36,21 @@ def s02(spark, d):
         F.bool_or(F.col("error").isNotNull() & F.col("sql").isNull()).alias("has_errors"))
 
 
+@query("s02_every_file", """SELECT o_orderstatus AS status, count(*) AS n_orders, true AS has_empty_file FROM orders GROUP BY 1
+UNION ALL SELECT 'none', 0, true""")
+def s02_every(spark, d):
+    """A folder per order status with the keys of its orders, and an empty file in each; one folder has nothing else."""
+    folder = scratch_dir(spark)
+    orders = table(spark, d, "orders", "o_orderstatus", "o_orderkey").select("o_orderstatus", F.col("o_orderkey").cast("string").alias("k"))
+    orders.write.partitionBy("o_orderstatus").text(folder)
+    for status in [*(r[0] for r in orders.select("o_orderstatus").distinct().collect()), "none"]:  # few values
+        orders.where("k IS NULL").select("k").coalesce(1).write.mode("append").text(f"{folder}/o_orderstatus={status}")
+    rows = corpus.scan_folder_checked(spark, folder, "part-*")
+    lines = F.size(F.filter(F.split("sql", "\n"), lambda x: x != ""))
+    return rows.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]+)", 1).alias("status")).agg(
+        F.sum(lines).cast("bigint").alias("n_orders"), F.bool_or(F.col("sql") == "").alias("has_empty_file"))
+
+
 @query("s01_folder_findings", f"{FINDINGS} SELECT rule, severity, count(*) AS n FROM findings GROUP BY 1, 2")
 def s01_findings(spark, d):
     folder = scratch_dir(spark)

@@ -181,7 +181,7 @@ def s15(spark, d):
 
 @query("s16_merge_from_query", """WITH feed AS (SELECT l_orderkey AS k, l_extendedprice AS price, l_shipdate AS ts, l_partkey AS p FROM lineitem
 UNION ALL SELECT -1 - o_orderkey, o_totalprice, o_orderdate, 0 FROM orders),
-latest AS (SELECT k, price FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, price DESC, p) AS rn FROM feed) WHERE rn = 1)
+latest AS MATERIALIZED (SELECT k, price FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, price DESC, p) AS rn FROM feed) WHERE rn = 1)
 SELECT o_orderkey AS k, coalesce(price, o_totalprice) AS price, o_orderstatus AS st FROM orders LEFT JOIN latest ON k = o_orderkey
 UNION ALL SELECT k, price, 'N' FROM latest WHERE k < 0""")
 def s16(spark, d):

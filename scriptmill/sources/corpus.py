@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptmill.session import shuffle_partitions
+from scriptmill.sources.files import whole_files
 from scriptmill.sources.tables import table
 
 # {k} order key, {d} yyyy-MM-dd, {ymd} yyyyMMdd, {s} status; \n is a newline.
@@ -183,13 +184,14 @@ def scan_folder(spark: SparkSession, folder: str, glob: str = "*.sql", separator
 
 
 def scan_folder_checked(spark: SparkSession, folder: str, glob: str = "*.sql") -> DataFrame:
-    """Like ``scan_folder``, but a file that is no UTF-8 text gives a row with ``error`` instead of ``sql``."""
+    """Like ``scan_folder``, but every file gives a row: one that is no UTF-8 text or cannot be read has ``error`` instead of
+    ``sql``, and an empty one an empty text."""
     valid = F.is_valid_utf8(F.col("content"))
-    return _files(spark, folder, glob).select(
+    return whole_files(spark, folder, glob).select(
         F.col("path").alias("script_id"),
         "path",
         F.when(valid, F.decode("content", "UTF-8")).alias("sql"),
-        F.when(~valid, F.lit("not UTF-8 text")).alias("error"),
+        F.coalesce("error", F.when(~valid, F.lit("not UTF-8 text"))).alias("error"),
     )
 
 
