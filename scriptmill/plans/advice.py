@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptmill.functions.calendar import month_range
 from scriptmill.functions.money import money_sum
-from scriptmill.operators import masking, skew
+from scriptmill.operators import masking, skew, trigrams
 from scriptmill.operators.contract import project
 from scriptmill.operators.lookup import not_in
 from scriptmill.plans.registry import query, sql_text
@@ -336,6 +336,18 @@ def c19_index(spark, d):
     return token_index(spark, d).join(F.broadcast(words), "word").select("doc_id", "word")
 
 
+# Parts of words and of several words, none of them a word of its own.
+INNER = ["hat", "ionth", "e the ", "zzzz", "au l", "Dieü"]
+
+
+@query("c19_trigram_index_advised", "WITH w(word) AS (VALUES " + ", ".join(f"('{w}')" for w in INNER)
+       + ") SELECT doc_id, word FROM documents JOIN w ON text LIKE '%' || word || '%'")
+def c19_trigrams(spark, d):
+    folder = scratch_dir(spark)
+    trigrams.write_index(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", folder)
+    return trigrams.search(spark, folder, INNER).select(F.col("key").alias("doc_id"), F.col("pattern").alias("word"))
+
+
 C20 = "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 49"
 
 
