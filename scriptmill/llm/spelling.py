@@ -19,8 +19,8 @@ LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 # Filters: words per 64-bit block, bits set per word, and bytes that one broadcast may hold. Filters beyond it are split by
 # hash into parts, and each part is broadcast in a round of its own.
 PER_BLOCK, BITS, FILTER_BYTES = 4, 4, 32 << 20
-# Hashes of edits that are worked on at once.
-SLICE = 1 << 20
+# Hashes of edits that are worked on at once, and words whose edits one task probes.
+SLICE, TASK_WORDS = 1 << 20, 20_000
 
 _STEP, _STEP_INVERSE = textkit._P, textkit._P_INVERSE
 _LETTER = textkit.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -154,6 +154,8 @@ def positives(spark: SparkSession, vocabulary: DataFrame, lengths: dict[int, int
     hashes of that part only, so every edit is probed once."""
     total = sum(8 * -(-count // PER_BLOCK) for count in lengths.values())
     parts = max(1, -(-total // FILTER_BYTES))
+    # Words are few bytes and many edits: tasks follow from their number.
+    words = vocabulary.select("word", "hash").repartition(max(1, -(-sum(lengths.values()) // TASK_WORDS)), "hash")
     found = None
     for part in range(parts):
         held = spark.sparkContext.broadcast(filters(vocabulary, lengths, part, parts))
@@ -179,7 +181,7 @@ def positives(spark: SparkSession, vocabulary: DataFrame, lengths: dict[int, int
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(edits).view(np.int64)), pa.array(np.concatenate(sources))],
                                                      ["edit", "source"])
 
-        rows = vocabulary.select("word", "hash").mapInArrow(probe, "edit long, source long")
+        rows = words.mapInArrow(probe, "edit long, source long")
         if parts > 1:
             rows = rows.filter(F.pmod(F.xxhash64("edit"), F.lit(parts)) == part)
         found = rows if found is None else found.unionByName(rows)
