@@ -119,18 +119,53 @@ def test_leaks(spark):
         (5, "one 2 three 4 five 6 seven"), (6, "7 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"), (7, "Short item, of six words!"),
         (8, "a short item of six words inside"), (9, None), (10, ""), (None, plain), (11, plain[: len(plain) // 4]), (12, plain), (12, plain),
         (13, "every window of this thing is made of other words " * 4000), (14, "x" + plain.replace("plain", "fancy")),
+        (15, "noise " + item.title()), (16, "short item of seven words, an item of six words"),
     ]
     got = decontam.contaminated(spark, table(spark, docs), spark.createDataFrame(ITEMS, "item_id long, text string"))
     found = sorted(((r.doc_id, r.item_id, r.kind) for r in got.collect()), key=str)
     assert found == sorted([(1, 0, "verbatim"), (2, 0, "verbatim"), (3, 0, "re-parameterised"), (7, 1, "verbatim"),
-                            (None, 5, "verbatim"), (12, 5, "verbatim"), (14, 5, "verbatim")], key=str)
+                            (None, 5, "verbatim"), (12, 5, "verbatim"), (14, 5, "verbatim"), (6, 4, "verbatim"),
+                            (8, 1, "verbatim"), (15, 0, "verbatim")], key=str)
     left = decontam.without_leaks(spark, table(spark, docs), spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert left.columns == table(spark, docs).columns
-    assert {4, 5, 6, 8, 9, 10, 11, 13} <= {r.doc_id for r in left.collect()} and not {1, 2, 3, 7, 12, 14, None} & {r.doc_id for r in left.collect()}
+    assert {4, 5, 9, 10, 11, 13, 16} <= {r.doc_id for r in left.collect()} and not {1, 2, 3, 6, 7, 8, 12, 14, 15, None} & {r.doc_id for r in left.collect()}
     for a, b in ((docs, []), ([], ITEMS)):
         assert decontam.contaminated(spark, table(spark, a), spark.createDataFrame(b, "item_id long, text string")).count() == 0
 
 
+def longest_copies(item, text):
+    """Length of the longest stretch of tokens that both have."""
+    best, row = 0, [0] * (len(text) + 1)
+    for a in item:
+        row = [0] + [row[j] + 1 if a == b else 0 for j, b in enumerate(text)]
+        best = max(best, *row)
+    return best
+
+
+def test_copies_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["Anna", "Bob", "Rome", "7", "12", "3.5", "km", "sold", "ran", "the", "of"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([5, 6, 7, 8, 12, 16, 25])))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        w = items[rng.randrange(25)][1].split()
+        a = rng.randrange(3)
+        w = w[a : len(w) - rng.randrange(4)]
+        t = " ".join([word() for _ in range(rng.randrange(12))] + w + [word() for _ in range(rng.randrange(12))])
+        docs.append((i, [t, t.upper(), t.title(), t.lower()][i % 4]))
+    got = decontam.contaminated(spark, table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got if r.kind == "verbatim"}
+    cut = spark.createDataFrame([*docs, *((1000 + i, t) for i, t in items)], "i long, t string").select(
+        "i", decontam.template_tokens(F.col("t")).alias("t")).collect()
+    tokens = {r.i: [x.lstrip("\u0001\u0002\u0003") for x in r.t] for r in cut}
+    want = set()
+    for i, _ in items:
+        it = tokens[1000 + i]
+        least = len(it) if len(it) < 8 else max(8, min(13, -(-len(it) * 4 // 5)))
+        want |= {(d, i) for d, _ in docs if longest_copies(it, tokens[d]) >= least}
+    assert len(want) > 20 and want <= found
+
+
 def test_template_slots(spark):
     row = spark.createDataFrame([("Today Anna paid $5.50 for 3 kg, then 10% more. Bob left",)], "text string").select(
         decontam.template_tokens(F.col("text")).alias("t")).first()
