@@ -168,23 +168,55 @@ def test_line_chunks_against_brute_force(spark):
     rng.shuffle(rows)
     got = linededup.without_repeated_chunks(spark, table(spark, rows)).collect()
     assert len(got) == len(rows)
-    first: dict = {}
-    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        for c in brute_chunks(t):
-            first.setdefault(c, d)
+    holder: dict = {}
+    number = lambda d: 1 << 62 if d is None else d
+    for d, t in sorted(rows, key=lambda r: number(r[0])):
+        for unit, _ in line_units(t):
+            holder.setdefault(unit, number(d))
     want = []
     for d, t in rows:
-        seen, kept, lost = set(), [], 0
-        for c in brute_chunks(t):
-            if len(c) > 1 and (c in seen or first.get(c, d) != d):
-                lost += len(c)
-            else:
-                kept.append("\n".join(c))
-            seen.add(c)
-        want.append((d, "\n".join(kept) if lost else t, lost, (t or "").count("\n") + 1))
+        late, again, stay, seen = set(), set(), set(), set()
+        for unit, at in line_units(t):
+            (late if holder[unit] < number(d) else again if unit in seen else stay).update(at)
+            seen.add(unit)
+        lines = (t or "").split("\n")
+        lost = late | (again - stay)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in lost)
+        want.append((d, kept if lost else t, len(lost), len(lines)))
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
     assert sorted(((r.doc_id, r.text, r["__n_removed"], r["__n_lines"]) for r in got), key=key) == sorted(want, key=key)
     assert got[0].__fields__[: len(table(spark, rows).columns)] == table(spark, rows).columns
+    # nothing is lost: every line is left somewhere; and no block of two lines that another document holds is left twice
+    texts = [r.text or "" for r in got]
+    assert {x for _, t in rows for x in (t or "").split("\n") if x} <= {x for t in texts for x in t.split("\n")}
+    for r in got:
+        assert sum(s.last - s.first + 1 for s in r["__removed"]) == r["__n_removed"]
+
+
+def line_units(text):
+    """Chunks of two lines or more and pairs of neighbouring lines that are not blank, in order, with their line numbers."""
+    at, out = 0, []
+    for c in brute_chunks(text):
+        if len(c) > 1:
+            out.append((("chunk", *c), range(at, at + len(c))))
+        at += len(c)
+    lines = (text or "").split("\n")
+    filled = [i for i, x in enumerate(lines) if x.strip(" \t\r")]
+    out += [(("pair", lines[i], lines[j]), range(i, j + 1)) for i, j in zip(filled, filled[1:])]
+    return sorted(out, key=lambda u: (u[0][0], u[1][0]))
+
+
+def test_repeated_blocks_go_whatever_their_borders(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(6))
+    blocks = [[line() for _ in range(rng.choice([2, 3, 4, 6]))] for _ in range(12)]
+    rows, own = [], {}
+    for i in range(60):
+        before, after = [line() for _ in range(rng.randrange(1, 5))], [line() for _ in range(rng.randrange(1, 5))]
+        rows.append((i, "\n".join(before + blocks[i % 12] + after)))
+        own[i] = before + after
+    by = {r.doc_id: r.text.split("\n") for r in linededup.without_repeated_chunks(spark, table(spark, rows)).collect()}
+    assert all(by[i] == (own[i] if i >= 12 else dict(rows)[i].split("\n")) for i in by)
 
 
 def passage_rows():
