@@ -17,8 +17,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without line chunks that an earlier one holds; n_chars follows the text where there is one."""
+    """The same documents without line chunks that an earlier one holds; n_chars follows the text where there is one. Rows of
+    which removal has left nothing go; texts that were empty before stay."""
     rows = linededup.without_repeated_chunks(spark, docs)
+    rows = rows.filter((F.col("__n_removed") == 0) | (F.regexp_replace("text", r"\s++", "") != ""))
     if "n_chars" in docs.columns:
         changed = F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         rows = rows.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
