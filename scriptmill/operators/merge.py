@@ -27,7 +27,7 @@ class When:
             raise ValueError(f"unknown action {self.action}")
 
 
-def _first(branches: list[When]) -> Column:
+def first_branch(branches: list[When]) -> Column:
     """Number of the first branch whose condition holds; NULL conditions do not hold."""
     return F.coalesce(*[
         F.when(F.lit(True) if b.condition is None else F.coalesce(b.condition, F.lit(False)), F.lit(i))
@@ -45,14 +45,15 @@ def merge_frames(target: DataFrame, source: DataFrame, on: list[str], branches:
     """
     matched = [b for b in branches if b.action != "insert"]
     inserts = [b for b in branches if b.action == "insert"]
-    columns = target.columns
-    same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]
     result = _matched(target, source, on, matched) if matched else target
-    if not inserts:
-        return result
+    return result.unionByName(inserted_rows(target, source, on, inserts)) if inserts else result
 
+
+def inserted_rows(target: DataFrame, source: DataFrame, on: list[str], inserts: list[When]) -> DataFrame:
+    """Rows that the insert branches make of the source rows without a match."""
+    same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]
     keys = target.select(*on).distinct().alias("t")
-    fresh = source.alias("s").join(keys, same, "left_anti").withColumn("__branch", _first(inserts))
+    fresh = source.alias("s").join(keys, same, "left_anti").withColumn("__branch", first_branch(inserts))
 
     def inserted(c: str) -> Column:
         value = F.lit(None)
@@ -61,7 +62,7 @@ def merge_frames(target: DataFrame, source: DataFrame, on: list[str], branches:
                 value = F.when(F.col("__branch") == i, b.values[c]).otherwise(value)
         return value.cast(target.schema[c].dataType).alias(c)
 
-    return result.unionByName(fresh.where("__branch >= 0").select(*[inserted(c) for c in columns]))
+    return fresh.where("__branch >= 0").select(*[inserted(c) for c in target.columns])
 
 
 def _matched(target: DataFrame, source: DataFrame, on: list[str], matched: list[When]) -> DataFrame:
@@ -87,17 +88,18 @@ def _matched(target: DataFrame, source: DataFrame, on: list[str], matched: list[
     # keys with one source row: the usual case, decided where the target row meets it
     one = keyed.where("__n = 1").select("__row.*", F.lit(True).alias("__hit")).alias("s")
     several = keyed.where("__n > 1").select(*on)
-    plain = target.alias("t").join(several.alias("s"), same, "left_anti") if several.limit(1).count() else target
+    some = not several.isEmpty()
+    plain = target.alias("t").join(several.alias("s"), same, "left_anti") if some else target
     rows = plain.alias("t").join(one, same, "left")
-    result = changed(rows.withColumn("__branch", F.when(F.col("s.__hit"), _first(matched)).otherwise(-1)))
-    if not several.limit(1).count():
+    result = changed(rows.withColumn("__branch", F.when(F.col("s.__hit"), first_branch(matched)).otherwise(-1)))
+    if not some:
         return result
 
     # keys with several: every pair is decided, and of a target row's pairs one may apply
     names = [F.col(f"t.{c}").alias(c) for c in columns]
     number = target.join(several, on, "left_semi").withColumn("__id", F.monotonically_increasing_id())
     number = store(number)
-    pairs = number.alias("t").join(source.join(several, on, "left_semi").alias("s"), same).withColumn("__branch", _first(matched))
+    pairs = number.alias("t").join(source.join(several, on, "left_semi").alias("s"), same).withColumn("__branch", first_branch(matched))
     applied = pairs.where("__branch >= 0")
     counts = applied.groupBy(F.col("t.__id").alias("__id")).agg(F.count(F.lit(1)).alias("__m"))
     idle = number.join(counts, "__id", "left_anti").select(*columns)

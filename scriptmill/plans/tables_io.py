@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from scriptmill.functions.money import cents, money_sum
 from scriptmill.operators.frames import top_per_group
 from scriptmill.operators.merge import When, merge_frames
+from scriptmill.operators.merge_files import create_files, merge_files
 from scriptmill.plans.registry import query, sql_text
-from scriptmill.session import materialize, scratch_dir
+from scriptmill.session import materialize, scratch_dir, store
 from scriptmill.sources import sinks
 from scriptmill.sources.tables import table
 
@@ -191,7 +192,7 @@ def s16(spark, d):
     extra = table(spark, d, "orders").select(
         (-1 - F.col("o_orderkey")).alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("ts"),
         F.lit(0).cast("bigint").alias("p"))
-    latest = top_per_group(lines.unionByName(extra), ["k"], [F.desc("ts"), F.desc("price"), "p"], 1).select("k", "price")
+    latest = store(top_per_group(lines.unionByName(extra), ["k"], [F.desc("ts"), F.desc("price"), "p"], 1).select("k", "price"))
     return merge_frames(_target(spark, d), latest, ["k"], [
         When("update", None, {"price": F.col("s.price")}),
         When("insert", None, {"k": F.col("s.k"), "price": F.col("s.price"), "st": F.lit("N")}),
@@ -211,6 +212,22 @@ def s15_stored(spark, d):
     return spark.table(f"{db}.target_v2")
 
 
+@query("s15_file_merge", """WITH late AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(22,2))) AS DOUBLE) AS total,
+bool_and(l_returnflag = 'R') AS gone FROM lineitem GROUP BY l_orderkey HAVING l_orderkey >= (SELECT 0.8 * max(o_orderkey) FROM orders))
+SELECT o_orderkey AS k, CASE WHEN total > 100000 THEN total ELSE o_totalprice END AS price,
+CASE WHEN total > 100000 THEN 'U' ELSE o_orderstatus END AS st FROM orders LEFT JOIN late ON k = o_orderkey WHERE NOT coalesce(gone, false)
+UNION ALL SELECT k, total, 'N' FROM late WHERE total > 1000 AND k NOT IN (SELECT o_orderkey FROM orders)""")
+def s15_files(spark, d):
+    """The changes of the latest fifth of the orders, merged into files by order key: the other files stay as they are."""
+    orders = _target(spark, d)
+    files = create_files(orders.repartitionByRange("k").sortWithinPartitions("k"), scratch_dir(spark))
+    last = orders.agg((0.8 * F.max("k")).alias("since"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+        money_sum("l_extendedprice").alias("total"), F.bool_and(F.col("l_returnflag") == "R").alias("gone"))
+    merge_files(files, lines.join(F.broadcast(last), F.col("k") >= F.col("since")).drop("since"), ["k"], _branches())
+    return files.read()
+
+
 @query("s18_shared_result", """WITH t AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(22,2))) AS DOUBLE) AS total FROM orders GROUP BY 1)
 SELECT 'big' AS kind, count(*) AS n FROM t WHERE total > 2000000 UNION ALL SELECT 'small', count(*) FROM t WHERE total <= 2000000""")
 def s18(spark, d):
