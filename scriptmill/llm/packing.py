@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from scriptmill.llm.common import Stored, ready
 
-# Characters of a bin, and characters that one task packs at a time.
-CAPACITY, GROUP_CHARS = 8192, 4 << 20
+# Characters of a bin, and characters and pieces that one task packs at a time.
+CAPACITY, GROUP_CHARS, GROUP_PIECES = 8192, 4 << 20, 32 << 10
 
 
 def same_text(text: Column) -> Column:
@@ -17,24 +17,27 @@ def same_text(text: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.trim(F.lower(text)), r"\s++", " "))
 
 
-class Holders:
-    """For every source or cluster the numbers of the bins that hold it. Code -1 and values that occur once are left out."""
+class Bitmaps:
+    """A bitmap for every bin: which sources (or clusters) it holds, as many 64-bit words as those that occur more than once
+    need. Code -1 and codes that occur once conflict with nothing and have no bit."""
 
     def __init__(self, codes: np.ndarray):
-        values, self.place, count = np.unique(codes, return_inverse=True, return_counts=True)
-        self.first, self.n = np.cumsum(count) - count, np.zeros(len(values), np.int64)
-        self.asked = (count > 1) & (values >= 0)
-        self.bins = np.zeros(len(codes), np.int64)
+        values, place, count = np.unique(codes, return_inverse=True, return_counts=True)
+        asked = (count > 1) & (values >= 0)
+        self.bit = np.where(asked, np.cumsum(asked) - 1, -1)[place]
+        self.words = np.zeros((-(-int(asked.sum()) // 64), 64), np.uint64)
 
-    def of(self, piece: int) -> np.ndarray:
-        v = self.place[piece]
-        return self.bins[self.first[v] : self.first[v] + self.n[v]]
+    def held(self, piece: int, bins: np.ndarray) -> np.ndarray | None:
+        """Which of the bins hold the source of the piece; None if none can."""
+        bit = int(self.bit[piece])
+        return None if bit < 0 else self.words[bit >> 6][bins] & np.uint64(1 << (bit & 63)) != 0
 
     def add(self, piece: int, number: int) -> None:
-        v = self.place[piece]
-        if self.asked[v]:
-            self.bins[self.first[v] + self.n[v]] = number
-            self.n[v] += 1
+        bit = int(self.bit[piece])
+        if number >= self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+        if bit >= 0:
+            self.words[bit >> 6, number] |= np.uint64(1 << (bit & 63))
 
 
 class Bins:
@@ -45,13 +48,17 @@ class Bins:
         self.residual, self.number = np.zeros(most, np.int64), np.zeros(most, np.int64)
         self.columns = (self.residual, self.number)
 
-    def find(self, size: int, closed: np.ndarray, mark: int) -> int:
-        """The tightest bin that has room and no conflict (its number is not marked in ``closed``): the first one that fits,
-        then its successors; -1 if none."""
+    def find(self, piece: int, size: int, bitmaps: tuple[Bitmaps, ...]) -> int:
+        """The tightest bin that has room and whose bitmaps lack the piece's source and cluster: the first one that fits, then
+        its successors; -1 if none."""
         at, step = int(np.searchsorted(self.residual[: self.n], size)), 32
         while at < self.n:
             to = min(self.n, at + step)
-            free = closed[self.number[at:to]] != mark
+            free = np.ones(to - at, bool)
+            for bitmap in bitmaps:
+                held = bitmap.held(piece, self.number[at:to])
+                if held is not None:
+                    free &= ~held
             first = int(free.argmax())
             if free[first]:
                 return at + first
@@ -77,22 +84,20 @@ class Bins:
 
 def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> np.ndarray:
     """Bin number of every piece; pieces are placed by falling size, ties in their given order."""
-    held = (Holders(sources), Holders(clusters))
-    out, closed = np.zeros(len(sizes), np.int64), np.full(len(sizes), -1, np.int64)
+    bitmaps = (Bitmaps(sources), Bitmaps(clusters))
+    out = np.zeros(len(sizes), np.int64)
     bins, opened = Bins(len(sizes)), 0
     for i in np.argsort(-sizes, kind="stable").tolist():
         size = int(sizes[i])
-        for h in held:
-            closed[h.of(i)] = i
-        at = bins.find(size, closed, i)
+        at = bins.find(i, size, bitmaps)
         if at >= 0:
             out[i] = bins.put(at, size)
         else:
             bins.open(opened, capacity - size)
             out[i] = opened
             opened += 1
-        for h in held:
-            h.add(i, int(out[i]))
+        for bitmap in bitmaps:
+            bitmap.add(i, int(out[i]))
     return out
 
 
@@ -103,7 +108,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, doc_id:
 
     A piece takes its characters and one for an end mark. Longer texts are cut into pieces that fill a bin and a rest. No
     bin holds two pieces of one source or of one cluster (by default: of copies). Pieces are dealt by a hash to groups of
-    about ``group_chars`` characters, each packed in one task, so sources and clusters of any size spread over all groups;
+    about ``group_chars`` characters and no more than some 32 000 pieces, each packed in one task, so sources and clusters of any size spread over all groups;
     bins do not cross groups.
 
     Nulls: a null text counts as empty, an empty one takes its end mark only; a null source conflicts with nothing; a null
@@ -117,9 +122,9 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, doc_id:
         (F.xxhash64(F.col(source).cast("string")) if source else F.lit(None).cast("long")).alias("s0"),
         (F.col(source).isNull() if source else F.lit(True)).alias("no_source"),
         (F.xxhash64(F.col(cluster).cast("string")) if cluster else same_text(body)).alias("c0")))
-    total = slim.agg(F.sum(F.col("chars") + 1)).first()[0] or 0
-    groups = max(1, -(-total // group_chars))
     room = capacity - 1
+    total, n = slim.agg(F.sum(F.col("chars") + 1), F.sum(F.expr(f"(greatest(chars, 1L) - 1) div {room}L + 1"))).first()
+    groups = max(1, -(-(total or 0) // group_chars), -(-(n or 0) // GROUP_PIECES))
     pieces = slim.withColumn("row", F.monotonically_increasing_id()).withColumn(
         "piece", F.explode(F.expr(f"sequence(0L, (greatest(chars, 1L) - 1) div {room}L)")))
     pieces = pieces.withColumn("start", F.col("piece") * room).withColumn(

@@ -325,6 +325,12 @@ def test_best_fit_is_exact_with_any_number_of_sources(kinds):
         b[2].add(clusters[i])
 
 
+def test_short_pieces_make_more_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    got = packing.pack(spark, spark.range(1000).selectExpr("id AS doc_id", "'x' AS text", "string(id % 6) AS source")).collect()
+    assert len({r.bin_id >> 32 for r in got}) == 10 and len(got) == 1000
+
+
 def test_packing(spark):
     rows = [(d, t, f"s{i % 4}" if i % 5 else None) for i, (d, t) in enumerate(DOCS)]
     df = table(spark, rows, "doc_id long, text string, source string")
