@@ -1,18 +1,17 @@
 """Tokens of scripts of any size: one script is cut into pieces that are lexed side by side.
 
 A piece ends behind white space, which is inside no token but a literal, a quoted name or a comment. So a piece can begin in
-one of six states. Every piece is lexed from all of them, which gives a map from its first state to its last; the maps are
-composed along a script, and each piece is lexed once more from the state that it really begins in. A literal or comment
-counts as opened only if it is closed somewhere; whether a later piece can close it is known from the pieces alone."""
+one of six states. Every piece is scanned for literals and comments from all of them, which gives a map from its first state
+to its last; the maps are composed along a script, and each piece is lexed once, from the state that it really begins in. A
+literal or comment counts as opened only if it is closed somewhere; whether a later piece can close it is known from the pieces
+alone. The tokens of a piece stay in one row until the numbers that all earlier pieces add to them are known."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptmill.functions.sqltext import TOKEN
+from scriptmill.functions.sqltext import _DOUBLE, _SINGLE, TOKEN
 from scriptmill.operators.tokens import _kind
 from scriptmill.session import store
 
@@ -35,6 +34,12 @@ OPEN = {
 CLOSERS = {
     SINGLE: r"(?:(?<![\\'])|(?<!\\)(?=\\))(?:\\\\)*+(?:\\')?+'(?:'')*+(?!')", DOUBLE: r'(?<!\\)(?:\\\\)*+"', QUOTED: "`", BLOCK: r"\*/",
 }
+# How an open token begins, in the order of the states.
+MARKS = ["", "'", '"', "`", "/*", "--"]
+# What a scan for literals and comments goes over: whole ones, and code without their marks.
+OVER = rf"[^'\"`/\-]++|-(?!-)|/(?!\*)|--[^\n]*+\n|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/|{_SINGLE}|{_DOUBLE}|`[^`]*+`"
+# Marks that begin nothing, since nothing later closes them.
+ALONE = {SINGLE: "'", DOUBLE: '"', QUOTED: "`", BLOCK: r"/(?=\*)"}
 FALLBACK = r"|[^\s]"
 HEAD = TOKEN.removesuffix(FALLBACK)
 
@@ -61,16 +66,24 @@ def _lexed(tail: Column) -> Column:
     return F.regexp_extract_all(F.substring("text", F.length(tail) + 1, F.length("text")), pattern, F.lit(0))
 
 
-def _last_state(tok: Column) -> Column:
-    """The state behind the last token: open tokens reach the white space that ends the piece, closed ones end with a mark."""
-    return (
-        F.when(tok.startswith("--"), LINE)
-        .when(tok.startswith("'") & F.col(f"later{SINGLE}") & ~tok.endswith("'"), SINGLE)
-        .when(tok.startswith('"') & F.col(f"later{DOUBLE}") & ~tok.endswith('"'), DOUBLE)
-        .when(tok.startswith("`") & F.col(f"later{QUOTED}") & ~tok.endswith("`"), QUOTED)
-        .when(tok.startswith("/*") & F.col(f"later{BLOCK}") & ~tok.endswith("*/"), BLOCK)
-        .otherwise(CODE)
-    )
+def _opens(tok: Column) -> Column:
+    """Whether the last token of a piece is open: open tokens reach the white space that ends the piece, closed ones end with a
+    mark."""
+    def goes_on(state: int, mark: str, end: str) -> Column:
+        return tok.startswith(mark) & F.col(f"later{state}") & ~tok.endswith(end)
+
+    return tok.startswith("--") | goes_on(SINGLE, "'", "'") | goes_on(DOUBLE, '"', '"') | goes_on(QUOTED, "`", "`") | goes_on(
+        BLOCK, "/*", "*/")
+
+
+def _behind(state: int) -> Column:
+    """The state behind a piece that begins in that state. One match goes over the rest of an open token, whole literals and
+    comments and the code between them; what it stops at is open."""
+    alone = [F.when(F.col(f"later{k}"), F.lit("")).otherwise(f"|{p}") for k, p in ALONE.items()]
+    first = TAILS.get(state, "^")
+    stop = F.concat(F.lit(f"{first}(?:{OVER}"), *alone, F.lit(")*+(--|/\\*|['\"`])?"))
+    after = (F.array_position(F.array(*[F.lit(m) for m in MARKS]), F.call_function("regexp_extract", "text", stop, F.lit(1))) - 1).cast("int")
+    return after if state == CODE else F.when(F.rlike("text", F.lit(first)), after).otherwise(state)
 
 
 def with_first_states(cut: DataFrame) -> DataFrame:
@@ -80,55 +93,51 @@ def with_first_states(cut: DataFrame) -> DataFrame:
     flags = cut.select("script_id", "piece", *[
         (F.max(F.when(F.col(f"close{k}"), F.col("piece"))).over(script) > F.col("piece")).alias(f"later{k}") for k in OPEN])
     flags = store(flags.select("script_id", "piece", *[F.coalesce(f"later{k}", F.lit(False)).alias(f"later{k}") for k in OPEN]))
-    known = cut.join(flags, ["script_id", "piece"])
-
-    def behind(state: int) -> Column:
-        ends, tail = _rest(F.lit(state))
-        return F.when(ends, F.coalesce(_last_state(F.try_element_at(_lexed(tail), F.lit(-1))), F.lit(CODE))).otherwise(state)
 
-    # An array of states, the one behind the piece at the place of the one before it.
-    maps = known.select("script_id", F.struct("piece", F.array(*[behind(k) for k in range(6)]).alias("to")).alias("m"))
+    # A row of states, the one behind the piece at the place of the one before it.
+    maps = cut.join(flags, ["script_id", "piece"]).select(
+        "script_id", F.struct("piece", F.array(*[_behind(k) for k in range(6)]).alias("to")).alias("m"))
     ordered = maps.groupBy("script_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    scan = F.expr("""aggregate(ms, named_struct('state', 0, 'out', cast(array() as array<struct<piece:int,state:int>>)),
-      (a, m) -> named_struct('state', m.to[a.state], 'out', concat(a.out, array(named_struct('piece', m.piece, 'state', a.state)))),
-      a -> a.out)""")
-    states = store(ordered.select("script_id", F.explode(scan).alias("s")).select("script_id", "s.piece", "s.state"))
-    return known.join(states, ["script_id", "piece"])
+    # The states are gathered as digits: a text grows by copying bytes, not rows.
+    scan = F.expr("""aggregate(ms, named_struct('state', 0, 'out', ''),
+      (a, m) -> named_struct('state', m.to[a.state], 'out', concat(a.out, cast(a.state as string))), a -> a.out)""")
+    states = ordered.select("script_id", F.posexplode(F.regexp_extract_all(scan, F.lit("."), F.lit(0))).alias("piece", "state"))
+    known = store(states.withColumn("state", F.col("state").cast("int")).join(flags, ["script_id", "piece"]))
+    return cut.join(known, ["script_id", "piece"])
 
 
-def raw_tokens(scripts: DataFrame, size: int = PIECE) -> DataFrame:
-    """(script_id, piece, idx, tok), stored: the tokens of ``tokens.raw_tokens`` by the piece that each begins in. What a
-    token has in several pieces is put together again."""
+def piece_tokens(scripts: DataFrame, size: int = PIECE) -> DataFrame:
+    """(script_id, piece, toks, last), stored: the tokens that begin in each piece. The last one is apart in ``last`` if the
+    piece leaves it open; what it has in later pieces is put together there."""
     ends, tail = _rest(F.col("state"))
     known = with_first_states(pieces(scripts, size)).select("*", ends.alias("ends"), tail.alias("tail")).withColumn(
         "toks", F.when(F.col("ends"), _lexed(F.col("tail"))).otherwise(F.array().cast("array<string>")))
-    known = known.withColumn("opens", (F.size("toks") > 0) & F.coalesce(_last_state(F.try_element_at("toks", F.lit(-1))) != CODE, F.lit(False)))
-    known = store(known.select("script_id", "piece", "state", "ends", "tail", "toks", "opens"))
-    whole = known.select("script_id", "piece", "opens", F.size("toks").alias("n"), F.posexplode("toks").alias("idx", "tok")).where(
-        "NOT (opens AND idx = n - 1)").select("script_id", "piece", "idx", "tok")
+    known = known.withColumn("end", F.try_element_at("toks", F.lit(-1)))
+    known = known.withColumn("opens", F.coalesce(_opens(F.col("end")), F.lit(False)))
+    known = store(known.select("script_id", "piece", "state", "tail", "opens", F.when(F.col("opens"), F.col("end")).alias("end"), F.when(
+        F.col("opens"), F.slice("toks", F.lit(1), F.size("toks") - 1)).otherwise(F.col("toks")).alias("toks")))
     # The open token of a piece goes on in all that follow up to the first one in which it ends.
     begun = F.max(F.when(F.col("opens"), F.col("piece"))).over(
         Window.partitionBy("script_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    origin = known.select("script_id", "piece", "state", "opens", F.size("toks").alias("n"), begun.alias("origin"))
-    heads = origin.where("opens").select("script_id", "piece", F.col("piece").alias("origin"), (F.col("n") - 1).alias("idx"))
-    rest = origin.where(f"state <> {CODE}").select("script_id", "piece", "origin", F.lit(None).cast("int").alias("idx"))
-    parts = heads.unionByName(rest).join(known.select("script_id", "piece", "tail", "toks"), ["script_id", "piece"])
-    text = F.when(F.col("idx").isNotNull(), F.try_element_at("toks", F.lit(-1))).otherwise(F.col("tail"))
-    spanning = parts.select("script_id", "origin", "idx", "piece", text.alias("t")).groupBy("script_id", "origin").agg(
-        F.max("idx").alias("idx"), F.array_sort(F.collect_list(F.struct("piece", "t"))).alias("all"), F.count("idx").alias("n_heads"))
-    spanning = spanning.where("n_heads = 1").select("script_id", F.col("origin").alias("piece"), "idx", F.array_join(
-        F.transform("all", lambda x: x["t"]), "").alias("tok"))
-    return store(whole.unionByName(spanning))
-
-
-def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add the sum of the values of all earlier tokens of the script: sums inside a piece, and of the pieces before it."""
-    inside = Window.partitionBy("script_id", "piece").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    origin = known.where(f"opens OR state <> {CODE}").select("script_id", "piece", "state", "opens", begun.alias("origin"))
+    heads = origin.where("opens").select("script_id", "piece", F.col("piece").alias("origin"), F.lit(True).alias("head"))
+    rest = origin.where(f"state <> {CODE}").select("script_id", "piece", "origin", F.lit(False).alias("head"))
+    parts = heads.unionByName(rest).join(known.select("script_id", "piece", "tail", "end"), ["script_id", "piece"])
+    text = F.when(F.col("head"), F.col("end")).otherwise(F.col("tail"))
+    spanning = parts.select("script_id", "origin", "piece", text.alias("t")).groupBy("script_id", F.col("origin").alias("piece")).agg(
+        F.array_sort(F.collect_list(F.struct("piece", "t"))).alias("all"))
+    spanning = spanning.select("script_id", "piece", F.array_join(F.transform("all", lambda x: x["t"]), "").alias("last"))
+    return store(known.select("script_id", "piece", "toks").join(spanning, ["script_id", "piece"], "left"))
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _with_bases(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(script_id, piece) and the sums of the values over all earlier pieces of the script."""
     earlier = Window.partitionBy("script_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("script_id", "piece").agg(F.sum(value).alias("__v")).select(
-        "script_id", "piece", F.coalesce(F.sum("__v").over(earlier), F.lit(0)).alias("__base"))
-    added = rows.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, ["script_id", "piece"])
-    return added.withColumn(name, F.col("__in") + F.col("__base")).drop("__in", "__base")
+    return rows.select("script_id", "piece", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(n) for n, v in values.items()])
 
 
 def large_tokens(scripts: DataFrame, size: int = PIECE) -> DataFrame:
@@ -136,15 +145,37 @@ def large_tokens(scripts: DataFrame, size: int = PIECE) -> DataFrame:
     as large as a row can be. A window holds the tokens of one piece, or one line per piece of a script.
 
     A null or empty text has no tokens."""
+    rows = piece_tokens(scripts, size)
+    text = F.array_join("toks", "")
+    names = F.array_join(F.filter("toks", lambda t: t.startswith("`")), "")  # a line break in a quoted name is none of the script
+    whole = _newlines(text) - F.when(F.contains(text, F.lit("`")), _newlines(names)).otherwise(0)
+    apart = F.when(F.col("last").startswith("`"), 0).otherwise(F.coalesce(_newlines(F.col("last")), F.lit(0)))
+    without = lambda mark: F.size("toks") - F.size(F.array_remove("toks", mark))
+    totals = store(rows.select(
+        "script_id", "piece", (F.size("toks") + F.col("last").isNotNull().cast("int")).alias("n"), (whole + apart).alias("lines"),
+        (without("(") - without(")")).alias("step"),
+        F.array_join(F.filter("toks", lambda t: t.isin("(", ")", ";")), "").alias("marks")))
+    bases = store(_with_bases(totals, {"pos0": F.col("n"), "line0": F.col("lines"), "open0": F.col("step")}).join(
+        totals.select("script_id", "piece", "marks"), ["script_id", "piece"]))
+    # A statement ends at a semicolon outside all parentheses, and how many are open is known now.
+    ended = F.expr("""aggregate(regexp_extract_all(marks, '.', 0), named_struct('open', open0, 'n', 0L), (a, m) -> named_struct(
+      'open', a.open + CASE m WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END, 'n', a.n + CASE WHEN m = ';' AND a.open = 0 THEN 1 ELSE 0 END),
+      a -> a.n)""")
+    bases = bases.select("script_id", "piece", "pos0", "line0", "open0", F.when(F.contains("marks", F.lit(";")), ended).otherwise(0).alias("n"))
+    stmts = store(_with_bases(bases, {"stmt0": F.col("n")}).join(bases.drop("n"), ["script_id", "piece"]))
+
     tok = F.col("tok")
-    rows = raw_tokens(scripts, size).withColumn("kind", _kind(tok))
-    inner = F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit("")))
-    newlines = F.when(F.col("kind") == "newline", 1).when(F.col("kind").isin("string", "block_comment"), inner).otherwise(0)
+    all_toks = F.when(F.col("last").isNull(), F.col("toks")).otherwise(F.array_append("toks", F.col("last")))
+    rows = rows.join(stmts, ["script_id", "piece"]).select(
+        "script_id", "piece", "pos0", "line0", "open0", "stmt0", F.posexplode(all_toks).alias("idx", "tok")).withColumn("kind", _kind(tok))
+    newlines = F.when(F.col("kind") == "newline", 1).when(F.col("kind").isin("string", "block_comment"), _newlines(tok)).otherwise(0)
     step = F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
-    rows = reduce(lambda df, v: _before(df, v[1], v[0]), [("__pos", F.lit(1)), ("__line", newlines), ("__open", step)], rows)
+    inside = Window.partitionBy("script_id", "piece").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda base, value: F.col(base) + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    rows = rows.withColumn("__line", so_far("line0", newlines)).withColumn("__open", so_far("open0", step))
     rows = rows.withColumn("level", F.least(F.col("__open"), F.col("__open") + step).cast("int"))
-    rows = _before(store(rows), F.when((tok == ";") & (F.col("level") == 0), 1).otherwise(0), "__ends")
+    rows = rows.withColumn("__ends", so_far("stmt0", F.when((tok == ";") & (F.col("level") == 0), 1).otherwise(0)))
     return rows.select(
-        "script_id", F.col("__pos").cast("int").alias("pos"), "tok", "kind",
+        "script_id", (F.col("pos0") + F.col("idx")).cast("int").alias("pos"), "tok", "kind",
         F.when(F.col("kind") == "ident", F.upper(tok)).otherwise(tok).alias("u"), (F.col("__line") + 1).cast("int").alias("line"),
         "level", (F.col("__ends") + 1).cast("int").alias("stmt_no"))

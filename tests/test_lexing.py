@@ -48,3 +48,11 @@ def test_no_window_over_a_whole_script_of_tokens(spark):
     over_tokens = [line for line in text.split("\n") if "Window [" in line and "idx" in line]
     assert over_tokens and all("[script_id" in line and "piece" in line for line in over_tokens)
     assert rows.agg({"stmt_no": "max"}).first()[0] == 500
+
+
+def test_tokens_are_made_behind_the_last_shuffle(spark):
+    """What travels is a row per piece; its tokens become rows when the numbers of all earlier pieces are known."""
+    rows = lexing.large_tokens(scripts(spark, ["select 'a b', (1); -- c\n`d\ne`;" * 300]), 64)
+    text = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate posexplode" in text and "Join" not in text[: text.index("Generate posexplode")]
+    assert same(rows, tokens.tokens(scripts(spark, ["select 'a b', (1); -- c\n`d\ne`;" * 300])))
