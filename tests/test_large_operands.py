@@ -99,3 +99,17 @@ def test_running_extremes_of_cut_groups(spark):
         lo, hi = best.get(g, (None, None))
         best[g] = (v if lo is None else lo if v is None else min(lo, v), v if hi is None else hi if v is None else max(hi, v))
         assert got[g, o] == best[g]
+
+
+def test_words_meet_only_texts_that_hold_them(spark, monkeypatch):
+    """Short words are met as a whole, so words with the same pieces make no pairs to be tested; longer ones by a piece."""
+    monkeypatch.setattr(lookup, "PACKED_RULES", 2)
+    words = [str(i) for i in range(1000)] + ["x" * 32, "x" * 33, "ab" * 40, "ab" * 40 + "c", "no" * 30]
+    rules = spark.createDataFrame([(1, w, w) for w in words], "prio int, word string, code string")
+    texts = ["key 000123", "x" * 40, "ab" * 41, "ab" * 40, "c" + "ab" * 40 + "c 7", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = sorted((r.t, r.code) for r in lookup.keyword_matches(df, F.col("t"), rules).collect())
+    assert got == sorted((t, w) for t in texts if t is not None for w in words if w in t)
+    plain = lookup.keyword_matches(df, F.col("t"), rules.where("length(word) < 9"))
+    assert "Contains" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert plain.where("code = '123'").count() == 1
