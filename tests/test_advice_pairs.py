@@ -97,6 +97,20 @@ def test_stored_tokens_need_no_shuffle(spark, sf_dir):
         assert again.exceptAll(direct).count() == 0 and direct.exceptAll(again).count() == 0
 
 
+def test_buckets_follow_the_texts(spark, monkeypatch):
+    from scriptmill.operators import tokens
+    from scriptmill.sources.sinks import work_database
+
+    scripts = spark.createDataFrame([(i, "select 1; " * 10) for i in range(40)] + [(99, None)], "script_id int, sql string")
+    assert tokens.buckets_for(scripts) == 16 and tokens.buckets_for(scripts.limit(0)) == 16
+    monkeypatch.setattr(tokens, "BUCKET", 100)
+    assert tokens.buckets_for(scripts) == 40
+    name = f"{work_database(spark)}.t"
+    stored = tokens.store_tokens(scripts, name)
+    detail = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    assert detail["Num Buckets"] == "40" and stored.count() == 40 * 30
+
+
 def test_sorted_inside_partitions(spark, sf_dir):
     parts = Q["o06_sort_by"](spark, sf_dir).rdd.glom().collect()
     assert all([r.o_totalprice for r in p] == sorted((r.o_totalprice for r in p), reverse=True) for p in parts)
