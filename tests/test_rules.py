@@ -282,3 +282,15 @@ STRUCTURE = {
 def test_structure_of_one_script(spark, name):
     script, want = STRUCTURE[name]
     assert sorted((tuple(r) for r in getattr(structure, name)(corpus(spark, [script])).collect()), key=str) == sorted(want, key=str)
+
+
+def test_advice_stores_only_tokens_that_matter(spark, monkeypatch):
+    """Tokens that no kind of advice looks for are not written; the lists and choices they stand in are known without them."""
+    kept = []
+    monkeypatch.setattr(lint, "store", lambda df: kept.append(df.count()) or df)
+    values = ", ".join(str(i) for i in range(100, 140))
+    text = f"select a, b, c from t where a in ({values}) and (b = 1 or b = 2) and c in ()"
+    scripts = spark.createDataFrame([(1, "p", text)], "script_id int, path string, sql string")
+    got = {tuple(r) for r in lint.advice_rows(scripts).collect()}
+    assert got == {(1, "IN_VALUES_LONG", "join a table of the 40 values"), (1, "OR_IN_WHERE", "b IN (1, 2)")}
+    assert kept == [3]
