@@ -43,3 +43,19 @@ def test_awkward_patterns(spark, tmp_path):
     assert [tuple(r) for r in trigrams.search(spark, folder, ["abc", "abc"]).collect()] == [("abc", 1)]
     with pytest.raises(ValueError):
         trigrams.search(spark, folder, ["ab"])
+
+
+def test_index_has_one_row_for_the_texts_of_a_trigram(spark, tmp_path):
+    """Places are gathered where the texts are read, so a row holds those of many texts and none is shuffled."""
+    folder = str(tmp_path / "index")
+    trigrams.write_index(spark.range(0, 300, 1, 1).selectExpr("id", "concat('same text ', id) AS t"), "id", "t", folder, 4)
+    rows = spark.read.parquet(f"{folder}/grams").where("gram = 'ame'").collect()
+    assert len(rows) == 1 and rows[0].n == 300 and sorted(rows[0]["keys"]) == list(range(300)) and rows[0].positions == [1] * 300
+
+
+def test_repeated_keys_texts_of_other_keys_and_no_texts(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "abc abc"), ("a", "abc abc"), ("b", "xabc"), (None, "abc"), ("c", "ab")], "id string, t string")
+    trigrams.write_index(texts, "id", "t", str(tmp_path / "some"))
+    assert sorted((r.key or "") for r in trigrams.search(spark, str(tmp_path / "some"), ["abc"]).collect()) == ["", "a", "b"]
+    trigrams.write_index(texts.where("id = 'c'"), "id", "t", str(tmp_path / "none"))
+    assert trigrams.search(spark, str(tmp_path / "none"), ["abc"]).count() == 0
