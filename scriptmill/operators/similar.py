@@ -68,18 +68,22 @@ def similar_classes(sets: DataFrame, least: Fraction) -> DataFrame:
     p, q = least.numerator, least.denominator
     ordered = store(_ordered(sets))
     prefix = F.col("n") - F.ceil(F.col("n") * p / F.lit(q)).cast("int") + 1
-    index = store(ordered.select("class", "n", F.explode(F.slice("features", F.lit(1), prefix)).alias("feature")))
+    index = store(ordered.select("class", "n", F.posexplode(F.slice("features", F.lit(1), prefix)).alias("pos", "feature")))
     blocks = index.groupBy("feature").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
     large = blocks.where("g > 1")  # fewer than one per BLOCK entries of the index
     mine = F.pmod(F.xxhash64("class"), F.col("g")).cast("int")
     dealt = index.join(large, "feature", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("c", mine)
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "feature", F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"), "class", "n")
-    a, b = dealt.alias("a"), dealt.alias("b")
+        "feature", F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"), "class", "n", "pos")
+    # The first feature that two sets share is the first of all that they share, so what stands from there on in either must
+    # suffice. The smaller set of a pair can be found by the features with which it would suffice for one of its own size.
+    a, b = dealt.alias("a"), dealt.where((F.col("n") - F.col("pos")) * (p + q) >= F.col("n") * 2 * p).alias("b")
     meet = (F.col("a.feature") == F.col("b.feature")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-    sizes = (F.col("a.n") * q >= F.col("b.n") * p) & (F.col("b.n") * q >= F.col("a.n") * p)
-    pairs = a.join(b, meet & (F.col("a.class") < F.col("b.class")) & sizes).select(
-        F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
+    order = (F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.class") < F.col("a.class")))
+    sizes = F.col("b.n") * q >= F.col("a.n") * p
+    enough = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (p + q) >= (F.col("a.n") + F.col("b.n")) * p
+    pairs = a.join(b, meet & order & sizes & enough).select(
+        F.least("a.class", "b.class").alias("class_a"), F.greatest("a.class", "b.class").alias("class_b")).distinct()
     side = ordered.select("class", "features")
     both = pairs.join(side.toDF("class_a", "fa"), "class_a").join(side.toDF("class_b", "fb"), "class_b")
     both = both.withColumn("n_shared", F.size(F.array_intersect("fa", "fb")))

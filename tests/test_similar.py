@@ -84,3 +84,15 @@ def test_a_feature_of_all_scripts_is_no_candidate(spark):
 def test_no_scripts(spark):
     pairs, members = similar.similar_scripts(scripts(spark, []))
     assert pairs.count() == 0 and members.count() == 0
+
+
+def test_pairs_that_meet_too_late_are_no_candidates(spark):
+    """Of two sets of ten, the first common feature stands at the second place of both: nine from there on suffice for 4/5, the
+    last one of the prefix does not. Sizes that differ are found too."""
+    shared = [f"s{i}" for i in range(9)]
+    sets = {"a": ["x1", *shared], "b": ["x2", *shared], "c": ["y1", "y2", "y3", *shared[:7]], "d": [*shared[:8]]}
+    df = spark.createDataFrame([(k, len(v), [hash(x) for x in v]) for k, v in sets.items()], "class string, n int, features array<long>")
+    out = similar.similar_classes(df, Fraction(4, 5))
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
+    assert {(r.class_a, r.class_b) for r in out.collect()} == want and want
+    assert "least((n" in out._jdf.queryExecution().optimizedPlan().toString()
