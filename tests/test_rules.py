@@ -294,3 +294,12 @@ def test_advice_stores_only_tokens_that_matter(spark, monkeypatch):
     got = {tuple(r) for r in lint.advice_rows(scripts).collect()}
     assert got == {(1, "IN_VALUES_LONG", "join a table of the 40 values"), (1, "OR_IN_WHERE", "b IN (1, 2)")}
     assert kept == [3]
+
+
+def test_names_are_folded_in_batches(spark):
+    """The fold is no expression that is interpreted for every token; null texts keep their row and have no names."""
+    df = spark.createDataFrame([(1, "p", "select a from T1 join `D b` . t2"), (2, "q", None)], "script_id long, path string, sql string")
+    rows = scopes.resolved_names(df)
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.script_id: r.refs and [(x.table_name, x.access) for x in r.refs] for r in rows.collect()}
+    assert got == {1: [("t1", "read"), ("d b.t2", "read")], 2: None}
