@@ -289,3 +289,12 @@ def test_month_range(spark):
         F.col("d").cast("timestamp_ntz").alias("d"))
     assert df.where(month_range("d", 1997)).count() == 2
     assert df.where(month_range("d", 1997, 12)).count() == 1
+
+
+def test_texts_of_groups_are_sorted_without_a_comparator(spark):
+    from scriptmill.operators.tokens import text_of
+
+    rows = spark.range(6).selectExpr("id % 2 AS g", "cast(5 - id AS int) AS pos", "concat('t', id) AS tok")
+    out = rows.groupBy("g").agg(text_of(rows.pos < 5).alias("t"))
+    assert {r.g: r.t for r in out.collect()} == {0: "t4 t2", 1: "t5 t3 t1"}
+    assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
