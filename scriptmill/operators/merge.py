@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.session import store
+from scriptmill.session import small_tasks, store
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,15 @@ def merge_frames(target: DataFrame, source: DataFrame, on: list[str], branches:
     do nothing. The order of rows plays no part.
 
     Keys with one source row, nearly all, are decided in one left join. Only keys with several are paired, counted per
-    target row and checked. Both joins keep the large side on the side that AQE can split when a key is hot.
+    target row and checked. Both joins keep the large side on the side that AQE can split when a key is hot. The result is
+    stored, by tasks whose memory does not grow with the input.
     """
+    with small_tasks(target.sparkSession):
+        return store(merged_rows(target, source, on, branches))
+
+
+def merged_rows(target: DataFrame, source: DataFrame, on: list[str], branches: list[When]) -> DataFrame:
+    """``merge_frames`` as a plan, for a caller that writes the rows itself, inside ``small_tasks``."""
     matched = [b for b in branches if b.action != "insert"]
     inserts = [b for b in branches if b.action == "insert"]
     result = _matched(target, source, on, matched) if matched else target

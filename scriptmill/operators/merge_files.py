@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scriptmill.operators.merge import When, first_branch, inserted_rows, merge_frames
-from scriptmill.session import store
+from scriptmill.operators.merge import When, first_branch, inserted_rows, merged_rows
+from scriptmill.session import small_tasks, store
 
 
 class VersionedFiles:
@@ -107,7 +107,8 @@ def merge_files(table: VersionedFiles, source: DataFrame, on: list[str], branche
     old = [n for n in names if n in touched]
     new: list[str] = []
     if old:
-        new += table.write(merge_frames(table.rows(schema, old), source, on, matched))
+        with small_tasks(table.spark):
+            new += table.write(merged_rows(table.rows(schema, old), source, on, matched))
     if inserts:
         fresh = store(inserted_rows(near, source, on, inserts))
         if not fresh.isEmpty():

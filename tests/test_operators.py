@@ -298,3 +298,24 @@ def test_texts_of_groups_are_sorted_without_a_comparator(spark):
     out = rows.groupBy("g").agg(text_of(rows.pos < 5).alias("t"))
     assert {r.g: r.t for r in out.collect()} == {0: "t4 t2", 1: "t5 t3 t1"}
     assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_tasks_stay_small(spark):
+    """AQE may not merge what one task sorts into as few partitions as the session allows."""
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst"]
+    kept = {k: spark.conf.get(k) for k in keys}
+    try:
+        for key, value in zip(keys, ["40", "256m", "false"]):
+            spark.conf.set(key, value)
+        target = spark.range(0, 800_000, 1, 4).select("id", F.rand(1).alias("v"), F.lit(0).alias("n"))
+        source = spark.range(400_000, 1_200_000, 1, 4).select("id", F.rand(2).alias("v"))
+        got = merge_frames(target, source, ["id"], [
+            When("update", None, {"v": F.col("s.v"), "n": F.lit(1)}),
+            When("insert", None, {"id": F.col("s.id"), "v": F.col("s.v"), "n": F.lit(2)})])
+        tasks = got.groupBy(F.input_file_name().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("s")).collect()
+        assert sum(r.n for r in tasks) == 1_200_000 and sum(r.s for r in tasks) == 1_200_000
+        assert max(r.n for r in tasks) <= 400_000
+        assert spark.conf.get(keys[1]) == "256m"
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
