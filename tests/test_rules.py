@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptmill.functions.rules import RULES, STRICT_ID_NUMBER
-from scriptmill.operators import lint, scopes, structure, textual, tokens
+from scriptmill.functions.sqltext import ELEMENTS
+from scriptmill.operators import integrity, lint, scopes, structure, textual, tokens
 
 SAMPLES = [
     "", "   \n\t ", "-- only a comment", "select 'unclosed", "select (a", "select 'it''s'; select 2",
@@ -303,3 +304,38 @@ def test_names_are_folded_in_batches(spark):
     assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
     got = {r.script_id: r.refs and [(x.table_name, x.access) for x in r.refs] for r in rows.collect()}
     assert got == {1: [("t1", "read"), ("d b.t2", "read")], 2: None}
+
+
+ODD_SCRIPTS = [
+    None, "", "select * from t", "ſelect * from t", "SELECT\t* from x crosſ joın y", "a cross  join b", "lıke '%x' lİke \"%", "LIKE '%y'",
+    "innerjoin leftjoin x JOIN y left  join z on a and b", "from (\n select 1) where f(x) >= 3 or a or b -- n; é", "where f(x) = 3 or a or b -- x;",
+    "select count( distinct a) having max(x) order by z", "ſelect a Union unıon UNİON from ( ſelect", "date='2020-01-02' not in (select 1) 110101199001011234 idcard",
+    "in (" + "1," * 60 + "2) from t_20200102", "where year(x) = 3 and cast (a as int) 12.5 ١٢ 3.", "\x1cselect\x0bfrom\x85join x", "select\r\nfrom t order by x",
+]
+
+
+def test_findings_are_those_of_every_rule_tried(spark):
+    """Rules that are left out for want of a literal, and patterns without Unicode classes, change no finding."""
+    scripts = spark.createDataFrame([(i, f"p{i}", t) for i, t in enumerate(ODD_SCRIPTS)], "script_id int, path string, sql string")
+    plain = scripts.select("script_id", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("rule"), F.regexp_instr("sql", lint.java(p)).alias("pos")) for n, _, p, _, _ in RULES])).alias("h"))
+    want = {(r.script_id, r.rule) for r in plain.where("h.pos > 0").select("script_id", "h.rule").collect()}
+    got = lint.findings(scripts)
+    assert {(r.script_id, r.rule) for r in got.collect()} == want and {n for _, n in want} == {r[0] for r in RULES}
+    # a rule without its literals in an ASCII text is not searched
+    assert "Contains(low" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_integrity_counts_are_those_of_the_patterns(spark):
+    """Words found in one pass give the counts of the element patterns, and equal measures need no second look."""
+    texts = [(f"p{i}", t) for i, t in enumerate(ODD_SCRIPTS)]
+    frame = spark.createDataFrame(texts, "path string, sql string")
+    got = {r.path: (r.a.elements, r.a.keywords, r.a.numbers) for r in integrity._measures(frame, "a").collect()}
+    plain = frame.select("path", F.array(*[F.regexp_count("sql", lint.java(p)) for p in ELEMENTS.values()]).alias("e"),
+                         F.sort_array(textual.keyword_words(F.col("sql"))).alias("k"), textual.numbers_in(F.col("sql")).alias("n"))
+    assert got == {r.path: (r.e, r.k, r.n) for r in plain.collect()}
+    turned = spark.createDataFrame([(p, texts[-1 - i][1]) for i, (p, _) in enumerate(texts)], "path string, sql string")
+    report = integrity.integrity(frame, turned)
+    assert report.count() == 5 * len(texts)
+    # the details of the keywords are put together once, not for the result and the text each
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("sort_array(transform") == 1
