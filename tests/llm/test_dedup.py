@@ -297,3 +297,46 @@ def test_every_place_in_the_kept_text_and_gaps_of_any_length():
         edited = long[:50] + text(6) + long[56:90] + text(1) + long[91:98] + text(1) + long[99:]
         hits += one_pair(text(10) + edited + text(10), text(30) + long + text(3)) == [(10, 310, 30, 330)]
     assert hits == 30
+
+
+def test_two_texts_of_one_phrase_need_no_list_of_all_places():
+    """About a thousand places each for every key; all pairs of them would take far more memory than the texts."""
+    import tracemalloc
+
+    ids = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x, y = np.tile(ids, 1000), np.tile(ids, 900)
+    own, index = passages.paragraphs(x), passages.by_key(passages.paragraphs(y))
+    assert len(own[0]) > 500 and len(index[0]) > 2500
+    tracemalloc.start()
+    got = passages.common_passages(x, y, own, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and max(b - a for a, b, _, _ in got) == len(y) and peak < 16 << 20
+
+
+def test_paragraphs_of_many_texts_at_once_are_those_of_each():
+    rng = np.random.default_rng(7)
+    size = [0, 1, 23, 24, 25, 26, 49, 50, 51, 0, 74, 300, 24, 2, 500]
+    texts = [rng.integers(1, 1 << 62, n).astype(np.uint64) if n % 2 else rng.integers(1, 6, n).astype(np.uint64) for n in size]
+    rows = np.concatenate([[0], np.cumsum(size)])
+    for text, (word, found) in zip(texts, passages._each(np.concatenate(texts), rows), strict=True):
+        alone = passages.paragraphs(text)
+        assert np.array_equal(word, text) and all(np.array_equal(a, b) for a, b in zip(found, alone))
+        n = len(text) - passages.PARAGRAPH + 1
+        rank = textkit.mix64(textkit.runs(text, passages.SHINGLE)[: max(n, 0)] ^ np.uint64(0xA0761D6478BD642F))
+        width = min(max(n, 1), passages.STRETCH)
+        want = {i + int(rank[i : i + width].argmin()) for i in range(n - width + 1)} if n > 0 else set()
+        assert set(alone[0].tolist()) == want
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_a_round_says_which_buckets_have_pairs_left(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    near = list(range(100))
+    rows = [(d, 1, [0], 46, near) for d in range(1, 8)] + [(d, 2, [0], 46, near) for d in (1, 2)]
+    rows += [(3, 3, [0], 46, near), (4, 3, [0], 46, [x + 1000 for x in near]), (5, 4, [0], 46, near)]
+    members = spark.createDataFrame(rows, passages.MEMBERS)
+    tried = spark.createDataFrame([(7, 1), (7, 2), (4, 1), (2, 9)], "a long, b long")
+    got = {(r.key, r.a): (r.b, r.more) for r in passages.next_pairs(members, tried, 2).collect()}
+    assert got == {(1, 2): ([1], False), (1, 3): ([1, 2], False), (1, 4): ([2, 3], False), (1, 5): ([1, 2], True),
+                   (1, 6): ([1, 2], True), (1, 7): ([3, 4], True), (2, 2): ([1], False)}
