@@ -148,16 +148,19 @@ def bundles(spark, d):
     scripts = scripts_from_orders(spark, d)
     owner = table(spark, d, "orders", "o_orderkey", "o_custkey")
     rows = scripts.join(owner, scripts["script_id"] == owner["o_orderkey"]).select("o_custkey", "script_id", "sql")
-    changed = F.when(F.col("script_id") % 10 == 0, F.concat(F.lit("select * from changed_"), F.col("script_id").cast("string"))).otherwise(F.col("sql"))
+
+    # the texts are shuffled once for both releases
+    files = rows.select("o_custkey", F.struct("script_id", "sql").alias("s")).groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list("s")).alias("all"))
 
     def release(name, text):
-        files = rows.select("o_custkey", F.struct("script_id", text.alias("sql")).alias("s")).groupBy("o_custkey").agg(
-            F.array_sort(F.collect_list("s")).alias("all"))
         path = F.concat(F.lit(f"{name}/c"), F.col("o_custkey").cast("string"), F.lit(".sql"))
-        body = F.array_join(F.transform("all", lambda x: x["sql"]), ";\n")
-        return files.select(path.alias("script_id"), path.alias("path"), F.concat(body, F.lit(";\nselect 1 from common_log;")).alias("sql"))
+        body = F.array_join(F.transform("all", text), ";\n")
+        return F.struct(path.alias("script_id"), path.alias("path"), F.concat(body, F.lit(";\nselect 1 from common_log;")).alias("sql"))
 
-    return release("v1", F.col("sql")).unionByName(release("v2", changed))
+    changed = lambda x: F.when(
+        x["script_id"] % 10 == 0, F.concat(F.lit("select * from changed_"), x["script_id"].cast("string"))).otherwise(x["sql"])
+    return files.select(F.inline(F.array(release("v1", lambda x: x["sql"]), release("v2", changed))))
 
 
 _BUNDLES = f"""WITH single AS ({SCRIPTS_SQL}),

@@ -96,3 +96,36 @@ def test_pairs_that_meet_too_late_are_no_candidates(spark):
     want = {(a, b) for a in sets for b in sets if a < b and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
     assert {(r.class_a, r.class_b) for r in out.collect()} == want and want
     assert "least((n" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [Fraction(4, 5), Fraction(1, 2)])
+@pytest.mark.parametrize(("few", "block", "width"), [(1, 4, 1024), (1, 1000, 1024), (1, 4, 3), (3, 16, 8)])
+def test_members_of_large_entries_are_compared_where_they_meet(spark, monkeypatch, least, few, block, width):
+    """The pairs are the same for any size of entries that are written down, of blocks and of the matrix, and pairs of large
+    entries are not rows of a join."""
+    rng = random.Random(3)
+    bases = [rng.sample(range(24), 14) for _ in range(6)]
+    sets = {f"c{i:03}": {*rng.sample(bases[i % 6], rng.randint(11, 14)), *([] if i % 4 else [100 + i])} for i in range(60)}
+    sets = dict({frozenset(v): (k, v) for k, v in sets.items()}.values())
+    sets |= {f"d{i}": {*range(200, 206 + i)} for i in range(5)}
+    df = spark.createDataFrame([(k, len(v), sorted(v)) for k, v in sets.items()], "class string, n int, features array<long>")
+    for name, value in (("FEW", few), ("BLOCK", block), ("WIDTH", width), ("TILE", 7)):
+        monkeypatch.setattr(similar, name, value)
+    out = similar.similar_classes(df, least)
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in combinations(sorted(sets), 2)
+            if Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= least}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) > 10
+
+
+def test_pairs_of_a_frequent_feature_are_not_written_down(spark, monkeypatch):
+    """Sets that all share a feature of their prefix and little else: their pairs are no rows of any join."""
+    sets = [(f"c{i:04}", 5, [1, *range(10 + 4 * i, 14 + 4 * i)]) for i in range(400)]
+    df = spark.createDataFrame(sets, "class string, n int, features array<long>")
+    monkeypatch.setattr(similar, "FEW", 16)
+    # the shared feature is put first, as a rarer one would be
+    monkeypatch.setattr(similar, "_ordered", lambda sets: sets)
+    out = similar.similar_classes(df, Fraction(1, 5))
+    assert out.count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
