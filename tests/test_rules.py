@@ -297,6 +297,28 @@ def test_advice_stores_only_tokens_that_matter(spark, monkeypatch):
     assert kept == [3]
 
 
+def test_advice_needs_no_window_over_tokens(spark, monkeypatch):
+    """Tokens are looked at in one pass over a script; rows of one id are one script, a null text has no advice, and a stored
+    token table gives the same."""
+    plans = []
+    monkeypatch.setattr(lint, "store", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    text = ("select count(distinct x.id), (select max(b) from u) from t left join u b on t.k = b.k and t.f = 1 "
+            "where my_fn(c) > 2 /* ( */ and `Odd` = 'x' or `Odd` = 'y' -- (\n; select * from db.log_20240131 where a not in (select a from v)")
+    rows = [(1, "p", text), (2, "q", None), (None, "r", "select * from t"), (4, "s", "a ) b ( select * from t )) x in (select 1")]
+    scripts = spark.createDataFrame(rows, "script_id long, path string, sql string")
+    want = {(1, "COUNT_DISTINCT", "approx_count_distinct(x.id)"), (1, "SUBQUERY_IN_SELECT", "join or window instead of a subquery per row"),
+            (1, "LEFT_JOIN_WHERE_FILTER", "move the condition on t to WHERE"), (1, "UDF_IN_WHERE", "built-in functions instead of my_fn"),
+            (1, "WHERE_FUNCTION", "compare the column itself instead of my_fn(...)"), (1, "OR_IN_WHERE", "`odd` IN ('x', 'y')"),
+            (1, "SELECT_STAR", "list the columns of db.log_20240131"), (1, "NOT_IN_SUBQUERY", "left anti join on a if no value is NULL"),
+            (None, "SELECT_STAR", "list the columns of t"),
+            (1, "TABLE_NAME_WITH_DATE", "partition db.log by dt"),
+            (4, "SELECT_STAR", "list the columns of t"), (4, "IN_SUBQUERY", "left semi join on x"),
+            (4, "SUBQUERY_DEEP", "name the 2 subqueries in a WITH clause")}
+    assert {tuple(r) for r in lint.advice_rows(scripts).collect()} == want
+    assert plans and not any("Window" in p for p in plans)
+    assert {tuple(r) for r in lint.advice_rows(tokens.tokens(scripts)).collect()} == want
+
+
 def test_names_are_folded_in_batches(spark):
     """The fold is no expression that is interpreted for every token; null texts keep their row and have no names."""
     df = spark.createDataFrame([(1, "p", "select a from T1 join `D b` . t2"), (2, "q", None)], "script_id long, path string, sql string")
